@@ -19,8 +19,9 @@ ORDER, DISCOUNT = 5, 0.75
 TRAIN_CHARS, TRAIN_WORDS, CALIBRATION_DOCS, MOST_LANGUAGES = 1_500_000, 120_000, 1_000, 64
 #: Words whose scores a worker remembers; beyond that it starts anew.
 KNOWN_WORDS = 200_000
-#: Standard deviations above a language's usual cross-entropy at which a text is rejected.
-REJECT_AT = 6.0
+#: A text is rejected when its cross-entropy lies this share of the way from what is usual in
+#: the language to what texts of the other languages need there, but within so many standard deviations never.
+REJECT_AT, NEVER_WITHIN = 0.8, 6.0
 UNKNOWN = "und"
 
 _EDGE_BEFORE, _EDGE_AFTER = 1, 2
@@ -111,7 +112,7 @@ class Models:
     backoff: list[np.ndarray]
     floor: float
     usual: np.ndarray | None = None
-    spread: np.ndarray | None = None
+    slack: np.ndarray | None = None
     sharpness: float = 10.0
 
     @classmethod
@@ -244,7 +245,7 @@ class Models:
         score = 1 / np.exp2(-np.minimum(self.sharpness * (bits - least[:, None]), 1000)).sum(axis=1)
         reject = ~ok
         if self.usual is not None:
-            reject |= least > self.usual[first] + REJECT_AT * self.spread[first] * (1 + 10 / np.sqrt(np.maximum(n, 1)))
+            reject |= least > self.usual[first] + self.slack[first] * (1 + 3 / np.sqrt(np.maximum(n, 1)))
         return np.where(ok, first, -1), np.where(ok, score, 0.0), np.where(ok, least, 0.0), reject
 
 
@@ -290,7 +291,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 
 def _calibrate(models: Models, rows: DataFrame) -> None:
-    """Usual bits a symbol and their spread for each language, and the sharpness under which scores are most truthful."""
+    """Usual bits a symbol and the slack above them for each language, and the sharpness under which scores are most truthful."""
     sums = per_text(rows, "text", ["lang"], "sums array<double>", _sums_work(rows.sparkSession, models)).toArrow()
     index = {x: i for i, x in enumerate(models.languages)}
     truth = np.array([index.get(x, -1) for x in sums.column("lang").to_pylist()], int)
@@ -300,12 +301,14 @@ def _calibrate(models: Models, rows: DataFrame) -> None:
     n = len(models.languages)
     bits = values[:, :-1] / np.maximum(values[:, -1:], 1)
     own = bits[np.arange(len(bits)), truth]
-    overall = (float(own.mean()), float(own.std()) + 0.1) if len(own) else (4.0, 1.0)
-    models.usual, models.spread = np.full(n, overall[0]), np.full(n, overall[1])
+    models.usual = np.full(n, float(own.mean()) if len(own) else 4.0)
+    models.slack = np.full(n, NEVER_WITHIN * (float(own.std()) + 0.1 if len(own) else 1.0))
     for k in range(n):
-        mine = own[(truth == k) & (values[:, -1] >= 50)]
+        mine, others = own[(truth == k) & (values[:, -1] >= 50)], bits[truth != k, k]
         if len(mine) >= 20:
-            models.usual[k], models.spread[k] = mine.mean(), max(float(mine.std()), 0.1)
+            models.usual[k], models.slack[k] = mine.mean(), NEVER_WITHIN * max(float(mine.std()), 0.1)
+        if len(others) >= 20:
+            models.slack[k] = max(models.slack[k], REJECT_AT * float(others.mean() - models.usual[k]))
     if len(own) and n > 1:
         least = bits.min(axis=1)
 
