@@ -300,7 +300,7 @@ def digests(texts: list, codec: Codec) -> dict:
 
 
 def encoded(docs: DataFrame, keep: list[str], text: str = "text", path: str = RANKS) -> DataFrame:
-    """`keep` and ids, the token ids of each whole text (null: of an empty one).
+    """`keep`, ids, the token ids of each whole text (null: of an empty one), and round_trip, whether they decode to it.
 
     Ids are those of piecewise byte-pair encoding by the ranks in the file at `path`,
     without special tokens. Ties go to the leftmost pair; a text without characters
@@ -312,14 +312,17 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", path: str = RA
 
         def apply(texts: list) -> dict:
             ids: list = [None] * len(texts)
+            same = [False] * len(texts)
             for i, parts in codec.encode_batch([t or "" for t in texts]):
-                ids[i] = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
+                held = b"".join(parts)
+                ids[i] = np.frombuffer(held, "<u4").astype(np.int32)
+                same[i] = codec.decode(held) == (texts[i] or "").encode()
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))}
+            return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))), "round_trip": pa.array(same, pa.bool_())}
 
         return apply
 
-    return per_text(docs, text, keep, "ids array<int>", work)
+    return per_text(docs, text, keep, "ids array<int>, round_trip boolean", work)
 
 
 def decoded(rows: DataFrame, keep: list[str], ids: str = "ids", path: str = RANKS) -> DataFrame:

@@ -71,6 +71,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def carried(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """The table with names that can't clash, its new name for each column, and the way back to the columns as they were."""
+    new = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*new.values()), new, lambda df: df.select(*[F.col(n).alias(c) for c, n in new.items()])
+
+
 def slabs(sizes: Iterable[int], limit: int = SLAB_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to about `limit`; a larger row is alone."""
     at = total = 0

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import per_text, release, stage
+from sedimenta.llm.common import carried, per_text, release, stage
 
 #: Symbols of the longest n-gram, and the discount of all orders.
 ORDER, DISCOUNT = 5, 0.75
@@ -365,4 +365,5 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 def accepted(docs: DataFrame, text: str = "text", **names) -> DataFrame:
     """The rows of `docs` that aren't rejected, with all columns as they are."""
     models = fit(docs, text=text, **names)
-    return predictions(docs, models, docs.columns, text).where("NOT rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bare, new, back = carried(docs)
+    return back(predictions(bare, models, bare.columns, new[text]).where("NOT rejected"))

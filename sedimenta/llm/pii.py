@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import per_text, release, stage
+from sedimenta.llm.common import carried, per_text, release, stage
 from sedimenta.llm.weak import Labellers, Rows, fit_linear, sigmoid
 
 #: Kinds in the order of digests; the first four have base patterns.
@@ -276,6 +276,6 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     def work():
         return lambda texts: {"__masked": pa.array([None if t is None else mask(t, model.accepted(_described(t))) for t in texts], pa.string())}
 
-    others = [c for c in docs.columns if c != text]
-    made = per_text(docs, text, others, "__masked string", work)
-    return made.select(*[F.col("__masked").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    bare, new, back = carried(docs)
+    made = per_text(bare, new[text], [c for c in bare.columns if c != new[text]], "__masked string", work)
+    return back(made.withColumnRenamed("__masked", new[text]))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import bpe, langid, pii, simhash, topk, urls
+from sedimenta.llm import bpe, langid, mixing, pii, quality, simhash, topk, toxicity, urls
 from sedimenta.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -30,6 +30,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digests(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -38,11 +42,22 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_table(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_pii": op2_pii,
     "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_source_mixing": op5_source_mixing,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_url_filter": op7_url_filter,
+    "op8_quality": op8_quality,
+    "op10_toxicity": op10_toxicity,
 }

@@ -10,17 +10,21 @@ class Labellers:
 
     Each labeller has a distribution of its votes for true and for false items; both,
     and the share of true ones, are estimated by expectation-maximisation from how
-    often each pattern of votes occurs, beginning with the majority.
+    often each pattern of votes occurs, beginning with the majority; `lean` is a vote that all
+    items have at that beginning. A labeller's votes against items can be held to be right
+    in a share `right_against` at least: kinds of false items that one labeller alone sees
+    would otherwise count as its errors. The share of true items is estimated unless it is
+    given as `prior`, as it must be where most items have no vote at all.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, smooth: float = 1.0):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, smooth: float = 1.0, lean: float = 0.0, right_against: float = 0.0, prior: float | None = None):
         votes, counts = np.asarray(patterns, int), np.asarray(counts, float)
         self.n = votes.shape[1] if votes.ndim == 2 else 0
-        self.prior = 0.5
+        self.prior = 0.5 if prior is None else prior
         self.logs = np.zeros((2, self.n, 3))
         if not len(counts):
             return
-        true = 1 / (1 + np.exp(-2.0 * votes.sum(axis=1)))
+        true = 1 / (1 + np.exp(-2.0 * (lean + votes.sum(axis=1))))
         for _ in range(rounds):
             for y, share in ((1, true), (0, 1 - true)):
                 weight = share * counts
@@ -28,14 +32,29 @@ class Labellers:
                     seen = np.bincount(votes[:, j] + 1, weight, 3)
                     seen += smooth * (np.array([1, 2, 3]) if y else np.array([3, 2, 1]))  # better than chance, as a start
                     self.logs[y, j] = np.log(seen / seen.sum())
-            self.prior = float(np.clip((true * counts).sum() / counts.sum(), 0.01, 0.99))
+            if prior is None:
+                self.prior = float(np.clip((true * counts).sum() / counts.sum(), 0.01, 0.99))
+            if right_against:
+                self._hold(votes, counts, right_against)
             true = self.posterior(votes)
 
+    def _hold(self, votes: np.ndarray, counts: np.ndarray, least: float) -> None:
+        """Keeps each labeller's votes against items right in at least this share."""
+        p = np.exp(self.logs)
+        for j in range(self.n):
+            rate = float(counts[votes[:, j] < 0].sum() / counts.sum())
+            if rate and (1 - self.prior) * p[0, j, 0] < least * rate:
+                for y, share in ((0, least * rate / (1 - self.prior)), (1, (1 - least) * rate / self.prior)):
+                    share = min(share, 0.99)
+                    p[y, j, 1:] *= (1 - share) / p[y, j, 1:].sum()
+                    p[y, j, 0] = share
+        self.logs = np.log(p)
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """The probability that items with these votes are true."""
+        """The probability that items with these votes are true; abstentions say nothing."""
         votes = np.asarray(votes, int).reshape(-1, self.n)
         j = np.arange(self.n)
-        gap = self.logs[1][j, votes + 1].sum(axis=1) - self.logs[0][j, votes + 1].sum(axis=1)
+        gap = np.where(votes, self.logs[1][j, votes + 1] - self.logs[0][j, votes + 1], 0).sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(gap + np.log(self.prior / (1 - self.prior)), -500, 500)))
 
     def reliability(self) -> np.ndarray:
