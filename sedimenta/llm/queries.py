@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import bpe, langid, mixing, pii, quality, simhash, topk, toxicity, urls
+from sedimenta.llm import bpe, langid, media, mixing, pii, quality, simhash, topk, toxicity, urls
 from sedimenta.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -46,6 +46,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: each vector of embeddings is rendered as one."""
+    found = media.copies(media.rendered(_table(spark, sf_dir, "embeddings")))
+    return found.withColumnRenamed("img", "vec_id")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -59,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_top_k": op6_exact_top_k,
     "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
+    "op9_image_copies": op9_image_copies,
     "op10_toxicity": op10_toxicity,
 }
