@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import stage
 
 #: Candidates and queries that meet in one task.
-TILE_ROWS, TILE_QUERIES = 16_384, 2_048
+TILE_ROWS, TILE_QUERIES = 4_096, 2_048
 #: Rows whose dense scores are held at a time, for each query block.
 SCORE_ROWS, SCORE_QUERIES = 4_096, 256
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
