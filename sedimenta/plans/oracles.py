@@ -74,7 +74,7 @@ _OBJECTS = f"""{_FILES}, objects AS (
 
 _COMMANDS = """
 cmd AS (
-  SELECT event_id, ts, epoch_ms(ts) AS ms, user_id AS owner, CAST(json_extract_string(props, '$.k') AS BIGINT) AS job_no, value,
+  SELECT event_id, ts, epoch_us(ts) // 1000 AS ms, user_id AS owner, CAST(json_extract_string(props, '$.k') AS BIGINT) AS job_no, value,
     CASE event_type WHEN 'view' THEN 'submit' WHEN 'click' THEN 'start' WHEN 'signup' THEN 'cancel' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' END AS command,
     CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'cancelling' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS state
   FROM events
@@ -238,7 +238,7 @@ SELECT page_id, path, CASE WHEN starts_with(path, '/') THEN 'absolute' WHEN len(
     "job_quota": _with(_COMMANDS, "SELECT event_id, CAST(floor(value) AS BIGINT) AS asked, floor(value) > 0 AND floor(value) <= 64 AS granted FROM cmd"),
     "job_permits": _with(_FILES, "SELECT doc_id, CAST(greatest((size * 1000 + 1048575) // 1048576, 1) AS BIGINT) AS permits FROM files"),
     "job_operation_hash": _with(_COMMANDS, """SELECT event_id, sha256('{"command":"' || command || '","owner":"' || CAST(owner AS VARCHAR) || '"}') AS key FROM cmd"""),
-    "session_expiry": "SELECT user_id AS owner, min(epoch_ms(ts)) AS created_ms FROM events GROUP BY user_id HAVING min(epoch_ms(ts)) + 28800000 > 1704106800000",
+    "session_expiry": "SELECT user_id AS owner, min(epoch_us(ts)) // 1000 AS created_ms FROM events GROUP BY user_id HAVING min(epoch_us(ts)) // 1000 + 28800000 > 1704106800000",
     "rate_limiter": _with(
         _COMMANDS
         + """, r AS (SELECT event_id, owner, ms // 60000 AS now, row_number() OVER (PARTITION BY owner ORDER BY ts, event_id) AS n FROM cmd), b(owner, n, event_id, now, allowed, tokens) AS (
