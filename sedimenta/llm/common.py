@@ -13,6 +13,8 @@ from sedimenta.staging import release, small, stage  # noqa: F401
 
 #: Bytes of text that a Python worker takes at a time.
 SLAB_BYTES = 4 << 20
+#: Spark's own bound of the bytes in an Arrow batch, and the one that passes over texts set in its place.
+_BATCH_CONF, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
 
 def carried(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
@@ -46,6 +48,8 @@ def per_text(
     `work()` runs once in each Python worker and returns a function from a list of
     texts (str or None, about SLAB_BYTES together) to the new columns in order.
     """
+    if docs.sparkSession.conf.get(_BATCH_CONF, "") == _BATCH_DEFAULT:  # a session's own choice stays
+        docs.sparkSession.conf.set(_BATCH_CONF, _BATCH_BYTES)
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + (", " if keep else "") + added
 
