@@ -48,7 +48,7 @@ def per_text(
     `work()` runs once in each Python worker and returns a function from a list of
     texts (str or None, about SLAB_BYTES together) to the new columns in order.
     """
-    if docs.sparkSession.conf.get(_BATCH_CONF, "") == _BATCH_DEFAULT:  # a session's own choice stays
+    if docs.sparkSession.conf.get(_BATCH_CONF) == _BATCH_DEFAULT:  # a session's own choice stays
         docs.sparkSession.conf.set(_BATCH_CONF, _BATCH_BYTES)
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + (", " if keep else "") + added
