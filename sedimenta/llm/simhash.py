@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import per_text, small, stage
+from sedimenta.llm.common import carried, per_text, small, stage
 from sedimenta.llm.components import components
 
 BITS = 64
@@ -265,6 +265,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     bare = docs.where(F.col(f"`{doc_id}`").isNull())
     if bare.limit(1).count():
         nameless = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias("__print"), F.col("root").alias("__root")).distinct()
-        marked = fingerprints(bare, bare.columns, text).withColumn("__print", F.lower(F.lpad(F.hex("fp"), 16, "0"))).drop("fp")
-        once = once.unionByName(marked.join(nameless, "__print").dropDuplicates(["__root"]).drop("__print", "__root"))
+        plain, new, back = carried(bare)
+        marked = fingerprints(plain, plain.columns, new[text]).withColumn("__print", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+        once = once.unionByName(back(marked.join(nameless, "__print").dropDuplicates(["__root"])))
     return once

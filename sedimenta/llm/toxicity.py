@@ -21,8 +21,12 @@ REPEATED_AT, DENSE_AT = 3, 0.02
 #: Buckets of hashed features, how many are kept, and the bounds of the labelled sample.
 BUCKETS, KEPT, TRAIN_TOXIC, TRAIN_CLEAN = 1 << 20, 2_048, 6_000, 12_000
 FOLDS = 5
-#: Standard errors by which a feature's share must differ between toxic and clean documents.
-SIGNIFICANT = 4.0
+#: Pulls the weight of a marker towards the logarithm of its lift, so that a document with a single
+#: marker is judged by it even if toxic ones usually have several.
+RIDGE = 1e-3
+#: A feature is kept if so many toxic documents have it, and its share of them exceeds that of
+#: clean ones by so many standard errors and times: what clean documents have is no evidence.
+SUPPORT, SIGNIFICANT, LIFT = 4, 4.0, 30.0
 #: Words whose features a worker remembers; beyond that it starts anew.
 KNOWN_WORDS = 300_000
 
@@ -81,18 +85,22 @@ def _with_earlier(rows: list[list[int]], earlier: np.ndarray, base: int) -> Rows
     return Rows([[*r, *range(base, base + k)] for r in rows], [[*[1.0] * len(r), *e] for r, e in zip(rows, earlier)])
 
 
-def fit_chain(rows: list[list[int]], targets: np.ndarray, size: int, folds: np.ndarray) -> list[tuple[np.ndarray, float]]:
-    """A linear model for each category; earlier ones enter as out-of-fold probabilities."""
+def fit_chain(rows: list[list[int]], targets: np.ndarray, lifts: np.ndarray, folds: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """A linear model for each category; earlier ones enter as out-of-fold probabilities. `lifts` centres the weights of the first one's features."""
     n, k = targets.shape
+    size = len(lifts)
     out_of_fold, models = np.zeros((n, k)), []
     for c in range(k):
         held = _with_earlier(rows, out_of_fold[:, :c], size)
         total = size + k
+        centre = np.concatenate([lifts if c == 0 else np.zeros(size), np.zeros(k)])
         for f in range(FOLDS):
             train, test = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
-            w, b = fit_linear(held.only(train), targets[train, c], total)
+            w, b = fit_linear(held.only(train), targets[train, c], total, ridge=RIDGE, centre=centre)
             out_of_fold[test, c] = sigmoid(held.only(test).dot(w) + b)
-        models.append(fit_linear(held, targets[:, c], total))
+        w, b = fit_linear(held, targets[:, c], total, ridge=RIDGE, centre=centre)
+        w[:size] = np.maximum(w[:size], 0)  # a marker doesn't speak for a document
+        models.append((w, b))
     return models
 
 
@@ -101,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     At most about TRAIN_TOXIC toxic and TRAIN_CLEAN other ones are used, each different text
     once; a document labelled both ways counts as toxic. Features are counted where
-    the texts are, and the driver receives the KEPT ones that tell toxic from clean best.
+    the texts are, and the driver receives the KEPT ones that mark toxic ones best.
     """
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     counts = {bool(r["y"]): r["count"] for r in known.groupBy((F.col("y") > 0).alias("y")).count().collect()}
@@ -121,15 +129,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     seen = each.groupBy("b").agg(F.count_if("y").alias("t"), F.count_if(~F.col("y")).alias("c"))
     p, q, pooled = F.col("t") / n1, F.col("c") / n0, (F.col("t") + F.col("c") + 1) / (n1 + n0 + 2)
     z = (p - q) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    told = seen.withColumn("z", z).where(F.abs("z") >= SIGNIFICANT).orderBy(F.desc(F.abs("z")), "b").limit(KEPT).collect()
+    lift = (F.col("t") + 0.5) / n1 / ((F.col("c") + 0.5) / n0)
+    told = seen.withColumn("z", z).withColumn("lift", lift).where((F.col("z") >= SIGNIFICANT) & (F.col("t") >= SUPPORT) & (F.col("lift") >= LIFT)).orderBy(F.desc("z"), "b").limit(KEPT).collect()
     kept = np.array([r["b"] for r in told], np.int64)
-    # markers hardly occur in clean documents
-    markers = np.array([r["z"] > 0 and r["t"] / n1 >= 20 * r["c"] / n0 for r in told], bool)
+    markers = np.ones(len(kept), bool)
     rows = lexical(sample, ["y"], kept, markers).withColumn("fold", F.pmod(F.xxhash64("features", "words"), F.lit(FOLDS))).toArrow()
     y = np.array(rows.column("y").to_pylist(), bool)
     marked, words = rows.column("marked").to_numpy(), rows.column("words").to_numpy()
     targets = np.stack([y, y & (marked >= REPEATED_AT), y & (marked >= DENSE_AT * np.maximum(words, 1))], axis=1).astype(float)
-    models = fit_chain(rows.column("features").to_pylist(), targets, len(kept), rows.column("fold").to_numpy())
+    models = fit_chain(rows.column("features").to_pylist(), targets, np.log([r["lift"] for r in told]), rows.column("fold").to_numpy())
     return Chain(kept, markers, models)
 
 

@@ -93,20 +93,55 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_linear(rows: Rows, target: np.ndarray, size: int, weight: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model for soft targets, by scaled gradient steps with momentum."""
-    w, b = np.zeros(size), 0.0
+def fit_linear(rows: Rows, target: np.ndarray, size: int, weight: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 150, held: int = 10, centre: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model for soft targets, by limited-memory quasi-Newton steps.
+
+    The ridge pulls weights towards `centre`, else towards zero.
+    """
+    middle = np.append(np.zeros(size) if centre is None else centre, 0.0)
+    v = middle.copy()  # the bias is last and isn't held back
     if not rows.n:
-        return w, b
+        return v[:size], 0.0
     weight = np.ones(rows.n) if weight is None else np.asarray(weight, float)
     weight = weight / weight.sum()
-    curve = np.bincount(rows.feature, weight[rows.row] * rows.value**2, size) / 4 + ridge
-    # features overlap in a row: the step of each is shared by all of its row
-    overlap = max(float(np.bincount(rows.row, rows.value**2 / curve[rows.feature], rows.n).dot(weight)) / 4, 1.0)
-    mw, mb = np.zeros(size), 0.0
+    hold = np.append(np.full(size, ridge), 0.0)
+    share = float(np.clip(weight @ target, 1e-6, 1 - 1e-6))
+    v[size] = np.log(share / (1 - share))
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+        z = rows.dot(x[:size]) + x[size]
+        error = weight * (sigmoid(z) - target)
+        value = float(weight @ (np.logaddexp(0, z) - target * z) + (hold * (x - middle) ** 2).sum() / 2)
+        return value, np.append(rows.back(error, size), error.sum()) + hold * (x - middle)
+
+    value, slope = at(v)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(rounds):
-        error = weight * (sigmoid(rows.dot(w) + b) - target)
-        gw, gb = rows.back(error, size) + ridge * w, float(error.sum())
-        mw, mb = 0.9 * mw + gw / curve, 0.9 * mb + gb * 4
-        w, b = w - mw / overlap * 0.5, b - mb * 0.1
-    return w, b
+        way, kept = slope.copy(), []
+        for s, y, r in reversed(steps):
+            a = r * (s @ way)
+            way -= a * y
+            kept.append(a)
+        if steps:
+            s, y, _ = steps[-1]
+            way *= (s @ y) / (y @ y)
+        for (s, y, r), a in zip(steps, reversed(kept)):
+            way += s * (a - r * (y @ way))
+        by = 1.0 if steps else 1.0 / max(float(np.abs(slope).max()), 1e-12)
+        fall = slope @ way
+        while by > 1e-10:
+            new = v - by * way
+            after, tilt = at(new)
+            if after <= value - 1e-4 * by * fall:
+                break
+            by /= 2
+        else:
+            break
+        s, y = new - v, tilt - slope
+        if s @ y > 1e-18:
+            steps = [*steps[-held + 1 :], (s, y, 1 / (s @ y))]
+        done = value - after < 1e-7 * max(abs(value), 1e-12)
+        v, value, slope = new, after, tilt
+        if done:
+            break
+    return v[:size], float(v[size])
