@@ -3,23 +3,24 @@ import sys
 import tempfile
 
 import pytest
-from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH", "")) if x)
 
 
 @pytest.fixture(scope="session")
 def spark():
-    shared = tempfile.mkdtemp(prefix="checkpoint-")
+    from pyspark.sql import SparkSession
+
     made = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "6g")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", shared)
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checkpoint-"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="warehouse-"))
         .getOrCreate()
     )
