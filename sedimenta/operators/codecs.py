@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sedimenta.config import CANDIDATES, CODECS, COST_CODEC, COST_GROUP, COST_INDEX, COST_INTEGRITY, COST_PADDING
 from sedimenta.errors import EngineError
 from sedimenta.functions import codecs
-from sedimenta.functions.hashing import blake3, crc32c
+from sedimenta.functions.hashing import blake3_many, crc32c
 
 _EXTRA = COST_CODEC + COST_GROUP + COST_INDEX + COST_INTEGRITY + COST_PADDING
 ENCODED = "group_id long, codec string, codec_id int, uncompressed_len long, compressed_len long, payload_crc32c long, total_cost long, payload binary"
@@ -93,8 +93,9 @@ def hashed(rows: DataFrame, keep: list[str], data: str, name: str = "blake3") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = batch.column(len(keep))
-            hashes = pa.array([None if b is None else blake3(b) for b in blobs.to_pylist()], pa.binary())
+            blobs = batch.column(len(keep)).to_pylist()
+            made = blake3_many([b or b"" for b in blobs])
+            hashes = pa.array([None if b is None else h for b, h in zip(blobs, made)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, hashes], names=[*keep, data, name])
 
     return rows.select(*keep, F.col(data).cast("binary").alias(data)).mapInArrow(run, f"{kept}, `{data}` binary, `{name}` binary")

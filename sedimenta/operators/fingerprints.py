@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.config import Fingerprinting
 from sedimenta.errors import EngineError
-from sedimenta.functions.hashing import blake3, crc32c, xxh3
+from sedimenta.functions.hashing import blake3_many, crc32c, xxh3
 from sedimenta.functions.kernels import superfeatures
 
 SCHEMA = "chunk_id long, length long, xxh3 long, blake3_128 binary, full_blake3 binary, crc32c long, superfeatures array<long>"
@@ -30,13 +30,12 @@ def computed(chunks: DataFrame, config: Fingerprinting = Fingerprinting(), data:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for chunk, n, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                blob = blob or b""
+            blobs = [x or b"" for x in batch.column(2).to_pylist()]
+            for chunk, n, blob, full in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), blobs, blake3_many(blobs)):
                 if n != len(blob):
                     raise EngineError("invalid_range", f"chunk {chunk}")
                 if n > config.most_chunk_bytes:
                     raise EngineError("resource_limit", f"chunk {chunk}")
-                full = blake3(blob)
                 made.append({"chunk_id": chunk, "length": n, "xxh3": xxh3(blob), "blake3_128": full[:16], "full_blake3": full, "crc32c": crc32c(blob), "superfeatures": superfeatures(blob, config)})
             yield pa.RecordBatch.from_pylist(made, schema=_ARROW)
 

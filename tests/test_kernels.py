@@ -154,3 +154,11 @@ def test_job_states():
     assert next_state("completed", "cancel") == ("completed", "conflict")
     assert next_state("queued", "complete") == ("completed", "applied")
     assert next_state("failed", "start") == ("failed", "conflict")
+
+
+def test_many_hashes_at_once():
+    from sedimenta.functions.hashing import blake3_many
+
+    rnd = random.Random(1)
+    blobs = [rnd.randbytes(n) for n in (0, 1, 64, 65, 1023, 1024, 1025, 2048, 2049, 3073, 7168, 100_000)] * 2
+    assert blake3_many(blobs) == [blake3(x) for x in blobs] and blake3_many([]) == []
