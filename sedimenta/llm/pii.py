@@ -35,6 +35,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Candidates beyond them.
 _WRITTEN_EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s|\.)\s?[A-Za-z0-9-]{2,63}){1,4}(?![\w-])")
+#: What any written-out email holds.
+_WRITTEN_AT = re.compile(r"(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?[A-Za-z0-9-]{1,63}\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s|\.)\s?[A-Za-z0-9-]{2}")
 _LOCAL_PHONE = re.compile(r"(?<![\w+.-])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,128}))")
 
@@ -105,14 +107,14 @@ def candidates(text: str) -> list[Span]:
     """Base spans, and others that overlap none of the same kind: written-out emails, short cards, phones without +, secrets."""
     out = base_spans(text)
     more: list[Span] = []
-    low_at = "at)" in text or "at]" in text or "at}" in text or " dot " in text
-    if low_at:
+    if _WRITTEN_AT.search(text):
         more += [Span(0, m.start(), m.end(), False) for m in _WRITTEN_EMAIL.finditer(text)]
     if re.search("[0-9]", text):
         for m in _CARD.finditer(text):
             if 13 <= m.end() - m.start() <= 64 and (13 <= len(d := _digits(m.group())) <= 15 and d[0] in "345" and _luhn(d)):
                 more.append(Span(2, m.start(), m.end(), False))
         more += [Span(3, m.start(), m.end(), False) for m in _LOCAL_PHONE.finditer(text)]
+    if "AKIA" in text or ":" in text or "=" in text:
         more += [Span(4, *(m.span(1) if m.group(1) else m.span()), False) for m in _SECRET.finditer(text)]
     taken = {(s.kind, s.start, s.end) for s in out}
     for s in more:
