@@ -15,8 +15,10 @@ from sedimenta.llm.common import carried, per_text, release, stage
 #: Symbols of the longest n-gram, and the discount of all orders.
 ORDER, DISCOUNT = 5, 0.75
 #: Bounds of the labelled sample that the models are fitted on: characters and distinct
-#: words of a language, documents to calibrate on, and languages.
-TRAIN_CHARS, TRAIN_WORDS, CALIBRATION_DOCS, MOST_LANGUAGES = 1_500_000, 120_000, 1_000, 64
+#: words of a language, and documents to calibrate on.
+TRAIN_CHARS, TRAIN_WORDS, CALIBRATION_DOCS = 1_500_000, 120_000, 1_000
+#: Languages whose models share a table. Beyond so many the bounds above are scaled, so that they hold in all.
+LANGUAGES_AT_ONCE = 64
 #: Words whose scores a worker remembers; beyond that it starts anew.
 KNOWN_WORDS = 200_000
 #: A text is rejected when its cross-entropy lies this share of the way from what is usual in
@@ -114,14 +116,26 @@ class Models:
     usual: np.ndarray | None = None
     slack: np.ndarray | None = None
     sharpness: float = 10.0
+    blocks: list[Models] | None = None
 
     @classmethod
     def fit(cls, counts: dict[str, dict[str, int]]) -> Models:
         """From the word counts of each language.
 
         The longest n-grams have their counts; a shorter one counts the different
-        symbols seen before it. Stored probabilities are already interpolated.
+        symbols seen before it. Stored probabilities are already interpolated. More than
+        LANGUAGES_AT_ONCE are fitted in blocks, which changes no score: a language's model
+        depends on others only by the number of symbols.
         """
+        languages = sorted(counts)
+        floor = 1.0 / (len(set().union(*(w for c in counts.values() for w in c))) + 2)
+        if len(languages) > LANGUAGES_AT_ONCE:
+            parts = [languages[k : k + LANGUAGES_AT_ONCE] for k in range(0, len(languages), LANGUAGES_AT_ONCE)]
+            return cls(languages, [], [], [], [], floor, blocks=[cls._block({x: counts[x] for x in part}, floor) for part in parts])
+        return cls._block(counts, floor)
+
+    @classmethod
+    def _block(cls, counts: dict[str, dict[str, int]], floor: float) -> Models:
         languages = sorted(counts)
         n = len(languages)
         words = sorted(set().union(*counts.values())) or [""]
@@ -144,7 +158,6 @@ class Models:
                 cont[:, c] = np.bincount(back, seen[:, c] > 0, len(short))
             levels.append((short, rows[where], cont))
         levels.reverse()
-        floor = 1.0 / (len(levels[0][0]) + 1)
         probs, contexts, backoff = [], [], []
         for k, (keys, rows, seen) in enumerate(levels):
             ctx_keys, back = np.unique(ctx[k][rows], return_inverse=True)
@@ -162,6 +175,9 @@ class Models:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """[word, language + 1]: the bits that each language needs for the padded word, and its number of symbols."""
+        if self.blocks:
+            each = [b.word_scores(words) for b in self.blocks]
+            return np.concatenate([*(x[:, :-1] for x in each), each[0][:, -1:]], axis=1)
         symbols, whose = _events(words)
         hashes, ctx = _hashes(symbols), _context_hashes(symbols)
         n = len(self.languages)
@@ -187,11 +203,13 @@ class Models:
         """A function from texts to [text, language + 1] sums of bits and of symbols, with a bounded memory of words."""
         known: dict = {}
         table = np.zeros((0, len(self.languages) + 1), np.float32)
+        scale = min(1.0, LANGUAGES_AT_ONCE / max(len(self.languages), 1))
+        most_known, most_words, most_of_text, most_new = (max(int(scale * n), 1) for n in (KNOWN_WORDS, 150_000, 100_000, 20_000))
 
         def learn(new: list) -> None:
             nonlocal table
-            parts = [self.word_scores([_as_str(w) for w in new[k : k + 20_000]]) for k in range(0, len(new), 20_000)]
-            if len(known) + len(new) > KNOWN_WORDS:
+            parts = [self.word_scores([_as_str(w) for w in new[k : k + most_new]]) for k in range(0, len(new), most_new)]
+            if len(known) + len(new) > most_known:
                 known.clear()
                 table = table[:0]
             table = np.concatenate([table[: len(known)], *parts])
@@ -200,7 +218,7 @@ class Models:
         def bulk(words: list) -> np.ndarray:
             new = list(set(words).difference(known))
             if new:
-                if len(known) + len(new) > KNOWN_WORDS:
+                if len(known) + len(new) > most_known:
                     known.clear()
                     new = list(set(words))
                 learn(new)
@@ -218,14 +236,14 @@ class Models:
 
             for i, t in enumerate(texts):
                 mine = words_of(t or "")
-                for k in range(0, len(mine), 100_000):
-                    part = mine[k : k + 100_000]
-                    if len(words) + len(part) > 150_000:
+                for k in range(0, len(mine), most_of_text):
+                    part = mine[k : k + most_of_text]
+                    if len(words) + len(part) > most_words:
                         flush()
                     words.extend(part)
                     rows.append(i)
                     sizes.append(len(part))
-                    if len(mine) > 100_000:
+                    if len(mine) > most_of_text:
                         flush()
             flush()
             return out
@@ -258,17 +276,20 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """Models and calibration from a bounded sample of the labelled documents of the training folds.
 
     Shares of each language are counted over all of them; then a hash picks documents up to
-    TRAIN_CHARS characters of each, and CALIBRATION_DOCS others to calibrate on.
+    TRAIN_CHARS characters of each, and CALIBRATION_DOCS others to calibrate on. With more than
+    LANGUAGES_AT_ONCE languages all are kept, with so much less of each that the whole stays bounded.
     The driver receives word counts and calibration sums only.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & _train_fold("doc_id"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).where("chars > 0").orderBy(F.desc("chars"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).where("chars > 0").collect()
     if not sizes:
         return Models([], [], [], [], [], 1.0)
     pick = F.pmod(F.xxhash64("lang", "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    shares = {r["lang"]: min(0.75, TRAIN_CHARS / r["chars"]) for r in sizes}
-    more = {r["lang"]: min(0.25, CALIBRATION_DOCS / r["n"]) for r in sizes}
+    scale = min(1.0, LANGUAGES_AT_ONCE / len(sizes))
+    shares = {r["lang"]: min(0.75, scale * TRAIN_CHARS / r["chars"]) for r in sizes}
+    # each document to calibrate on has a sum for every language
+    more = {r["lang"]: min(0.25, scale**2 * CALIBRATION_DOCS / r["n"]) for r in sizes}
     table = docs.sparkSession.createDataFrame([(k, shares[k], shares[k] + more[k]) for k in shares], "lang string, train double, upto double")
     part = rows.join(F.broadcast(table), "lang").withColumn("pick", pick).where("pick < upto")
     sample = stage(part.select("lang", "text", (F.col("pick") < F.col("train")).alias("train")))
@@ -278,7 +299,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     words = per_text(sample.where("train"), "text", ["lang"], "words array<string>", count_work).select("lang", F.explode("words").alias("word"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    kept = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_WORDS)
+    kept = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= max(int(scale * TRAIN_WORDS), 1))
     found = kept.select("lang", "word", "n").toArrow()
     counts: dict[str, dict[str, int]] = {}
     for x, w, n in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n"))):
