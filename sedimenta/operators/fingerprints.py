@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,10 +13,11 @@ from sedimenta.config import Fingerprinting
 from sedimenta.errors import EngineError
 from sedimenta.functions.hashing import blake3_many, crc32c, xxh3
 from sedimenta.functions.kernels import superfeatures
+from sedimenta.staging import small, stage
 
 SCHEMA = "chunk_id long, length long, xxh3 long, blake3_128 binary, full_blake3 binary, crc32c long, superfeatures array<long>"
-#: Rows of a superfeature that are compared with each other; a larger one is linked through its smallest chunk.
-ALL_PAIRS_UP_TO = 32
+#: Chunks of a choice of superfeatures that meet in one place; a larger one is dealt out as pairs of parts.
+PART_ROWS = 1024
 
 
 def computed(chunks: DataFrame, config: Fingerprinting = Fingerprinting(), data: str = "data") -> DataFrame:
@@ -66,19 +68,41 @@ def mismatches(prints: DataFrame, chunks: DataFrame, data: str = "data") -> Data
     return then.join(again, "chunk_id", "full").where(~F.col("now").eqNullSafe(F.col("then"))).select("chunk_id")
 
 
-def similar(prints: DataFrame, at_least: int = 1) -> DataFrame:
-    """(a, b, shared): pairs of chunks that share superfeatures in the same place. An extension:
-    candidates only, for a comparison of bytes to confirm.
+def members(prints: DataFrame) -> DataFrame:
+    """(chunk_id, of): each chunk with features, and the smallest chunk with the same ones."""
+    first = _distinct(prints).select("superfeatures", F.col("chunk_id").alias("of"))
+    return prints.join(first, "superfeatures").select("chunk_id", "of")
 
-    Chunks with the same features are first reduced to the smallest; a feature that many
-    chunks share links them to its smallest chunk instead of pairing them all.
+
+def _distinct(prints: DataFrame) -> DataFrame:
+    return prints.where(F.size("superfeatures") > 0).groupBy("superfeatures").agg(F.min("chunk_id").alias("chunk_id"))
+
+
+def similar(prints: DataFrame, at_least: int = 1, equal: bool = False) -> DataFrame:
+    """(a, b, shared), a < b: all pairs of chunks that share at least so many superfeatures in the same places.
+    An extension: candidates only, for a comparison of bytes to confirm.
+
+    Chunks with the same features are reduced to the smallest; `members` says which it is, and with `equal`
+    the others are returned as pairs with it. Chunks meet by every choice of `at_least` features, so two that
+    share fewer never meet; a choice that many chunks share is dealt out as pairs of parts.
     """
-    reps = prints.where(F.size("superfeatures") > 0).groupBy("superfeatures").agg(F.min("chunk_id").alias("chunk_id"))
-    each = reps.select("chunk_id", F.posexplode("superfeatures").alias("place", "feature"))
-    sizes = each.groupBy("place", "feature").agg(F.count("*").alias("n"), F.min("chunk_id").alias("least")).where("n > 1")
-    met = each.join(sizes, ["place", "feature"])
-    few = met.where(F.col("n") <= ALL_PAIRS_UP_TO).select("place", "feature", "chunk_id")
-    other = few.select("place", "feature", F.col("chunk_id").alias("other"))
-    pairs = few.join(other, ["place", "feature"]).where("chunk_id < other").select(F.col("chunk_id").alias("a"), F.col("other").alias("b"))
-    stars = met.where((F.col("n") > ALL_PAIRS_UP_TO) & (F.col("chunk_id") > F.col("least"))).select(F.col("least").alias("a"), F.col("chunk_id").alias("b"))
-    return pairs.unionByName(stars).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= at_least)
+    reps = stage(_distinct(prints).select("chunk_id", "superfeatures"))
+    most = reps.agg(F.max(F.size("superfeatures"))).first()[0] or 0
+    choices = [F.struct(F.array(*map(F.lit, c)).alias("places"), F.array(*(F.get("superfeatures", F.lit(p)) for p in c)).alias("values")) for c in combinations(range(most), at_least)]
+    found = prints.sparkSession.createDataFrame([], "a long, b long, shared long")
+    if choices:
+        each = reps.select("chunk_id", "superfeatures", F.explode(F.array(*choices)).alias("key")).where(~F.exists("key.values", F.isnull))
+        hot = stage(each.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).where("parts > 1"))
+        dealt = each.join(small(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int"))
+        others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        left = dealt.select("key", F.col("part").alias("i"), others.alias("j"), F.col("chunk_id").alias("a"), F.col("superfeatures").alias("p"))
+        right = dealt.select("key", others.alias("i"), F.col("part").alias("j"), F.col("chunk_id").alias("b"), F.col("superfeatures").alias("q"))
+        same = F.filter(F.sequence(F.lit(0), F.least(F.size("p"), F.size("q")) - 1), lambda k: F.get("p", k) == F.get("q", k))
+        # of the choices by which a pair meets, the first gives it
+        met = left.join(right, ["key", "i", "j"]).where("a < b").withColumn("same", same).where(F.slice("same", 1, at_least) == F.col("key.places"))
+        found = met.select("a", "b", F.size("same").cast("long").alias("shared"))
+    if equal:
+        whole = prints.where(F.size("superfeatures") >= at_least)
+        copies = members(whole).where("chunk_id > of").join(whole.select("chunk_id", F.size("superfeatures").cast("long").alias("shared")), "chunk_id")
+        found = found.unionByName(copies.select(F.col("of").alias("a"), F.col("chunk_id").alias("b"), "shared"))
+    return found

@@ -310,7 +310,7 @@ def fingerprint_mismatches(spark, d):
 
 @query
 def superfeature_candidates(spark, d):
-    return fingerprints.similar(stage(_prints(spark, d)), at_least=2)
+    return fingerprints.similar(stage(_prints(spark, d)), at_least=2, equal=True)
 
 
 # --- micro-files -----------------------------------------------------------------------
