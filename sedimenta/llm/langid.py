@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +18,20 @@ ORDER, DISCOUNT = 5, 0.75
 #: Bounds of the labelled sample that the models are fitted on: characters and distinct
 #: words of a language, and documents to calibrate on.
 TRAIN_CHARS, TRAIN_WORDS, CALIBRATION_DOCS = 1_500_000, 120_000, 1_000
-#: Languages whose models share a table. Beyond so many the bounds above are scaled, so that they hold in all.
-LANGUAGES_AT_ONCE = 64
-#: Words whose scores a worker remembers; beyond that it starts anew.
-KNOWN_WORDS = 200_000
+#: Beyond so many languages the bounds above are scaled, so that they hold in all.
+FULL_LANGUAGES = 64
+#: Bytes of words and scores that a worker remembers, beyond which it starts anew, and the longest word that is.
+KNOWN_BYTES, KNOWN_WORD = 24 << 20, 64
+#: Characters of new words, and symbols of them, that are scored together.
+CHARS_AT_ONCE, SYMBOLS_AT_ONCE = 1 << 19, 1 << 17
 #: A text is rejected when its cross-entropy lies this share of the way from what is usual in
 #: the language to what texts of the other languages need there, but within so many standard deviations never.
 REJECT_AT, NEVER_WITHIN = 0.8, 6.0
 UNKNOWN = "und"
 
 _EDGE_BEFORE, _EDGE_AFTER = 1, 2
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters are the characters of category L; marks go on with a word.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -64,11 +68,14 @@ def _as_str(word) -> str:
     return word.decode("latin-1") if isinstance(word, bytes) else word
 
 
-def _events(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """[event, ORDER] symbols: each character of each padded word with what stands before it; and the word of each."""
+def _events(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """[event, ORDER] symbols: each character of each padded word with what stands before it; and the word of each.
+
+    Events come in parts of a bounded size, however long a word is.
+    """
     pad = np.full(ORDER - 1, _EDGE_BEFORE, np.uint32)
     lengths = np.array([len(w) + 1 for w in words])
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
     starts = np.cumsum(lengths + ORDER - 1) - (lengths + ORDER - 1)
     line = np.empty(int((lengths + ORDER - 1).sum()), np.uint32)
     whose = np.repeat(np.arange(len(words)), lengths)
@@ -78,7 +85,8 @@ def _events(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     last[np.cumsum(lengths) - 1] = True
     line[at[last]] = _EDGE_AFTER
     line[at[~last]] = codes
-    return line[at[:, None] + np.arange(1 - ORDER, 1)], whose
+    for k in range(0, len(at), SYMBOLS_AT_ONCE):
+        yield line[at[k : k + SYMBOLS_AT_ONCE, None] + np.arange(1 - ORDER, 1)], whose[k : k + SYMBOLS_AT_ONCE]
 
 
 def _hashes(symbols: np.ndarray) -> list[np.ndarray]:
@@ -104,125 +112,125 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Models:
-    """One model for each language, side by side: rows are n-grams by sorted hash, columns languages."""
+class Model:
+    """One language: for each order its n-grams as sorted hashes with interpolated probabilities, and its contexts with backoffs."""
 
-    languages: list[str]
     grams: list[np.ndarray]
     probs: list[np.ndarray]
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
-    floor: float
-    usual: np.ndarray | None = None
-    slack: np.ndarray | None = None
-    sharpness: float = 10.0
-    blocks: list[Models] | None = None
 
     @classmethod
-    def fit(cls, counts: dict[str, dict[str, int]]) -> Models:
-        """From the word counts of each language.
-
-        The longest n-grams have their counts; a shorter one counts the different
-        symbols seen before it. Stored probabilities are already interpolated. More than
-        LANGUAGES_AT_ONCE are fitted in blocks, which changes no score: a language's model
-        depends on others only by the number of symbols.
-        """
-        languages = sorted(counts)
-        floor = 1.0 / (len(set().union(*(w for c in counts.values() for w in c))) + 2)
-        if len(languages) > LANGUAGES_AT_ONCE:
-            parts = [languages[k : k + LANGUAGES_AT_ONCE] for k in range(0, len(languages), LANGUAGES_AT_ONCE)]
-            return cls(languages, [], [], [], [], floor, blocks=[cls._block({x: counts[x] for x in part}, floor) for part in parts])
-        return cls._block(counts, floor)
-
-    @classmethod
-    def _block(cls, counts: dict[str, dict[str, int]], floor: float) -> Models:
-        languages = sorted(counts)
-        n = len(languages)
-        words = sorted(set().union(*counts.values())) or [""]
-        times = np.array([[counts[x].get(w, 0) for x in languages] for w in words], np.float64).reshape(len(words), n)
-        symbols, whose = _events(words)
-        grams, ctx_of, weight = [], [], []
+    def fit(cls, counts: dict[str, int], floor: float) -> Model:
+        """From word counts. The longest n-grams have their counts; a shorter one counts the different symbols seen before it."""
+        words = sorted(counts) or [""]
+        times = np.array([counts.get(w, 0) for w in words], float)
+        parts = list(_events(words))
+        symbols, whose = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
         hashes, ctx = _hashes(symbols), _context_hashes(symbols)
-        top, first, back = np.unique(hashes[-1], return_index=True, return_inverse=True)
-        total = np.zeros((len(top), n))
-        for c in range(n):
-            total[:, c] = np.bincount(back, times[whose, c], len(top))
-        rows = first
-        levels = [(top, rows, total)]
+        top, rows, back = np.unique(hashes[-1], return_index=True, return_inverse=True)
+        levels = [(top, rows, np.bincount(back, times[whose], len(top)))]
         for k in range(ORDER - 2, -1, -1):
-            longer, rows, seen = levels[-1]
-            keys = hashes[k][rows]
-            short, where, back = np.unique(keys, return_index=True, return_inverse=True)
-            cont = np.zeros((len(short), n))
-            for c in range(n):
-                cont[:, c] = np.bincount(back, seen[:, c] > 0, len(short))
-            levels.append((short, rows[where], cont))
-        levels.reverse()
-        probs, contexts, backoff = [], [], []
-        for k, (keys, rows, seen) in enumerate(levels):
+            _, rows, seen = levels[-1]
+            short, where, back = np.unique(hashes[k][rows], return_index=True, return_inverse=True)
+            levels.append((short, rows[where], np.bincount(back, seen > 0, len(short))))
+        out = cls([], [], [], [])
+        below, lower = np.zeros(0, np.uint64), np.zeros(0)
+        for k, (keys, rows, seen) in enumerate(reversed(levels)):
             ctx_keys, back = np.unique(ctx[k][rows], return_inverse=True)
-            mass, kinds = np.zeros((len(ctx_keys), n)), np.zeros((len(ctx_keys), n))
-            for c in range(n):
-                mass[:, c] = np.bincount(back, seen[:, c], len(ctx_keys))
-                kinds[:, c] = np.bincount(back, seen[:, c] > 0, len(ctx_keys))
+            mass, kinds = np.bincount(back, seen, len(ctx_keys)), np.bincount(back, seen > 0, len(ctx_keys))
             left = np.where(mass > 0, DISCOUNT * kinds / np.maximum(mass, 1), 1.0)
-            lower = probs[k - 1][np.searchsorted(levels[k - 1][0], hashes[k - 1][rows])] if k else np.full((len(keys), n), floor)
-            probs.append(np.maximum(seen - DISCOUNT, 0) / np.maximum(mass[back], 1) + left[back] * lower)
-            grams.append(keys)
-            contexts.append(ctx_keys)
-            backoff.append(left)
-        return cls(languages, grams, [p.astype(np.float32) for p in probs], contexts, [b.astype(np.float32) for b in backoff], floor)
-
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """[word, language + 1]: the bits that each language needs for the padded word, and its number of symbols."""
-        if self.blocks:
-            each = [b.word_scores(words) for b in self.blocks]
-            return np.concatenate([*(x[:, :-1] for x in each), each[0][:, -1:]], axis=1)
-        symbols, whose = _events(words)
-        hashes, ctx = _hashes(symbols), _context_hashes(symbols)
-        n = len(self.languages)
-        p = np.full((len(symbols), n), self.floor, np.float32)
-        weight = np.ones((len(symbols), n), np.float32)
-        todo = np.arange(len(symbols))
+            shorter = lower[np.searchsorted(below, hashes[k - 1][rows])] if k else floor
+            below, lower = keys, np.maximum(seen - DISCOUNT, 0) / np.maximum(mass[back], 1) + left[back] * shorter
+            out.grams.append(keys)
+            out.probs.append(lower.astype(np.float32))
+            out.contexts.append(ctx_keys)
+            out.backoff.append(left.astype(np.float32))
+        return out
+
+    def probabilities(self, hashes: list[np.ndarray], ctx: list[np.ndarray], floor: float) -> np.ndarray:
+        """Of each event: the longest n-gram that is known, after the backoffs of the contexts it was sought in."""
+        n = len(hashes[0])
+        p, weight, todo = np.full(n, floor, np.float32), np.ones(n, np.float32), np.arange(n)
         for k in range(ORDER - 1, -1, -1):
             at, hit = _find(self.grams[k], hashes[k][todo])
-            done = todo[hit]
-            p[done] = weight[done] * self.probs[k][at[hit]]
+            p[todo[hit]] = weight[todo[hit]] * self.probs[k][at[hit]]
             todo = todo[~hit]
             if not len(todo):
-                break
+                return p
             at, hit = _find(self.contexts[k], ctx[k][todo])
             weight[todo[hit]] *= self.backoff[k][at[hit]]
-        else:
-            p[todo] = weight[todo] * self.floor
-        ends = np.searchsorted(whose, np.arange(len(words)))
-        bits = np.add.reduceat(-np.log2(p), ends, axis=0)
-        return np.concatenate([bits, np.bincount(whose, minlength=len(words))[:, None]], axis=1).astype(np.float32)
+        p[todo] = weight[todo] * floor
+        return p
+
+
+@dataclass
+class Models:
+    """A model for each language, and the calibration of all."""
+
+    languages: list[str]
+    models: list[Model]
+    floor: float
+    usual: np.ndarray | None = None
+    slack: np.ndarray | None = None
+    sharpness: float = 10.0
+
+    @classmethod
+    def fit(cls, counts: dict[str, dict[str, int]]) -> Models:
+        """From the word counts of each language; a language's model depends on others only by the number of symbols."""
+        languages = sorted(counts)
+        floor = 1.0 / (len(set().union(*(w for c in counts.values() for w in c))) + 2)
+        return cls(languages, [Model.fit(counts[x], floor) for x in languages], floor)
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """[word, language + 1]: the bits that each language needs for the padded word, and its number of symbols."""
+        out = np.zeros((len(words), len(self.languages) + 1))
+        for symbols, whose in _events(words):
+            hashes, ctx = _hashes(symbols), _context_hashes(symbols)
+            for c, m in enumerate(self.models):
+                out[:, c] += np.bincount(whose, -np.log2(m.probabilities(hashes, ctx, self.floor)), len(words))
+            out[:, -1] += np.bincount(whose, minlength=len(words))
+        return out.astype(np.float32)
 
     def scorer(self):
         """A function from texts to [text, language + 1] sums of bits and of symbols, with a bounded memory of words."""
         known: dict = {}
         table = np.zeros((0, len(self.languages) + 1), np.float32)
-        scale = min(1.0, LANGUAGES_AT_ONCE / max(len(self.languages), 1))
-        most_known, most_words, most_of_text, most_new = (max(int(scale * n), 1) for n in (KNOWN_WORDS, 150_000, 100_000, 20_000))
-
-        def learn(new: list) -> None:
-            nonlocal table
-            parts = [self.word_scores([_as_str(w) for w in new[k : k + most_new]]) for k in range(0, len(new), most_new)]
-            if len(known) + len(new) > most_known:
-                known.clear()
-                table = table[:0]
-            table = np.concatenate([table[: len(known)], *parts])
-            known.update(zip(new, range(len(known), len(known) + len(new))))
+        held = 0
+        scale = min(1.0, FULL_LANGUAGES / max(len(self.languages), 1))
+        most_words, most_of_text = (max(int(scale * n), 1) for n in (150_000, 100_000))
+
+        def scored(new: list) -> np.ndarray:
+            parts, at, chars = [table[:0]], 0, 0
+            for i, w in enumerate(new):
+                if i > at and chars + len(w) > scale * CHARS_AT_ONCE:
+                    parts.append(self.word_scores([_as_str(x) for x in new[at:i]]))
+                    at, chars = i, 0
+                chars += len(w)
+            if new[at:]:
+                parts.append(self.word_scores([_as_str(x) for x in new[at:]]))
+            return np.concatenate(parts)
+
+        def size_of(new: list) -> int:
+            return sum(map(len, new)) + len(new) * (100 + 4 * table.shape[1])
 
         def bulk(words: list) -> np.ndarray:
-            new = list(set(words).difference(known))
+            nonlocal table, held
+            different = set(words)
+            long = [w for w in different if len(w) > KNOWN_WORD]
+            different.difference_update(long)
+            new = list(different.difference(known))
+            if known and held + size_of(new) > KNOWN_BYTES:
+                known.clear()
+                table, held, new = table[:0], 0, list(different)
             if new:
-                if len(known) + len(new) > most_known:
-                    known.clear()
-                    new = list(set(words))
-                learn(new)
-            return table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+                table = np.concatenate([table, scored(new)])
+                known.update(zip(new, range(len(known), len(known) + len(new))))
+                held += size_of(new)
+            if not long:
+                return table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+            place = known | dict(zip(long, range(len(table), len(table) + len(long))))
+            return np.concatenate([table, scored(long)])[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
 
         def score(texts: list) -> np.ndarray:
             out = np.zeros((len(texts), len(self.languages) + 1))
@@ -277,16 +285,16 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     Shares of each language are counted over all of them; then a hash picks documents up to
     TRAIN_CHARS characters of each, and CALIBRATION_DOCS others to calibrate on. With more than
-    LANGUAGES_AT_ONCE languages all are kept, with so much less of each that the whole stays bounded.
+    FULL_LANGUAGES languages all are kept, with so much less of each that the whole stays bounded.
     The driver receives word counts and calibration sums only.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & _train_fold("doc_id"))
     sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).where("chars > 0").collect()
     if not sizes:
-        return Models([], [], [], [], [], 1.0)
+        return Models([], [], 1.0)
     pick = F.pmod(F.xxhash64("lang", "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    scale = min(1.0, LANGUAGES_AT_ONCE / len(sizes))
+    scale = min(1.0, FULL_LANGUAGES / len(sizes))
     shares = {r["lang"]: min(0.75, scale * TRAIN_CHARS / r["chars"]) for r in sizes}
     # each document to calibrate on has a sum for every language
     more = {r["lang"]: min(0.25, scale**2 * CALIBRATION_DOCS / r["n"]) for r in sizes}
@@ -304,7 +312,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     counts: dict[str, dict[str, int]] = {}
     for x, w, n in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n"))):
         counts.setdefault(x, {})[w] = n
-    models = Models.fit(counts) if counts else Models([], [], [], [], [], 1.0)
+    models = Models.fit(counts) if counts else Models([], [], 1.0)
     if counts:
         _calibrate(models, sample.where("NOT train"))
     release(sample)
@@ -384,7 +392,11 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 
 
 def accepted(docs: DataFrame, text: str = "text", **names) -> DataFrame:
-    """The rows of `docs` that aren't rejected, with all columns as they are."""
+    """The rows of `docs` that aren't rejected, with all columns as they are.
+
+    Null texts, texts without a letter and those far from all languages go, as do all without any row to
+    learn from. Repeated rows all stay or go; texts of any length are judged whole; an empty table stays empty.
+    """
     models = fit(docs, text=text, **names)
     bare, new, back = carried(docs)
     return back(predictions(bare, models, bare.columns, new[text]).where("NOT rejected"))
