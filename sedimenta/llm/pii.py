@@ -28,17 +28,37 @@ NEAR = 32
 # Base patterns. A run can't begin where the one before could have gone on, so the
 # look-behinds change no match and keep long runs linear.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*+\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-# Candidates beyond them.
-_WRITTEN_EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}(?:\s?(?:\(at\)|\[at\]|\{at\})\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s|\.)\s?[A-Za-z0-9-]{2,63}){1,4}|\s?\sat\s\s?[A-Za-z0-9-]{1,63}(?:(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s?|\.)[A-Za-z0-9-]{2,63}){1,4})(?![\w-])")
-#: What any written-out email holds. After a plain "at", a full stop and a space end a sentence.
-_WRITTEN_AT = re.compile(r"(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?[A-Za-z0-9-]{1,63}\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s|\.)\s?[A-Za-z0-9-]{2}")
+# Candidates beyond them. Runs are possessive and can't begin inside themselves, so all are linear.
+_DOT = r"(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s)"
+_AT = r"(?:\(at\)|\[at\]|\{at\})"
+#: A written-out email. After a plain "at", a full stop and a space end a sentence.
+_WRITTEN_EMAIL = re.compile(rf"(?<![\w.%+-])[A-Za-z0-9._%+-]++(?:\s?{_AT}\s?[A-Za-z0-9-]++(?:\s?(?:{_DOT}|\.)\s?[A-Za-z0-9-]{{2,}}+)+|\s?\sat\s\s?[A-Za-z0-9-]++(?:(?:\s?{_DOT}\s?|\.)[A-Za-z0-9-]{{2,}}+)+)(?![\w-])")
+#: What any written-out email holds.
+_WRITTEN_AT = re.compile(rf"(?:{_AT}|\sat\s)\s?[A-Za-z0-9-]++\s?(?:{_DOT}|\.)\s?[A-Za-z0-9-]{{2}}")
 _LOCAL_PHONE = re.compile(r"(?<![\w+.-])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,128}))")
+#: What secrets of known forms hold, and their patterns; a group is the secret itself. A name and
+#: a value may be anything, so they come last.
+_SECRETS = tuple(
+    (held, re.compile(pattern))
+    for held, pattern in (
+        ("-----BEGIN ", r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,.]|-(?!----))*+(?:-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----)?"),
+        ("IA", r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])"),
+        ("sk-", r"(?<![A-Za-z0-9])sk-[A-Za-z0-9_-]{20,}+"),
+        ("gh", r"(?<![A-Za-z0-9])gh[oprsu]_[A-Za-z0-9]{30,}+"),
+        ("github_pat_", r"(?<![A-Za-z0-9])github_pat_[A-Za-z0-9_]{30,}+"),
+        ("glpat-", r"(?<![A-Za-z0-9])glpat-[A-Za-z0-9_-]{20,}+"),
+        ("xox", r"(?<![A-Za-z0-9])xox[abeprs]-[A-Za-z0-9-]{10,}+"),
+        ("AIza", r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"),
+        ("eyJ", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
+        ("://", r"://[^\s/:@]++:([^\s/@]++)@"),
+    )
+)
+_KNOWN_SECRET = re.compile(r"A[KS]IA|sk-|gh[oprsu]_|github_pat_|glpat-|xox[abeprs]-|AIza|eyJ|-----BEGIN|[0-9a-f]{16,}+\Z")
+_NAMED_SECRET = re.compile(r"(?<![A-Za-z0-9])(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|(?:access|private|secret)[_-]?key)[\"']?\s*+[=:]\s*+[\"']?([^\s\"']{6,}+)|(?<![A-Za-z0-9])(?i:bearer)\s++([A-Za-z0-9._~+/=-]{16,}+)")
 
 #: Gazetteers and cue words.
 _TOP_DOMAINS = frozenset("com net org edu gov mil int info biz io co de fr es it uk us ca au nl be ch at pl se no dk fi pt br mx ar in jp cn ru eu example test".split())
@@ -103,24 +123,39 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    for held, pattern in _SECRETS:
+        if held in text:
+            yield from (m.span(m.lastindex or 0) for m in pattern.finditer(text))
+    if ":" in text or "=" in text or "earer" in text.lower():
+        yield from (m.span(m.lastindex) for m in _NAMED_SECRET.finditer(text))
+
+
+def _apart(base: list[Span], more: list[Span]) -> Iterator[Span]:
+    """Those of `more`, all of one kind, that overlap no base span and none before them; in one pass over both in order."""
+    k, past = 0, 0
+    for s in sorted(more):
+        while k < len(base) and base[k].end <= s.start:
+            k += 1
+        if s.start >= past and (k == len(base) or base[k].start >= s.end):
+            yield s
+            past = s.end
+
+
 def candidates(text: str) -> list[Span]:
     """Base spans, and others that overlap none of the same kind: written-out emails, short cards, phones without +, secrets."""
     out = base_spans(text)
-    more: list[Span] = []
+    more: dict[int, list[Span]] = {}
     if _WRITTEN_AT.search(text):
-        more += [Span(0, m.start(), m.end(), False) for m in _WRITTEN_EMAIL.finditer(text)]
+        more[0] = [Span(0, m.start(), m.end(), False) for m in _WRITTEN_EMAIL.finditer(text)]
     if re.search("[0-9]", text):
-        for m in _CARD.finditer(text):
-            if 13 <= m.end() - m.start() <= 64 and (13 <= len(d := _digits(m.group())) <= 15 and d[0] in "345" and _luhn(d)):
-                more.append(Span(2, m.start(), m.end(), False))
-        more += [Span(3, m.start(), m.end(), False) for m in _LOCAL_PHONE.finditer(text)]
-    if "AKIA" in text or ":" in text or "=" in text:
-        more += [Span(4, *(m.span(1) if m.group(1) else m.span()), False) for m in _SECRET.finditer(text)]
-    taken = {(s.kind, s.start, s.end) for s in out}
-    for s in more:
-        if not any(k == s.kind and a < s.end and s.start < b for k, a, b in taken):
-            out.append(s)
-            taken.add((s.kind, s.start, s.end))
+        short = ((m, _digits(m.group())) for m in _CARD.finditer(text) if 13 <= m.end() - m.start() <= 64)
+        more[2] = [Span(2, m.start(), m.end(), False) for m, d in short if 13 <= len(d) <= 15 and d[0] in "345" and _luhn(d)]
+        more[3] = [Span(3, m.start(), m.end(), False) for m in _LOCAL_PHONE.finditer(text)]
+    more[4] = [Span(4, a, b, False) for a, b in _secrets(text)]
+    for kind, spans in more.items():
+        if spans:
+            out += list(_apart([s for s in out if s.kind == kind], spans))
     return sorted(out)
 
 
@@ -148,7 +183,7 @@ def votes(text: str, s: Span) -> tuple[int, ...]:
     else:
         kinds = sum(bool(re.search(p, found)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
         form = 1 if kinds >= 2 else -1
-        known = 1 if found.startswith("AKIA") or re.fullmatch("[0-9a-f]{16,}", found) else 0
+        known = 1 if _KNOWN_SECRET.match(found) else 0
     if len(digits) >= 8 and len(set(digits)) <= 2:
         form = -1
     context = 1 if any(w in _CUES[kind] for w in before[-4:]) else -1 if any(w in _COUNTER_CUES for w in before[-2:]) else 0
@@ -204,7 +239,7 @@ def fit(candidates_: DataFrame) -> Classifier:
     Patterns are at most 3^5 a kind, so the driver receives a bounded table.
     """
     each = candidates_.select(F.explode("found").alias("s")).select("s.kind", "s.votes", "s.features")
-    patterns = each.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
+    patterns = sorted(each.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["kind"], r["votes"]))
     models, total = {}, sum(r["n"] for r in patterns)
     for kind in sorted({r["kind"] for r in patterns}):
         mine = [r for r in patterns if r["kind"] == kind]
@@ -216,7 +251,7 @@ def fit(candidates_: DataFrame) -> Classifier:
     counted = each.groupBy("kind", "votes", "features").agg(F.count("*").alias("n"))
     sample = counted.where(pick < share).orderBy(pick, "kind", "votes", "features").limit(TRAIN_CANDIDATES).collect()
     if not sample:
-        sample = counted.limit(TRAIN_CANDIDATES).collect()
+        sample = counted.orderBy(pick, "kind", "votes", "features").limit(TRAIN_CANDIDATES).collect()
     target = np.array([float(models[r["kind"]].posterior([r["votes"]])[0]) for r in sample])
     weights, bias = fit_linear(Rows([r["features"] for r in sample]), target, FEATURES, np.array([r["n"] for r in sample], float))
     return Classifier(weights, bias, {KINDS[k]: m.reliability() for k, m in models.items()})
@@ -227,20 +262,23 @@ def _digest(spans: list[dict]) -> str:
 
 
 def detected(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """`keep`, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added for each whole text.
+    """`keep`, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and has_pii for each whole text.
 
     Counts and base_sha256 are of base spans; spans lists all, by kind and start, in code
-    points with exclusive ends; n_added is the number beyond the base ones. A null text is
-    an empty one: no spans. Repeated rows each get a row.
+    points with exclusive ends; n_added is the number beyond the base ones, and has_pii tells
+    whether there is any span. A null text is an empty one: no spans. Texts of any length take time in
+    proportion. Repeated rows each get a row; an empty table gives no rows; other columns aren't read.
     """
     all_found = stage(found(docs, keep, text))
     model = fit(all_found)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    added = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
+    added = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, has_pii boolean"
+
+    types = {"base_sha256": pa.string(), "spans": pa.string(), "has_pii": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: dict[str, list] = {n: [] for n in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")}
+            made: dict[str, list] = {n: [] for n in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "has_pii")}
             for spans in batch.column(len(keep)).to_pylist():
                 base, kept = [s for s in spans if s["base"]], model.accepted(spans)
                 for k in range(4):
@@ -248,7 +286,8 @@ def detected(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 made["base_sha256"].append(hashlib.sha256(_digest(base).encode()).hexdigest())
                 made["spans"].append(_digest(kept))
                 made["n_added"].append(len(kept) - len(base))
-            arrays = [pa.array(v, pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n, v in made.items()]
+                made["has_pii"].append(bool(kept))
+            arrays = [pa.array(v, types.get(n, pa.int64())) for n, v in made.items()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *arrays], names=[*keep, *made])
 
     return all_found.mapInArrow(run, f"{fields}, {added}" if keep else added)
@@ -270,7 +309,10 @@ def mask(text: str, spans: list[dict]) -> str:
 
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with personal data in `text` replaced; other columns, and null texts, as they are."""
+    """`docs` with personal data in `text` replaced; other columns, and null texts, as they are.
+
+    Repeated rows are all masked alike; spans that overlap, also of different kinds, go as one; an empty table stays empty.
+    """
     all_found = stage(found(docs, [], text))
     model = fit(all_found)
     release(all_found)
