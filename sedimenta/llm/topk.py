@@ -100,7 +100,7 @@ def _search(queries: pa.Table, rows: pa.Table, k: int, scale: int) -> Iterator[d
         for i, hits in enumerate(found):
             for score, r in sorted(hits, key=lambda x: (-x[0], x[1]))[:k]:
                 n = int(times[r]) - (ids[r] == q_ids[qa + i] and vectors[r] == part[i])
-                yield {"query_id": q_ids[qa + i], "q": queries["q"][qa + i].as_py(), "vec_id": ids[r], "score": score, "times": min(n, k)}
+                yield {"query_id": q_ids[qa + i], "q": queries["q"][qa + i].as_py(), "asked": queries["times"][qa + i].as_py(), "vec_id": ids[r], "score": score, "times": min(n, k)}
 
 
 def exact_top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -109,8 +109,9 @@ def exact_top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
     Components become floor(scale * x); the score is the inner product, over the common
     length if lengths differ, held to the range of a long. Ties go to the smaller id, null
     ids last. Vectors that are null or hold a null or non-finite component take no
-    part; an empty vector scores 0 everywhere. A row that repeats counts as often as
-    it is there, and only one of its copies is a query.
+    part; an empty vector scores 0 everywhere. A row that repeats is as often a candidate, and
+    a query, as it is there: each of its copies has rows of its own, and may find the others. An empty
+    table, or one without a query, gives no rows; other columns aren't read.
 
     Equal rows are first counted together, so a very common vector is one row. Queries
     and rows then meet tile by tile: each tile holds a bounded number of both, and gives
@@ -127,10 +128,11 @@ def exact_top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
     asked = rows.where(F.col("vec_id") % every == 0).withColumn("q", part).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).withColumn("j", F.pmod(F.xxhash64("q"), F.lit(down)))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(list(_search(left, right, k, scale)), schema=pa.schema([("query_id", pa.int64()), ("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("times", pa.int64())]))
+        return pa.Table.from_pylist(list(_search(left, right, k, scale)), schema=pa.schema([("query_id", pa.int64()), ("q", pa.int64()), ("asked", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("times", pa.int64())]))
 
-    met = asked.groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInArrow(tile, "query_id long, q long, vec_id long, score long, times long")
+    met = asked.groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInArrow(tile, "query_id long, q long, asked long, vec_id long, score long, times long")
     each = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).where("times > 0")
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "copy")
     ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    each_copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("asked")))
+    return ranked.withColumn("__copy", each_copy).select("query_id", "rank", "vec_id", "score")
