@@ -67,41 +67,82 @@ def with_rules(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES) ->
     return pages.join(best, ["host", "path"], "left")
 
 
-def canonical(url: Column) -> Column:
-    """The address that a plain site redirects a variant of it to.
+#: Parameters of a query string that only say where a visitor came from.
+TRACKING = "utm_[a-z]+|gclid|fbclid|msclkid|ref"
 
-    Scheme and leading www. go, the host is lower-cased, and query, fragment, an
-    .html ending, an index page and trailing slashes go.
+
+def address(url: Column) -> Column:
+    """What a url asks for: host, path and query string; null without ://.
+
+    The scheme, a default port and the fragment make no other address, nor does an empty path other than /.
     """
-    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(path_of(url), r"/+$", ""), r"/index\.html?$", ""), r"\.html?$", "")
-    return F.when(url.contains("://"), F.concat(F.regexp_replace(host_of(url), r"^www\.", ""), path))
+    host = F.regexp_replace(host_of(url), r":(80|443)?$", "")
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    query = F.regexp_extract(url, r"://[^?#]*(\?[^#]*)", 1)
+    return F.when(url.contains("://"), F.concat(host, path, F.when(query == "?", "").otherwise(query)))
+
+
+def plain_form(at: Column) -> Column:
+    """The address that a site redirects a variant of it to: without a leading www. and tracking parameters."""
+    bare = F.regexp_replace(at, r"^www\.", "")
+    asked = F.split(F.regexp_extract(bare, r"(?s)\?(.*)\z", 1), "&")
+    kept = F.array_join(F.filter(asked, lambda x: (x != "") & ~x.rlike(rf"^(?:{TRACKING})=[^&]*\z")), "&")
+    return F.concat(F.regexp_extract(bare, r"^([^?]*)", 1), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+
 
+def resolved(link: Column, url: Column) -> Column:
+    """The absolute url that a link on a page leads to; null for one that leads nowhere else.
 
-#: Canonical links and immediate redirects in a page's source.
-LINK_PATTERNS = (
-    r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical["']?[^>]*?\bhref\s*=\s*["']([^"'>]+)""",
-    r"""(?is)<link\b[^>]*?\bhref\s*=\s*["']([^"'>]+)["'][^>]*?\brel\s*=\s*["']?canonical""",
-    r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*?\burl\s*=\s*["']?([^"'>\s]+)""",
+    Links may be absolute, without a scheme, without a host, relative to the page's folder, or a query string;
+    . and .. in paths are followed. The scheme makes no difference to an address, so http stands for it.
+    """
+    link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
+    site = F.concat(F.lit("http://"), host_of(url))
+    bare, query = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(\?[^#]*)", 1)
+    folder = F.regexp_extract(path_of(url), r"^(.*/)?", 1)
+    full = F.when(bare.startswith("/"), bare).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), bare))
+    parts = F.split(full, "/")
+    step = lambda at, x: F.when(x == ".", at).when(x == "..", F.regexp_replace(at, "/[^/]*$", "")).otherwise(F.concat(at, F.lit("/"), x))
+    walked = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.lit(""), step)  # the first part is empty
+    path = F.concat(walked, F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+    return (
+        F.when(url.isNull() | (link == "") | link.startswith("#"), None)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.startswith("//"), F.concat(F.lit("http:"), link))
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(link.startswith("?"), F.concat(site, path_of(url), query))
+        .otherwise(F.concat(site, path, query))
+    )
+
+
+#: Tags that can lead elsewhere, and what says so and where to: canonical links and refresh redirects, attributes in any order.
+TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
+LINKS = (
+    (r"(?is)^<link\b.*\brel\s*=\s*[\"']?\s*canonical\b", r"(?is)\bhref\s*=\s*(?:\"([^\">]*)|'([^'>]*)|([^\"'\s>]+))"),
+    (r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b", r"(?is)\burl\s*=\s*(?:&quot;|[\"'])?([^\"'>\s]+)"),
 )
 
 
-def alias_edges(pages: DataFrame, html: str | None = "html") -> DataFrame:
-    """(a, b): a url and an address that it leads to.
+def links_of(html: Column) -> Column:
+    """The targets of all canonical links and refresh redirects in a page's source, as they stand there."""
+    tags = F.regexp_extract_all(html, F.lit(TAGS), 0)
+    (canonical, href), (refresh, to) = LINKS
+    each = F.transform(tags, lambda t: F.when(t.rlike(canonical), F.concat(*(F.regexp_extract(t, href, k) for k in (1, 2, 3)))).when(t.rlike(refresh), F.regexp_extract(t, to, 1)))
+    # most pages have neither word, so tags are rarely looked at
+    asked = F.lower(html).contains("canonical") | F.lower(html).contains("refresh")
+    return F.when(asked, F.filter(each, lambda x: x.isNotNull() & (x != "")))
+
 
-    Edges come from the url's own canonical form and, if `html` names a column, from
-    canonical links and refresh redirects. A target without a host is taken as a path
-    on the page's host. Urls without :// have no edges.
+def alias_edges(pages: DataFrame, html: str | None = "html") -> DataFrame:
+    """(a, b): an address and one that it leads to: its plain form and, if `html` names a column, the targets
+    of the page's canonical links and refresh redirects. Urls without :// have no edges.
     """
-    own = canonical(F.col("url"))
-    targets = [own]
+    own = address(F.col("url"))
+    made = pages.where(F.col("url").contains("://")).select(own.alias("a"), plain_form(own).alias("b"))
     if html is not None:
-        source = F.col(html)
-        for pattern in LINK_PATTERNS:
-            # most pages have neither word, so the pattern is rarely run
-            found = F.when(F.lower(source).contains("canonical" if "canonical" in pattern else "refresh"), F.regexp_extract(source, pattern, 1))
-            absolute = F.when(found.contains("://"), found).when(found.startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), found))
-            targets.append(canonical(absolute))
-    made = pages.where(F.col("url").contains("://")).select(own.alias("a"), F.explode(F.array(*targets)).alias("b"))
+        targets = F.transform(links_of(F.col(html)), lambda x: address(resolved(x, F.col("url"))))
+        linked = pages.where(F.col("url").contains("://")).select(own.alias("a"), F.explode(targets).alias("b"))
+        made = made.unionByName(linked).unionByName(linked.select(F.col("b").alias("a"), plain_form(F.col("b")).alias("b")))
     return made.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
 
 
@@ -112,14 +153,20 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, html:
     component of addresses that redirects, canonical links and given `edges` (a, b: urls)
     join: if a page of it is expressly allowed, it is allowed; else, if one
     is blocked, it is blocked; else it gets `default`. Null urls and urls without :// have
-    an empty host and path, no rule and no aliases. Repeated rows each get a row.
+    an empty host and path, no rule and no aliases; null or odd html has no links. Repeated rows
+    each get a row; an empty table gives no rows; other columns, whatever their names, aren't read.
+
+    The components and the classes join by shuffles of addresses; adaptive execution broadcasts a side only
+    below the session's own threshold.
     """
     cols = ["page_id", "url", *([html] if html else [])]
     base = pages.select(*cols).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     links = alias_edges(pages.select(*cols), html)
     if edges is not None:
-        links = links.unionByName(edges.select(canonical(F.col("a")).alias("a"), canonical(F.col("b")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b"))
-    hits = stage(with_rules(base.select("page_id", "host", "path", canonical(F.col("url")).alias("node")), rules))
+        given = edges.select(address(F.col("a")).alias("a"), address(F.col("b")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+        forms = [given.select(x, plain_form(F.col(x)).alias("__form")).toDF("a", "b") for x in ("a", "b")]
+        links = links.unionByName(given).unionByName(forms[0]).unionByName(forms[1]).where("a <> b")
+    hits = stage(with_rules(base.select("page_id", "host", "path", address(F.col("url")).alias("node")), rules))
     roots = components(links)
     votes = hits.where("node IS NOT NULL").groupBy("node").agg(F.max(F.col("hit.verdict") == "allow").alias("allows"), F.max(F.col("hit.verdict") == "block").alias("blocks"))
     rooted = votes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
