@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import per_text, stage
+from sedimenta.llm.common import per_text, release, stage
 from sedimenta.llm.weak import Labellers, Rows, fit_linear, sigmoid
 
 #: Buckets of hashed byte trigrams, and the bound of the sample that the scorer is trained on.
@@ -20,8 +20,8 @@ TRIGRAM_MASS = 20.0
 PART_BYTES = 1 << 20
 
 #: For each measure, the highest (or, if first > second, lowest) value of an
-#: unsuspicious text and the value from which it speaks against one. Labellers don't speak for
-#: a text: kinds of bad texts differ, so an absent sign says little.
+#: unsuspicious text and the value from which it speaks against one. A measure's labeller doesn't
+#: speak for a text: kinds of bad texts differ, so one absent sign says little.
 MEASURES = {
     "symbols": (0.02, 0.08),
     "capitals": (0.15, 0.45),
@@ -32,11 +32,10 @@ MEASURES = {
     "bars": (0.01, 0.03),
     "sentences": (0.04, 0.02),
 }
+#: Labellers that speak for texts: those unsuspicious in all measures but these.
+SPEAK_FOR = {"plain": ("few_words",), "plain_and_long": ()}
+LABELLERS = (*MEASURES, *SPEAK_FOR)
 BINS = 8
-#: The least share of its votes in which each labeller is held to be right.
-RIGHT_AGAINST = 0.85
-#: The share of good texts that is assumed: what a text without any sign is taken for.
-GOOD_SHARE = 0.9
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _POINT, _SYMBOL, _BAR = range(7)
 
@@ -93,8 +92,10 @@ def measures(text: str) -> list[float]:
 
 
 def vote(values: list[float]) -> list[int]:
-    """-1 against a text, 0 if nothing speaks against it."""
-    return [-int(x >= bad if good < bad else x <= bad) for x, (good, bad) in zip(values, MEASURES.values())]
+    """For each of LABELLERS 1 for a text, -1 against it, or 0."""
+    against = [-int(x >= bad if good < bad else x <= bad) for x, (good, bad) in zip(values, MEASURES.values())]
+    fine = {n: x <= good if good < bad else x >= good for x, (n, (good, bad)) in zip(values, MEASURES.items())}
+    return [*against, *(int(all(ok for n, ok in fine.items() if n not in leave)) for leave in SPEAK_FOR.values())]
 
 
 def bins(values: list[float]) -> list[int]:
@@ -140,6 +141,8 @@ class Scorer(NamedTuple):
 
 
 def votes(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """`keep` and the votes of LABELLERS on each whole text (null: an empty one)."""
+
     def work():
         return lambda texts: {"votes": pa.array([vote(measures(t or "")) for t in texts], pa.list_(pa.int32()))}
 
@@ -147,15 +150,20 @@ def votes(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def fit(docs: DataFrame, text: str = "text") -> tuple[Scorer, Labellers | None]:
-    """Reliabilities from the votes on all texts, and a scorer trained on posteriors of a hash sample of TRAIN_DOCS texts."""
+    """Reliabilities and the share of good texts from the votes on all texts, and a scorer trained on the posteriors
+    of different texts picked by hash, about TRAIN_DOCS at most.
+
+    Rows reach the driver in no order and are put in one, so the fit is the same however the table is partitioned.
+    """
     named = docs.select(F.col(f"`{text}`").alias("text"))
-    cast = stage(votes(named.withColumn("pick", F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)), ["pick"]))
-    patterns = cast.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3 to the number of labellers
+    cast = stage(votes(named, []))
+    patterns = sorted((tuple(r["votes"]), r["n"]) for r in cast.groupBy("votes").agg(F.count("*").alias("n")).collect())  # at most 2 to the number of labellers
+    release(cast)
     if not patterns:
         return Scorer(np.zeros(BUCKETS + len(MEASURES) * BINS), 0.0, {}), None
-    model = Labellers([r["votes"] for r in patterns], [r["n"] for r in patterns], lean=0.5, right_against=RIGHT_AGAINST, prior=GOOD_SHARE)
-    share = min(1.0, TRAIN_DOCS / sum(r["n"] for r in patterns))
-    pick = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
+    model = Labellers([p for p, _ in patterns], [n for _, n in patterns])
+    share = min(1.0, TRAIN_DOCS / sum(n for _, n in patterns))
+    key = F.xxhash64("text")
 
     def work():
         def apply(texts: list) -> dict:
@@ -168,20 +176,21 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Scorer, Labellers | None]:
 
         return apply
 
-    picked = named.where(pick < share).dropDuplicates(["text"])
-    rows = per_text(picked, "text", [], "votes array<int>, features array<int>, shares array<float>", work).limit(TRAIN_DOCS).toArrow()
-    target = model.posterior(np.array(rows.column("votes").to_pylist(), int).reshape(-1, len(MEASURES)))
+    picked = named.where(F.pmod(key, F.lit(1 << 30)) / (1 << 30) < share).dropDuplicates(["text"]).withColumn("key", key).withColumn("size", F.length("text"))
+    rows = per_text(picked, "text", ["key", "size"], "votes array<int>, features array<int>, shares array<float>", work).toArrow().sort_by([("key", "ascending"), ("size", "ascending")])
+    target = model.posterior(np.array(rows.column("votes").to_pylist(), int).reshape(-1, len(LABELLERS)))
     held = Rows([x.values.to_numpy() for x in rows.column("features")], [x.values.to_numpy() for x in rows.column("shares")]) if rows.num_rows else Rows([])
     weights, bias = fit_linear(held, target, BUCKETS + len(MEASURES) * BINS)
-    return Scorer(weights, bias, dict(zip(MEASURES, model.reliability().tolist()))), model
+    return Scorer(weights, bias, dict(zip(LABELLERS, model.reliability().tolist()))), model
 
 
 def scored(docs: DataFrame, keep: list[str], text: str = "text", good_at: float = 0.5) -> DataFrame:
     """`keep`, quality (0 to 1) and good for each whole text.
 
-    No labels are used: heuristics vote, and their agreement over all texts shows how
-    reliable each is. A null text is an empty one. Repeated rows each get a row, equal
-    texts the same score; an empty table gives no rows.
+    No labels are used: heuristics vote for and against texts, and their agreement over all of
+    them shows how reliable each is and how many texts are good. A null text is an empty one.
+    Texts of any length are measured in parts, and equal ones get the same score. Repeated rows
+    each get a row; an empty table gives no rows. Other columns, whatever their names, aren't read.
     """
     model, _ = fit(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 
 
@@ -10,21 +12,17 @@ class Labellers:
 
     Each labeller has a distribution of its votes for true and for false items; both,
     and the share of true ones, are estimated by expectation-maximisation from how
-    often each pattern of votes occurs, beginning with the majority; `lean` is a vote that all
-    items have at that beginning. A labeller's votes against items can be held to be right
-    in a share `right_against` at least: kinds of false items that one labeller alone sees
-    would otherwise count as its errors. The share of true items is estimated unless it is
-    given as `prior`, as it must be where most items have no vote at all.
+    often each pattern of votes occurs, beginning with the majority, until posteriors stand still.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, smooth: float = 1.0, lean: float = 0.0, right_against: float = 0.0, prior: float | None = None):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 2000, smooth: float = 1.0, still: float = 1e-6):
         votes, counts = np.asarray(patterns, int), np.asarray(counts, float)
         self.n = votes.shape[1] if votes.ndim == 2 else 0
-        self.prior = 0.5 if prior is None else prior
+        self.prior = 0.5
         self.logs = np.zeros((2, self.n, 3))
         if not len(counts):
             return
-        true = 1 / (1 + np.exp(-2.0 * (lean + votes.sum(axis=1))))
+        true = sigmoid(2.0 * votes.sum(axis=1))
         for _ in range(rounds):
             for y, share in ((1, true), (0, 1 - true)):
                 weight = share * counts
@@ -32,23 +30,11 @@ class Labellers:
                     seen = np.bincount(votes[:, j] + 1, weight, 3)
                     seen += smooth * (np.array([1, 2, 3]) if y else np.array([3, 2, 1]))  # better than chance, as a start
                     self.logs[y, j] = np.log(seen / seen.sum())
-            if prior is None:
-                self.prior = float(np.clip((true * counts).sum() / counts.sum(), 0.01, 0.99))
-            if right_against:
-                self._hold(votes, counts, right_against)
-            true = self.posterior(votes)
-
-    def _hold(self, votes: np.ndarray, counts: np.ndarray, least: float) -> None:
-        """Keeps each labeller's votes against items right in at least this share."""
-        p = np.exp(self.logs)
-        for j in range(self.n):
-            rate = float(counts[votes[:, j] < 0].sum() / counts.sum())
-            if rate and (1 - self.prior) * p[0, j, 0] < least * rate:
-                for y, share in ((0, least * rate / (1 - self.prior)), (1, (1 - least) * rate / self.prior)):
-                    share = min(share, 0.99)
-                    p[y, j, 1:] *= (1 - share) / p[y, j, 1:].sum()
-                    p[y, j, 0] = share
-        self.logs = np.log(p)
+            self.prior = float(np.clip((true * counts).sum() / counts.sum(), 0.01, 0.99))
+            before, true = true, self.posterior(votes)
+            if np.abs(true - before).max() < still:
+                return
+        warnings.warn(f"reliabilities still move after {rounds} rounds", RuntimeWarning, stacklevel=2)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """The probability that items with these votes are true; abstentions say nothing."""
@@ -80,6 +66,13 @@ class Rows:
     def back(self, errors: np.ndarray, size: int) -> np.ndarray:
         return np.bincount(self.feature, errors[self.row] * self.value, size)
 
+    def where(self, features: np.ndarray) -> Rows:
+        """The same rows with only the features that the mask allows."""
+        keep = features[self.feature]
+        out = Rows([])
+        out.n, out.row, out.feature, out.value = self.n, self.row[keep], self.feature[keep], self.value[keep]
+        return out
+
     def only(self, rows: np.ndarray) -> Rows:
         keep = np.isin(self.row, rows)
         out = Rows([])
@@ -93,7 +86,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_linear(rows: Rows, target: np.ndarray, size: int, weight: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 150, held: int = 10, centre: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+def fit_linear(rows: Rows, target: np.ndarray, size: int, weight: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 300, held: int = 10, centre: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model for soft targets, by limited-memory quasi-Newton steps.
 
     The ridge pulls weights towards `centre`, else towards zero.
@@ -144,4 +137,6 @@ def fit_linear(rows: Rows, target: np.ndarray, size: int, weight: np.ndarray | N
         v, value, slope = new, after, tilt
         if done:
             break
+    else:
+        warnings.warn(f"weights still move after {rounds} rounds", RuntimeWarning, stacklevel=2)
     return v[:size], float(v[size])
