@@ -159,6 +159,17 @@ def test_labellers_find_reliabilities():
     assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.93
 
 
+def test_labellers_that_abstain_and_one_that_errs():
+    """Some speak only against items, one only for them, and one at random: accuracies and the prior come out."""
+    rnd = np.random.RandomState(5)
+    truth = rnd.rand(20000) < 0.8
+    cast = lambda rate_true, rate_false, v: np.where(rnd.rand(20000) < np.where(truth, rate_true, rate_false), v, 0)
+    votes = np.stack([cast(0.002, 0.5, -1), cast(0.002, 0.45, -1), cast(0.05, 0.05, -1), cast(0.97, 0.05, 1), cast(0.8, 0.03, 1)], axis=1)
+    model = weak.Labellers(*np.unique(votes, axis=0, return_counts=True))
+    right = [((votes[:, j] > 0) == truth)[votes[:, j] != 0].mean() for j in range(5)]
+    assert np.allclose(model.reliability(), right, atol=0.05) and abs(model.prior - 0.8) < 0.03
+
+
 def test_linear_model():
     rnd = np.random.RandomState(4)
     rows = [rnd.choice(50, 8, replace=False).tolist() for _ in range(800)]
@@ -210,12 +221,24 @@ def test_scorer_forgets_without_harm(monkeypatch):
     models = langid.Models.fit({"en": {"the": 5, "cat": 3}, "de": {"der": 4, "hut": 2}})
     texts = [f"the cat der hut word{chr(97 + i)}" for i in range(20)] + ["", None]
     want = models.scorer()(texts)
-    monkeypatch.setattr(langid, "KNOWN_WORDS", 6)
+    monkeypatch.setattr(langid, "KNOWN_BYTES", 700)
     score = models.scorer()
     assert np.allclose(np.concatenate([score(texts[:9]), score(texts[9:])]), want)
 
 
+def test_long_words_are_scored_in_parts(monkeypatch):
+    models = langid.Models.fit({"en": {"the": 5, "cat": 3}, "de": {"der": 4, "hut": 2}})
+    texts = ["thecat" * 500 + " der", "hut " + "é" * 3000, "the"]
+    want = models.scorer()(texts)
+    monkeypatch.setattr(langid, "SYMBOLS_AT_ONCE", 7)
+    monkeypatch.setattr(langid, "CHARS_AT_ONCE", 20)
+    assert np.allclose(models.scorer()(texts), want, rtol=1e-5)
+    assert want[:, -1].tolist() == [3001 + 4, 4 + 3001, 4]
+
+
 def test_words():
+    assert langid.words_of("①②③ Ⅷ Ⅸ ½ ² _ 12") == []  # numerals are no letters
+    assert [langid._as_str(w) for w in langid.words_of("नमस्ते दुनिया ª")] == ["नमस्ते", "दुनिया", "ª"]  # marks don't split words
     assert langid.words_of("Ça VA, b1c  ") == ["ça".encode("latin-1"), b"va", b"b", b"c"]
     assert langid.words_of("Дом 数学 été") == ["дом", "数学", "été".encode("latin-1")]
 
@@ -233,9 +256,13 @@ def test_top_k_against_plain_sums():
 
 def test_quality_votes():
     good = "The quick brown fox jumps over the lazy dog. It was seen by a farmer near the river. " * 2 + "He told his wife about what had happened there."
-    assert not any(quality.vote(quality.measures(good)))
+    n = len(quality.MEASURES)
+    good += " Nobody else in that small village had ever noticed anything strange, although many people walked there every morning."
+    assert quality.vote(quality.measures(good)) == [0] * n + [1, 1]
+    short = quality.vote(quality.measures("It was seen by a farmer."))
+    assert min(short[:n]) == 0 and short[n:] == [1, 0]  # plain, but not long
     for bad in ("a%%% b### c$$$ " * 20, "SHOUTING ALL THE TIME! " * 20, "same same same same " * 30, "x | y | z | " * 20, ""):
-        assert any(quality.vote(quality.measures(bad)))
+        assert min(quality.vote(quality.measures(bad))) == -1 and quality.vote(quality.measures(bad))[n:] == [0, 0]
     whole = quality.features("abc " * 50)
     assert np.isclose(sum(v for f, v in zip(*whole) if f < quality.BUCKETS), quality.TRIGRAM_MASS)
 
