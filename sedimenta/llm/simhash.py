@@ -250,22 +250,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(classes, "fp").select("doc_id", text_fp.alias("fingerprint"), "component_id", "root")
 
 
+#: Ids that are taken out by a broadcast, which then has some 50 MB; more are taken out by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the row with the smallest doc_id.
 
     Of rows that repeat that doc_id, and of rows without any doc_id in a component
-    that has none, one stays. All columns are returned as they are.
+    that has none, one stays. All columns are returned as they are; an empty table stays empty.
+
+    Texts stay where they are: the rows that go are looked up by their ids, from a broadcast as long
+    as a count allows it. Only rows whose id is null or occurs again are told apart by their fingerprints.
     """
     found = stage(near_duplicates(docs, doc_id, text, **options))
-    first = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    here = docs.join(first, docs[doc_id] == F.col("__id"))
-    once = here.where("__n = 1").drop("__id", "__n")
-    if first.where("__n > 1").limit(1).count():
-        once = once.unionByName(here.where("__n > 1").dropDuplicates(["__id"]).drop("__id", "__n"))
-    bare = docs.where(F.col(f"`{doc_id}`").isNull())
-    if bare.limit(1).count():
-        nameless = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias("__print"), F.col("root").alias("__root")).distinct()
-        plain, new, back = carried(bare)
-        marked = fingerprints(plain, plain.columns, new[text]).withColumn("__print", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-        once = once.unionByName(back(marked.join(nameless, "__print").dropDuplicates(["__root"])))
-    return once
+    named = found.where("doc_id IS NOT NULL")
+    again = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
+    gone = stage(named.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).unionByName(again).distinct())
+    here = F.col(f"`{doc_id}`")
+    plain, new, back = carried(docs.where(here.isNotNull()))
+    kept = back(plain.join(small(gone, BROADCAST_IDS), F.col(new[doc_id]) == F.col("__id"), "left_anti"))
+    odd = docs.where(here.isNull())
+    repeats = again.limit(1).count()
+    if repeats:
+        more, new, back = carried(docs.where(here.isNotNull()))
+        odd = odd.unionByName(back(more.join(small(again, BROADCAST_IDS), F.col(new[doc_id]) == F.col("__id"), "left_semi")))
+    if not repeats and not found.where("doc_id IS NULL").limit(1).count():
+        return kept
+    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("fingerprint").alias("__print"), F.col("doc_id").alias("__id"), F.col("root").alias("__root")).distinct()
+    bare, new, back = carried(odd)
+    marked = fingerprints(bare, bare.columns, new[text], **{k: v for k, v in options.items() if k in ("width", "seed")}).withColumn("__print", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    met = marked.join(firsts, (marked["__print"] == firsts["__print"]) & F.col(new[doc_id]).eqNullSafe(F.col("__id")))
+    return kept.unionByName(back(met.dropDuplicates(["__root"])))
