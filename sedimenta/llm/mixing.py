@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.common import release, small, stage
 
-#: Blocks that a source's documents are dealt into by hash, as a power of two.
+#: Blocks that a source's documents are dealt into by hash, and parts of the one block that is cut, as powers of two.
 BLOCK_BITS = 12
 #: Sources up to this number are weighed on the driver; more are weighed where they are.
 DRIVER_SOURCES = 100_000
@@ -107,13 +107,35 @@ def _block(seed: int, epoch: Column) -> Column:
     return F.pmod(bits * step + shift, F.lit(1 << BLOCK_BITS)).cast("int")
 
 
+def _part() -> Column:
+    """Which part of its block a row is in, by the next bits of its place."""
+    return F.shiftrightunsigned("place", 64 - 2 * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+
+
+def _cut(rows: DataFrame, by: str, room: str, names: tuple[str, str]) -> DataFrame:
+    """For each source the first value of `by` at which its tokens exceed its room, and what room is left there.
+
+    Sums are combined before the shuffle, and a source has at most 2**BLOCK_BITS of them.
+    """
+    sums = rows.groupBy("source", by).agg(F.sum("n_tokens").alias("tokens"), F.first(room).alias("room"))
+    order = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    over = sums.withColumn("upto", F.sum("tokens").over(order)).where("upto > room")
+    found = over.groupBy("source").agg(F.min(F.struct(by, (F.col("room") - F.col("upto") + F.col("tokens")).alias("left"))).alias("cut"))
+    return found.select("source", F.col("cut")[by].alias(names[0]), F.col("cut.left").alias(names[1]))
+
+
+def _within(rows: DataFrame, cuts: DataFrame, by: str, at: str) -> DataFrame:
+    """The rows at the cut of their source."""
+    return rows.join(small(cuts), rows["source"].eqNullSafe(cuts["source"]) & (rows[by] == cuts[at])).drop(cuts["source"])
+
+
 def plan(rows: DataFrame, seed: int, **options) -> tuple[Mix, DataFrame]:
     """The mix of a table (source, n_tokens, place), and for each source its epochs and where the last one is cut.
 
     A source's budget gives whole epochs and a rest. The rest takes blocks in permuted
-    order; within the block where it runs out, it takes rows by place. Block sums are made
-    before the shuffle, a source has at most 2**BLOCK_BITS of them, and only rows
-    of the one cut block of each source are put in order.
+    order; within the block where it runs out, parts of it, and within the part where it
+    runs out, rows by place. So only one row in 2**(2 * BLOCK_BITS) of a source is put in order in one
+    place, whatever share of all rows the source has.
     """
     totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     totals = stage(totals)
@@ -125,24 +147,24 @@ def plan(rows: DataFrame, seed: int, **options) -> tuple[Mix, DataFrame]:
     budgets = stage(budgets)
     dealt = rows.join(small(budgets.select("source", "epochs", "rest")), rows["source"].eqNullSafe(budgets["source"])).drop(budgets["source"])
     dealt = dealt.withColumn("block", _block(seed, F.col("epochs")))
-    sums = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    filled = sums.withColumn("upto", F.sum("tokens").over(order))
-    over = filled.where("upto > rest").groupBy("source").agg(F.min(F.struct("block", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("room"))).alias("cut"))
-    cuts = stage(over.select("source", F.col("cut.block").alias("cut"), F.col("cut.room").alias("room")))
-    edge = dealt.join(small(cuts), dealt["source"].eqNullSafe(cuts["source"]) & (dealt["block"] == cuts["cut"])).drop(cuts["source"])
+    cuts = stage(_cut(dealt, "block", "rest", ("cut", "room")))
+    edge = stage(_within(dealt, cuts, "block", "cut").select("source", "n_tokens", "place", "room", _part().alias("part")))
+    parts = stage(_cut(edge, "part", "room", ("part_cut", "part_room")))
+    end = _within(edge.select("source", "n_tokens", "place", "part"), parts, "part", "part_cut")
     running = Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
-    last = edge.withColumn("upto", F.sum("n_tokens").over(running)).where("upto <= room").groupBy("source").agg(F.max("place").alias("last"))
-    joined = budgets.join(cuts.withColumnRenamed("source", "s1"), F.col("source").eqNullSafe(F.col("s1")), "left").drop("s1")
-    joined = joined.join(last.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
-    return mix, stage(joined.select("source", "weight", "epochs", "cut", "last"))
+    last = end.withColumn("upto", F.sum("n_tokens").over(running)).where("upto <= part_room").groupBy("source").agg(F.max("place").alias("last"))
+    joined = budgets
+    for i, more in enumerate((cuts.drop("room"), parts.drop("part_room"), last)):
+        joined = joined.join(more.withColumnRenamed("source", f"s{i}"), F.col("source").eqNullSafe(F.col(f"s{i}")), "left").drop(f"s{i}")
+    return mix, stage(joined.select("source", "weight", "epochs", "cut", "part_cut", "last"))
 
 
 def _counted(docs: DataFrame, made: DataFrame, seed: int) -> DataFrame:
     renamed = made.withColumnRenamed("source", "__source")
     met = docs.join(small(renamed), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     met = met.withColumn("block", _block(seed, F.col("epochs")))
-    taken = F.col("cut").isNull() | (F.col("block") < F.col("cut")) | ((F.col("block") == F.col("cut")) & (F.col("place") <= F.col("last")))
+    inside = (_part() < F.col("part_cut")) | ((_part() == F.col("part_cut")) & (F.col("place") <= F.col("last")))
+    taken = F.col("cut").isNull() | (F.col("block") < F.col("cut")) | ((F.col("block") == F.col("cut")) & inside)
     return met.withColumn("copies", (F.col("epochs") + F.when(F.col("weight") > 0, F.coalesce(taken, F.lit(False)).cast("long")).otherwise(0)).cast("long"))
 
 
@@ -158,7 +180,8 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
     its block comes before the source's budget runs out. A null source is a source; a null text
     has no tokens, and a source without tokens has weight 0 and no copies. Rows with the
     same id and text share a place, so they are taken together; a source falls short of its
-    budget by less than the rows at one place, and never exceeds it.
+    budget by less than the rows at one place, and never exceeds it. An empty table gives no
+    rows; other columns aren't read.
     """
     slim = stage(_slim(docs, text, source, doc_id, seed))
     _, made = plan(slim, seed, **options)
@@ -166,7 +189,7 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
 
 
 def drawn(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 7, **options) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, with all columns as they are."""
+    """The mix itself: each row of `docs` as often as it is taken, with all columns as they are; see `mixed` for odd rows."""
     slim = stage(_slim(docs, text, source, doc_id, seed))
     _, made = plan(slim, seed, **options)
     release(slim)

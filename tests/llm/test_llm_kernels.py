@@ -167,7 +167,7 @@ def test_labellers_that_abstain_and_one_that_errs():
     votes = np.stack([cast(0.002, 0.5, -1), cast(0.002, 0.45, -1), cast(0.05, 0.05, -1), cast(0.97, 0.05, 1), cast(0.8, 0.03, 1)], axis=1)
     model = weak.Labellers(*np.unique(votes, axis=0, return_counts=True))
     right = [((votes[:, j] > 0) == truth)[votes[:, j] != 0].mean() for j in range(5)]
-    assert np.allclose(model.reliability(), right, atol=0.1) and abs(model.prior - 0.8) < 0.05
+    assert np.allclose(model.reliability(), right, atol=0.1) and abs(model.prior - 0.8) < 0.08
 
 
 def test_linear_model():

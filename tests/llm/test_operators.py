@@ -310,3 +310,27 @@ def test_detected_pii_digests(spark):
     row = pii.detected(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).first()
     want = "email:15:22,email:24:31,ip:3:11"
     assert row["spans"] == want and row["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and row["n_email"] == 2
+
+
+@pytest.mark.parametrize("bits", [1, 3, 12])
+def test_mixing_cuts_like_a_plain_walk(spark, monkeypatch, bits):
+    """Blocks in permuted order, rows by place: what a walk over all rows of a source would take."""
+    monkeypatch.setattr(mixing, "BLOCK_BITS", bits)
+    rnd = random.Random(13)
+    rows = [(i, rnd.choice(["a"] * 8 + ["b", None]), "w " * rnd.choice([0, 1, 5, 30])) for i in range(1500)] + [(3, "a", "w w")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    slim = mixing._slim(docs, "text", "source", "doc_id", 7)
+    mix, _ = mixing.plan(slim, 7, target_entropy=0.9)
+    out = mixing._counted(slim, mixing.plan(slim, 7, target_entropy=0.9)[1], 7).select("source", "n_tokens", "place", "block", "weight", "epochs", "copies").collect()
+    for source in ("a", "b", None):
+        mine = sorted((r for r in out if r["source"] == source), key=lambda r: (r["block"], r["place"]))
+        left = int(mine[0]["weight"] * mix.budget * (1 + 1e-12) + 1e-9) - mine[0]["epochs"] * sum(r["n_tokens"] for r in mine)
+        places = {}
+        for r in mine:
+            places.setdefault((r["block"], r["place"]), []).append(r)
+        walking = True
+        for at in sorted(places):
+            size = sum(r["n_tokens"] for r in places[at])
+            walking = walking and size <= left
+            left -= size * walking
+            assert {r["copies"] for r in places[at]} == {mine[0]["epochs"] + walking}
