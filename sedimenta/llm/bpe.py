@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
 
@@ -14,15 +14,19 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sedimenta.llm.common import per_text
+from sedimenta.llm.common import per_text, slabs
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Pieces whose ids a worker remembers; beyond that it starts anew.
-KNOWN_PIECES = 300_000
-#: Looked-up pairs of tokens that a worker remembers from slab to slab.
-KNOWN_PAIRS = 500_000
+#: Bytes of pieces and ids that a worker remembers, beyond which it starts anew, and the longest piece that is.
+KNOWN_BYTES, KNOWN_PIECE = 40 << 20, 256
+#: Looked-up pairs of tokens that a worker remembers.
+KNOWN_PAIRS = 200_000
+#: Bytes of new pieces that are encoded together.
+REPLAY_BYTES = 1 << 18
 #: Pieces of one text that are turned into ids at a time.
-PIECES_AT_ONCE = 200_000
+PIECES_AT_ONCE = 1 << 16
+#: Bytes of text that are split into pieces together.
+SPLIT_BYTES = 1 << 20
 #: Characters beyond which a text that isn't Latin-1 is split lazily.
 LONG_TEXT = 1 << 20
 
@@ -109,6 +113,9 @@ class MergeReplay:
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as little-endian unsigned 32-bit integers."""
+        return [ids for a, b in slabs(map(len, pieces), REPLAY_BYTES) for ids in self._together(pieces[a:b])]
+
+    def _together(self, pieces: list[bytes]) -> list[bytes]:
         out: list = [None] * len(pieces)
         rest = []
         for i, p in enumerate(pieces):
@@ -217,19 +224,25 @@ class Codec:
         self.replay = MergeReplay(path)
         self.split = regex.compile(pattern)
         self.latin = pattern == public_tokenizers.PATTERN
-        self.known: dict[bytes, bytes] = {}  # UTF-8 or, from Latin-1 texts, marked Latin-1 pieces
-
-    def _learn(self, pieces: Iterable, utf8: Callable) -> None:
-        new = list(set(pieces).difference(self.known))
+        self.known: dict = {}  # of pieces of Latin-1 texts as bytes, of others as str
+        self.held = 0
+
+    def _learn(self, pieces: list, utf8: Callable) -> dict:
+        """The ids of all these pieces, and of others that are remembered."""
+        different = set(pieces)
+        long = [p for p in different if len(p) > KNOWN_PIECE]
+        different.difference_update(long)
+        new = list(different.difference(self.known))
         if new:
-            if len(self.known) + len(new) > KNOWN_PIECES:
+            if self.held > KNOWN_BYTES:
                 self.known.clear()
-                new = list(set(pieces))
+                self.held, new = 0, list(different)
             self.known.update(zip(new, self.replay.encode([utf8(p) for p in new])))
+            self.held += sum(map(len, new)) + 160 * len(new)
+        return self.known | dict(zip(long, self.replay.encode([utf8(p) for p in long]))) if long else self.known
 
     def _ids(self, pieces: list, utf8: Callable) -> bytes:
-        self._learn(pieces, utf8)
-        return b"".join(map(self.known.__getitem__, pieces))
+        return b"".join(map(self._learn(pieces, utf8).__getitem__, pieces))
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, Iterator[bytes]]]:
         """(place, ids in parts) for each text, in any order."""
@@ -266,8 +279,7 @@ class Codec:
             if to > at + 1:
                 a, b = cuts[at], cuts[to]
                 pieces = [data[s:e] for s, e in zip(begin[a:b].tolist(), end[a:b].tolist())]
-                self._learn(pieces, utf8)
-                known = self.known.__getitem__
+                known = self._learn(pieces, utf8).__getitem__
                 for k in range(at, to):
                     yield plain[k][0], iter((b"".join(map(known, pieces[cuts[k] - a : cuts[k + 1] - a])),))
             else:
@@ -322,7 +334,7 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", path: str = RA
 
         return apply
 
-    return per_text(docs, text, keep, "ids array<int>, round_trip boolean", work)
+    return per_text(docs, text, keep, "ids array<int>, round_trip boolean", work, SPLIT_BYTES)
 
 
 def decoded(rows: DataFrame, keep: list[str], ids: str = "ids", path: str = RANKS) -> DataFrame:
@@ -349,4 +361,4 @@ def encode_decode_digests(docs: DataFrame, keep: list[str], text: str = "text",
         codec = Codec(path)
         return lambda texts: digests(texts, codec)
 
-    return per_text(docs, text, keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", work)
+    return per_text(docs, text, keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", work, SPLIT_BYTES)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -36,17 +38,28 @@ def slabs(sizes: Iterable[int], limit: int = SLAB_BYTES) -> Iterator[tuple[int,
         yield at, end + 1
 
 
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system. Idle workers are kept for later stages, so
+    without this each holds the most that any stage has needed, beside those that work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def per_text(
     docs: DataFrame,
     text: str,
     keep: list[str],
     added: str,
     work: Callable[[], Callable[[list], dict]],
+    slab_bytes: int = SLAB_BYTES,
 ) -> DataFrame:
     """Adds columns that `work` derives from whole texts, in one pass and without a shuffle.
 
     `work()` runs once in each Python worker and returns a function from a list of
-    texts (str or None, about SLAB_BYTES together) to the new columns in order.
+    texts (str or None, about `slab_bytes` together) to the new columns in order.
     """
     if docs.sparkSession.conf.get(_BATCH_CONF) == _BATCH_DEFAULT:  # a session's own choice stays
         docs.sparkSession.conf.set(_BATCH_CONF, _BATCH_BYTES)
@@ -58,9 +71,11 @@ def per_text(
         for batch in batches:
             texts = batch.column(len(keep))
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            for a, b in slabs(sizes):
+            for a, b in slabs(sizes, slab_bytes):
                 made = apply(texts.slice(a, b - a).to_pylist())
                 arrays = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*arrays, *made.values()], names=[*keep, *made])
+        del apply
+        give_back()
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)

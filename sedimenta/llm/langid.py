@@ -148,19 +148,19 @@ class Model:
             out.backoff.append(left.astype(np.float32))
         return out
 
-    def probabilities(self, hashes: list[np.ndarray], ctx: list[np.ndarray], floor: float) -> np.ndarray:
-        """Of each event: the longest n-gram that is known, after the backoffs of the contexts it was sought in."""
-        n = len(hashes[0])
-        p, weight, todo = np.full(n, floor, np.float32), np.ones(n, np.float32), np.arange(n)
-        for k in range(ORDER - 1, -1, -1):
-            at, hit = _find(self.grams[k], hashes[k][todo])
-            p[todo[hit]] = weight[todo[hit]] * self.probs[k][at[hit]]
-            todo = todo[~hit]
-            if not len(todo):
-                return p
-            at, hit = _find(self.contexts[k], ctx[k][todo])
-            weight[todo[hit]] *= self.backoff[k][at[hit]]
-        p[todo] = weight[todo] * floor
+    def probabilities(self, grams: list[tuple], contexts: list[tuple], floor: float) -> np.ndarray:
+        """Of each event: that of its longest known n-gram, times the backoffs of the contexts of longer ones.
+
+        grams and contexts: for each order the different hashes in order, and which of them each event has.
+        """
+        p: np.ndarray | float = floor
+        for k in range(ORDER):
+            (keys, which), (ctx_keys, ctx_which) = grams[k], contexts[k]
+            at, hit = _find(self.contexts[k], ctx_keys)
+            left = np.where(hit, self.backoff[k][at], np.float32(1.0))
+            at, hit = _find(self.grams[k], keys)
+            own = np.where(hit, self.probs[k][at], np.float32(0.0))[which]
+            p = np.where(own > 0, own, left[ctx_which] * p)
         return p
 
 
@@ -186,9 +186,9 @@ class Models:
         """[word, language + 1]: the bits that each language needs for the padded word, and its number of symbols."""
         out = np.zeros((len(words), len(self.languages) + 1))
         for symbols, whose in _events(words):
-            hashes, ctx = _hashes(symbols), _context_hashes(symbols)
+            grams, contexts = ([np.unique(h, return_inverse=True) for h in made(symbols)] for made in (_hashes, _context_hashes))
             for c, m in enumerate(self.models):
-                out[:, c] += np.bincount(whose, -np.log2(m.probabilities(hashes, ctx, self.floor)), len(words))
+                out[:, c] += np.bincount(whose, -np.log2(m.probabilities(grams, contexts, self.floor)), len(words))
             out[:, -1] += np.bincount(whose, minlength=len(words))
         return out.astype(np.float32)
 

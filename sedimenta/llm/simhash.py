@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import carried, per_text, small, stage
+from sedimenta.llm.common import carried, give_back, per_text, small, stage
 from sedimenta.llm.components import components
 
 BITS = 64
@@ -226,6 +226,7 @@ def near_links(distinct: DataFrame, radius: int = 3, blocks: int = 5) -> DataFra
                 a, b = bucket_links(values[ends[at] : ends[to]], ends[at : to + 1] - ends[at], radius)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
                 at = to
+        give_back()
 
     return buckets.mapInArrow(link, "a bigint, b bigint")
 

@@ -53,7 +53,8 @@ def test_bpe_any_text(codec, peer, texts):
 
 
 def test_bpe_forgets_pieces_without_harm(peer, monkeypatch):
-    monkeypatch.setattr(bpe, "KNOWN_PIECES", 5)
+    for name, value in (("KNOWN_BYTES", 500), ("KNOWN_PIECE", 6), ("REPLAY_BYTES", 20)):
+        monkeypatch.setattr(bpe, name, value)
     small = bpe.Codec()
     texts = [f"one two {i} three" for i in range(30)]
     assert _ids(small, texts) == [peer.encode_ordinary(t) for t in texts]
