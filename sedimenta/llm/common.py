@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sedimenta.staging import release, small, stage  # noqa: F401
 
 #: Bytes of text that a Python worker takes at a time.
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 2 << 20
 #: Spark's own bound of the bytes in an Arrow batch, and the one that passes over texts set in its place.
 _BATCH_CONF, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
