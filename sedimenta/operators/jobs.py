@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.config import PRIORITIES, TERMINAL, TRANSITIONS, ServerLimits
 from sedimenta.errors import EngineError
-from sedimenta.operators.ordered import fold_sorted, ordered
+from sedimenta.operators.ordered import fold_sorted, lagged, ordered
 
 #: What a command asks a job to become; submission makes it.
 COMMANDS = {"submit": "queued", "start": "running", "cancel": "cancelling", "complete": "completed", "fail": "failed", "finish_cancel": "cancelled"}
@@ -37,8 +36,7 @@ def allowed(before: Column, after: Column) -> Column:
 
 def transition_checks(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Adds the state before each logged one, and whether the step is allowed; a first state must be queued."""
-    before = F.lag("state").over(Window.partitionBy(*keys).orderBy(*order))
-    out = log.withColumn("before", before)
+    out = lagged(log, keys, order, "state", "before")
     return out.withColumn("valid", F.when(F.col("before").isNull(), F.col("state") == "queued").otherwise(allowed(F.col("before"), F.col("state"))))
 
 
@@ -67,13 +65,19 @@ def next_state(state: str | None, command: str) -> tuple[str | None, str]:
 
 
 def applied(commands: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds state and outcome to commands (keys, command): each job's commands in order through its state machine."""
+    """Adds state and outcome to commands (keys, command): each job's commands in order through its state machine.
 
-    def step(state, row):
-        state, outcome = next_state(state, row["command"])
-        return state, {"state": state, "outcome": outcome}
+    What each command does in each state is worked out once; the fold only looks it up.
+    """
+    states = (None, *COMMANDS.values())
+    known = {(s, c): next_state(s, c) for s in states for c in COMMANDS}
+
+    def step(held, command):
+        made = known.get((held[0], command)) or next_state(held[0], command)
+        return made[:1], made
 
-    return fold_sorted(commands, keys, order, "state string, outcome string", lambda: None, step)
+    # the state before a job is submitted is None, so the fold keeps it in a tuple
+    return fold_sorted(commands, keys, order, ["command"], "state string, outcome string", lambda: (None,), step)
 
 
 def with_sequence(log: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -145,62 +149,44 @@ def quota_ok(value: Column, most: int) -> Column:
 
 
 def rate_limited(requests: DataFrame, keys: list[str], order: list[str], now_ms: str, rate: int, burst: int) -> DataFrame:
-    """Adds allowed and tokens_milli: a bucket for each connection, refilled by time and full at first."""
+    """Adds allowed and tokens_milli: a bucket for each connection, full at first.
+
+    Time that passes between two requests refills it by `rate` thousandths of a token a millisecond, up to `burst`
+    tokens; a request takes a whole token if there is one. Time that runs backwards refills nothing, and a request
+    at time 0 counts as none before it: the next one finds no time passed.
+    """
+    full = burst * 1000
 
-    def step(state, row):
-        tokens, last = state
-        now = row[now_ms]
-        last = now if last == 0 else last
-        tokens = min(tokens + max(now - last, 0) * rate, burst * 1000)
-        ok = tokens >= 1000
-        tokens -= 1000 * ok
-        return (tokens, now), {"allowed": ok, "tokens_milli": tokens}
+    def step(bucket, now):
+        held, seen = bucket
+        passed = now - seen if seen and now > seen else 0
+        held = min(full, held + passed * rate)
+        left = held - 1000 if held >= 1000 else held
+        return (left, now), (left < held, left)
 
-    return fold_sorted(requests, keys, order, "allowed boolean, tokens_milli long", lambda: (burst * 1000, 0), step)
+    return fold_sorted(requests, keys, order, [now_ms], "allowed boolean, tokens_milli long", lambda: (full, 0), step)
 
 
-def lane_order(jobs: DataFrame, order: list[str]) -> DataFrame:
+def lane_order(jobs: DataFrame, order: list[str], lane: list[str] | None = None) -> DataFrame:
     """Adds turn: how jobs that wait in one lane leave it, round-robin over sessions in the order they came, first in first out in each."""
-    numbered = ordered(jobs, order, number="__round", keys=["session"])
-    came = jobs.groupBy("session").agg(F.min(F.struct(*order)).alias("__came"))
-    return ordered(numbered.join(came, "session"), ["__round", "__came"], number="turn").drop("__round", "__came")
-
-
-class FairQueue:
-    """Lanes by priority with weighted credits; in a lane, sessions take turns. An empty lane loses what credit it has left."""
-
-    def __init__(self, weights: Iterable[int] = tuple(PRIORITIES.values())):
-        self.weights = list(weights)
-        self.lanes: list[dict[str, deque]] = [{} for _ in self.weights]
-        self.left = list(self.weights)
-        self.at = 0
-
-    def __len__(self) -> int:
-        return sum(len(q) for lane in self.lanes for q in lane.values())
-
-    def push(self, lane: int, session: str, job) -> None:
-        self.lanes[lane].setdefault(session, deque()).append(job)
-
-    def pop(self):
-        if not len(self):
-            return None
-        while True:
-            if not any(self.left):
-                self.left, self.at = list(self.weights), 0
-            if not self.left[self.at] or not self.lanes[self.at]:
-                self.left[self.at] = 0
-                self.at = (self.at + 1) % len(self.lanes)
-                continue
-            lane = self.lanes[self.at]
-            session = next(iter(lane))
-            waiting = lane.pop(session)
-            job = waiting.popleft()
-            if waiting:
-                lane[session] = waiting  # at the end of the turn
-            self.left[self.at] -= 1
-            if not self.left[self.at]:
-                self.at = (self.at + 1) % len(self.lanes)
-            return job
+    lane = lane or []
+    numbered = ordered(jobs, order, number="__round", keys=[*lane, "session"])
+    came = jobs.groupBy(*lane, "session").agg(F.min(F.struct(*order)).alias("__came"))
+    return ordered(numbered.join(came, [*lane, "session"]), ["__round", "__came"], number="turn", keys=lane).drop("__round", "__came")
+
+
+def fair_order(waiting: DataFrame, order: list[str], weights: dict[str, int] = PRIORITIES) -> DataFrame:
+    """Adds cycle, turn and place: the order in which waiting jobs (priority, session) are served.
+
+    Lanes go by priority, in the order of `weights`. A cycle visits each lane once and takes as many jobs as it weighs;
+    what an empty lane could have taken is lost, so a lane's n-th job goes in cycle n div weight, whatever
+    the other lanes hold. In a lane sessions take turns. Computed from counts: no queue is walked.
+    """
+    lanes = list(weights)
+    lane = F.array_position(F.array(*map(F.lit, lanes)), F.col("priority"))
+    weight = F.element_at(F.array(*map(F.lit, weights.values())), lane.cast("int"))
+    turns = lane_order(waiting, order, ["priority"])
+    return ordered(turns.withColumn("cycle", F.floor(F.col("turn") / weight).cast("long")).withColumn("__lane", lane), ["cycle", "__lane", "turn"], number="place").drop("__lane")
 
 
 def dag_levels(tasks: dict[int, Iterable[int]], most: int = 100_000) -> dict[int, int]:
@@ -263,17 +249,30 @@ def operation_hash(*cols: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(cols))), 256)
 
 
-def request_problem(raw: Column, methods: Iterable[str], most_bytes: int = 1 << 20) -> Column:
-    """Why a JSON-RPC request is refused: size, syntax, unknown fields, version, method or id; null if it isn't."""
+def _depth(raw: Column) -> Column:
+    """How deep brackets outside strings are nested."""
+    bare = F.regexp_replace(F.regexp_replace(raw, r"\\.", ""), '"[^"]*"', "")
+    marks = F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), 0)
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda s, c: F.when(c.isin("[", "{"), F.struct((s["now"] + 1).alias("now"), F.greatest(s["most"], s["now"] + 1).alias("most"))).otherwise(F.struct((s["now"] - 1).alias("now"), s["most"].alias("most")))
+    return F.aggregate(marks, zero, step, lambda s: s["most"])
+
+
+def request_problem(raw: Column, methods: Iterable[str], most_bytes: int = 1 << 20, most_depth: int = 64, most_id: int = 128) -> Column:
+    """Why a JSON-RPC request is refused: size, depth, syntax, unknown or repeated fields, version, id or method; null if it isn't.
+
+    An id has 1 to `most_id` bytes without control characters.
+    """
     fields = F.json_object_keys(raw)
     known = ("jsonrpc", "id", "method", "params")
     got = F.from_json(raw, "jsonrpc string, id string, method string")
     return (
         F.when(F.octet_length(raw) > most_bytes, "too large")
+        .when(_depth(raw) > most_depth, "too deep")
         .when(fields.isNull(), "syntax")
         .when(F.size(F.array_except(fields, F.array(*map(F.lit, known)))) > 0, "unknown field")
         .when(F.size(F.array_distinct(fields)) != F.size(fields), "duplicate field")
         .when(~got["jsonrpc"].eqNullSafe(F.lit("2.0")), "version")
-        .when(got["id"].isNull(), "id")
+        .when(got["id"].isNull() | (got["id"] == "") | (F.octet_length(got["id"]) > most_id) | got["id"].rlike(r"[\x00-\x1f\x7f]"), "id")
         .when(got["method"].isNull() | ~got["method"].isin(*methods), "method")
     )

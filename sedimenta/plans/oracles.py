@@ -254,11 +254,16 @@ SELECT page_id, path, CASE WHEN starts_with(path, '/') THEN 'absolute' WHEN len(
         "SELECT event_id, CAST(row_number() OVER (ORDER BY n, f, fe) - 1 AS BIGINT) AS turn FROM s",
     ),
     "fair_queue": _with(
-        _COMMANDS + f", w(no, priority, weight) AS ({_values([(i, k, v) for i, (k, v) in enumerate(PRIORITIES.items())])}), n AS (SELECT event_id, priority, weight, row_number() OVER (PARTITION BY priority ORDER BY event_id) - 1 AS k FROM cmd JOIN w ON w.no = owner % 6)",
-        "SELECT event_id, priority, k // weight AS cycle FROM n",
+        _COMMANDS
+        + f""", w(no, priority, weight) AS ({_values([(i, k, v) for i, (k, v) in enumerate(PRIORITIES.items())])}), n AS (
+  SELECT event_id, no, priority, weight, job_no AS session, ts, row_number() OVER (PARTITION BY priority, job_no ORDER BY ts, event_id) AS round,
+    min((ts, event_id)) OVER (PARTITION BY priority, job_no) AS came
+  FROM cmd JOIN w ON w.no = owner % 6
+), t AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY round, came) - 1 AS turn FROM n)""",
+        "SELECT event_id, priority, turn // weight AS cycle, turn, row_number() OVER (ORDER BY turn // weight, no, turn) - 1 AS place FROM t",
     ),
     "dag_levels": """
-WITH RECURSIVE l(task, level) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT CAST(n.n_nationkey AS BIGINT), l.level + 1 FROM l JOIN nation n ON n.n_nationkey > 0 AND (n.n_nationkey - 1) // 2 = l.task)
+WITH RECURSIVE l(task, level) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT CAST(n.c_custkey AS BIGINT), l.level + 1 FROM l JOIN customer n ON n.c_custkey > 0 AND (n.c_custkey - 1) // 2 = l.task)
 SELECT * FROM l""",
     "error_mapping": f"SELECT * FROM ({_values(list(PUBLIC_KIND.items()))}) AS t(error, kind)",
     "request_validation": _with(

@@ -566,19 +566,18 @@ def lane_round_robin(spark, d):
 
 @query
 def fair_queue(spark, d):
-    """Who is served when all lanes are full from the start, from the weights alone: turns of whole cycles."""
+    """The order in which all requests are served if they wait from the start."""
     kinds = list(PRIORITIES)
-    rows = commands(spark, d).select("event_id", F.element_at(F.array(*map(F.lit, kinds)), (F.col("owner") % 6 + 1).cast("int")).alias("priority"))
-    weights = F.create_map(*[F.lit(x) for kv in PRIORITIES.items() for x in kv])
-    numbered = ordered(rows, ["event_id"], number="n", keys=["priority"])
-    return numbered.select("event_id", "priority", F.floor(F.col("n") / weights[F.col("priority")]).cast("long").alias("cycle"))
+    rows = commands(spark, d).select("event_id", "ts", F.element_at(F.array(*map(F.lit, kinds)), (F.col("owner") % 6 + 1).cast("int")).alias("priority"), F.col("job_no").alias("session"))
+    return jobs.fair_order(rows, _ORDER).select("event_id", "priority", "cycle", "turn", "place")
 
 
 @query
 def dag_levels(spark, d):
-    customers = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("task"))
-    edges = customers.where("task > 0").select("task", F.floor((F.col("task") - 1) / 2).cast("long").alias("needs"))
-    return jobs.levels(edges, customers)
+    """A tree of tasks: each but the first needs the one halfway before it."""
+    tasks = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("task"))
+    edges = tasks.where("task > 0").select("task", F.floor((F.col("task") - 1) / 2).cast("long").alias("needs"))
+    return jobs.levels(edges, tasks)
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sedimenta.config import Chunking
 from sedimenta.errors import EngineError
 from sedimenta.operators import catalog, chunking, codecs, fingerprints, grouping, integrity, jobs, packing
-from sedimenta.operators.ordered import next_fit, ordered
+from sedimenta.operators.ordered import lagged, next_fit, ordered
 from sedimenta.plans import archive
 from sedimenta.plans.inputs import commands
 from sedimenta.sources import tree
@@ -36,7 +36,7 @@ def test_next_fit_across_runs(spark, target):
     rnd = random.Random(target)
     lengths = [rnd.choice([0, 0, 1, 3, 9, 50]) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(lengths)), "pos long, len long").repartition(5)
-    got = [r["group_id"] for r in next_fit(df, "pos", "len", target, run_rows=37).orderBy("pos").collect()]
+    got = [r["group_id"] for r in next_fit(df, "pos", "len", target, run_rows=11, fan=3).orderBy("pos").collect()]
     want, fill = [], None
     for n in lengths:
         new = fill is None or target == 0 or fill + n > target
@@ -234,6 +234,31 @@ def test_lanes_take_turns(spark):
     assert [r["session"] for r in jobs.lane_order(rows, ["n"]).orderBy("turn").collect()] == list("abcaba")
 
 
+def test_fair_order(spark):
+    rows = [(i, "interactive_read", "a") for i in range(32)] + [(40, "interactive_read", "b"), (41, "benchmark", "c"), (42, "verify_requested", "d")]
+    out = [(r["n"], r["session"]) for r in jobs.fair_order(spark.createDataFrame(rows, "n long, priority string, session string"), ["n"]).orderBy("place").collect()]
+    # eight of the first lane, of which the other session has the second turn, then one each of the lanes below
+    assert out[:10] == [(0, "a"), (40, "b"), *((i, "a") for i in range(1, 7)), (42, "d"), (41, "c")]
+    assert out[10:] == [(i, "a") for i in range(7, 32)]
+
+
+def test_before_in_a_hot_key(spark):
+    rows = [(i, "hot" if i % 5 else "rare", None if i % 7 == 0 else i) for i in range(400)]
+    got = {r["i"]: r["b"] for r in lagged(spark.createDataFrame(rows, "i long, k string, v long").repartition(6), ["k"], ["i"], "v", "b").collect()}
+    last, want = {}, {}
+    for i, k, v in rows:
+        want[i], last[k] = last.get(k), v
+    assert got == want
+
+
+def test_requests_are_checked(spark):
+    good = '{"jsonrpc":"2.0","id":"1","method":"submit","params":{"a":"[[[["}}'
+    deep = '{"jsonrpc":"2.0","id":"1","method":"submit","params":' + "[" * 70 + "]" * 70 + "}"
+    cases = {good: None, deep: "too deep", good.replace('"id":"1"', '"id":""'): "id", good.replace('"1"', f'"{"x" * 200}"'): "id", good.replace("submit", "drop"): "method", good[:-1]: "syntax"}
+    rows = spark.createDataFrame([(k,) for k in cases], "raw string")
+    assert {r["raw"]: r["p"] for r in rows.select("raw", jobs.request_problem(F.col("raw"), ("submit",)).alias("p")).collect()} == cases
+
+
 def test_dependency_levels(spark):
     tasks = spark.createDataFrame([(i,) for i in range(4)], "task long")
     edges = spark.createDataFrame([(1, 0), (2, 1), (2, 0)], "task long, needs long")

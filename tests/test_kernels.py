@@ -13,8 +13,8 @@ from sedimenta.errors import EngineError
 from sedimenta.functions import codecs
 from sedimenta.functions.hashing import _CRC0, blake3, crc32c, xxh3
 from sedimenta.functions.kernels import cut_points, superfeatures
-from sedimenta.operators.jobs import FairQueue, dag_levels, dispatch, next_state
-from sedimenta.operators.ordered import _next_starts, _summary, entry_row
+from sedimenta.operators.jobs import dag_levels, dispatch, next_state
+from sedimenta.operators.ordered import _next_starts, chained, summary
 
 M = (1 << 64) - 1
 
@@ -109,12 +109,13 @@ def _plain_fit(lengths, target):
 def test_run_summaries(lengths, target, fill):
     """What a summary says about an open group is what the plain loop does."""
     a = np.array(lengths)
-    lines = [dict(zip(("row", "before", "fill", "begun"), x)) for x in _summary(a, target)]
+    cut = len(lengths) // 2
+    halves = [x for x in (a[:cut], a[cut:]) if len(x)]
+    made = summary(halves[0], target) if len(halves) == 1 else chained(summary(halves[0], target), summary(halves[1], target), target)
     groups, end = _plain_fit([fill, *lengths], target)
-    if fill + sum(lengths) <= target:
-        return
-    line = entry_row(lines, target - fill)
-    assert (line["fill"], line["begun"]) == (end, groups[-1])
+    assert summary(a, target).after(fill, 3, target) == made.after(fill, 3, target) == (end, groups[-1] + 3)
+    groups, end = _plain_fit(lengths, target)
+    assert made.after(-1, 0, target) == (end, groups[-1] + 1)
     upto, after = _next_starts(a, target)
     whole, _ = _plain_fit(lengths, target)
     at, starts = 0, []
@@ -124,15 +125,12 @@ def test_run_summaries(lengths, target, fill):
     assert starts == [i for i in range(len(a)) if i == 0 or whole[i] != whole[i - 1]]
 
 
-def test_fair_queue():
-    q = FairQueue()
-    for i in range(32):
-        q.push(0, "a", ("a", i))
-    q.push(0, "b", ("b", 0))
-    q.push(5, "c", ("c", 0))
-    out = [q.pop() for _ in range(34)]
-    assert out[0][0] != out[1][0] and ("c", 0) in out[2:10] and q.pop() is None
-    assert [x for x in out if x[0] == "a"] == [("a", i) for i in range(32)]
+def test_equal_rows_give_few_lines():
+    """A million equal rows: as many lines as rows fit into a group, also when runs are chained."""
+    one = summary(np.full(1_000_000, 1024), 4 << 20)
+    both = chained(one, one, 4 << 20)
+    assert len(one.before) <= 4098 and len(both.before) <= 4098
+    assert both.after(-1, 0, 4 << 20) == summary(np.full(2_000_000, 1024), 4 << 20).after(-1, 0, 4 << 20)
 
 
 def test_dag():
