@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import xxhash
@@ -19,16 +20,36 @@ def _gear() -> np.ndarray:
 
 _GEAR = _gear()
 _GEAR_LEFT = _GEAR << np.uint64(1)
-#: Masks of 5 to 25 bits spread over a word, from the published algorithm; those
-#: of the default average's two neighbours.
-_MASKS = {17: 0x0000D90703537000, 19: 0x0000D91707537000}
-
-
-def mask_of(bits: int) -> int:
-    """The spread mask for an average of 2**bits; other sizes than the default get bits spread evenly."""
-    if bits in _MASKS:
-        return _MASKS[bits]
-    return sum(1 << 12 + round(k * 35 / max(bits - 1, 1)) for k in range(bits))
+#: Masks of 5 to 25 bits, spread over a word, from the published algorithm.
+_MASKS = {
+    5: 0x0000000001804110,
+    6: 0x0000000001803110,
+    7: 0x0000000018035100,
+    8: 0x0000001800035300,
+    9: 0x0000019000353000,
+    10: 0x0000590003530000,
+    11: 0x0000D90003530000,
+    12: 0x0000D90103530000,
+    13: 0x0000D90303530000,
+    14: 0x0000D90313530000,
+    15: 0x0000D90F03530000,
+    16: 0x0000D90303537000,
+    17: 0x0000D90703537000,
+    18: 0x0000D90707537000,
+    19: 0x0000D91707537000,
+    20: 0x0000D91747537000,
+    21: 0x0000D91767537000,
+    22: 0x0000D93767537000,
+    23: 0x0000D93777537000,
+    24: 0x0000D93777577000,
+    25: 0x0000DB3777577000,
+}
+
+
+def masks_of(average: int) -> tuple[int, int]:
+    """The strict mask before the average size and the loose one after it: a bit more and a bit less than its logarithm, rounded."""
+    bits = round(math.log2(average))
+    return _MASKS[bits + 1], _MASKS[bits - 1]
 
 
 def _pair_hashes(b: np.ndarray, first: int) -> np.ndarray:
@@ -48,8 +69,7 @@ def cut_points(data: bytes, config: Chunking = Chunking()) -> list[int]:
     the average size and a loose one after it. No data, no chunks.
     """
     b = np.frombuffer(data, np.uint8)
-    bits = config.average.bit_length() - 1
-    strict, loose = np.uint64(mask_of(bits + 1)), np.uint64(mask_of(bits - 1))
+    strict, loose = map(np.uint64, masks_of(config.average))
     hashes = [_pair_hashes(b, 0), _pair_hashes(b, 1)]
     # where either byte of a pair passes a mask, for pairs at even and at odd places
     hits = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.config import MIB, DecodeLimits
@@ -32,12 +32,15 @@ def check_unique_paths(made: DataFrame) -> DataFrame:
     return made.groupBy("sort_key").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def scan_budget(files: DataFrame) -> DataFrame:
-    """Bytes that a scan holds: 512 for each entry, its path, 32 for each component, and its sort key."""
+def scan_budget(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """Bytes that a scan holds: 512 for each entry, its path, 32 for each component, and its sort key; more than `most_bytes` fail."""
     parts = F.size(F.split(F.col("path"), "/")).cast("long")
     path_bytes = F.octet_length("path").cast("long")
     key_bytes = path_bytes - (parts - 1) + 9 * parts
-    return files.agg(F.count("*").alias("entries"), F.coalesce(F.sum(512 + path_bytes + 32 * parts + key_bytes), F.lit(0)).cast("long").alias("held_bytes"))
+    out = files.agg(F.count("*").alias("entries"), F.coalesce(F.sum(512 + path_bytes + 32 * parts + key_bytes), F.lit(0)).cast("long").alias("held_bytes"))
+    if most_bytes is None:
+        return out
+    return out.where(F.assert_true(F.col("held_bytes") <= most_bytes, F.lit("resource_limit")).isNull())
 
 
 def listing(made: DataFrame) -> DataFrame:
@@ -67,6 +70,13 @@ def extracted(made: DataFrame, restore: DataFrame, payload: DataFrame, wanted: C
     return met.select("entry_id", "path", content.alias("content"))
 
 
+def ranged(content: DataFrame, offset: int, length: int, data: str = "content") -> DataFrame:
+    """A slice of each row's bytes and its digest, and for rows that end before it the problem instead."""
+    fits = F.octet_length(data) >= offset + length
+    piece = F.when(fits, F.expr(f"substring({data}, {offset + 1}, {length})"))
+    return content.withColumn("slice", piece).withColumn("digest", F.sha2(piece, 256)).withColumn("problem", F.when(~fits, "invalid_range"))
+
+
 def read_range(content: DataFrame, offset: int, length: int, data: str = "content") -> DataFrame:
     """A slice of each row's bytes and its digest; a slice beyond the end is an invalid range."""
     size = F.octet_length(data)
@@ -98,7 +108,3 @@ def require_empty(violations: DataFrame, name: str) -> None:
     """Fails with the named error if there is any violation."""
     if bad := violations.limit(1).collect():
         raise EngineError(name, str(bad[0].asDict()))
-
-
-def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

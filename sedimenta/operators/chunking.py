@@ -98,22 +98,17 @@ def fixed(objects: DataFrame, config: Chunking = Chunking()) -> DataFrame:
 
 def structural(regions: DataFrame, config: Chunking = Chunking(), data: str | None = None) -> DataFrame:
     """Drafts of regions (entry_id, object_id, start, end): one that isn't longer than the
-    maximum stays whole, a longer one is cut by content from its start, if `data` names its bytes.
+    maximum stays whole, a longer one is cut by content from its start; it fails unless `data` names its bytes.
     """
-    whole = regions.where(F.col("end") - F.col("start") <= config.maximum) if data else regions
-    kept = whole.where("end > start").select("entry_id", "object_id", F.col("start").alias("logical_offset"), (F.col("end") - F.col("start")).alias("length"), F.lit("Structural").alias("method"))
+    size = F.col("end") - F.col("start")
+    short = regions if data else regions.where(F.assert_true(size <= config.maximum, F.lit("invalid_range: a region longer than the maximum needs its bytes")).isNull())
+    kept = short.where((size > 0) & (size <= config.maximum)).select("entry_id", "object_id", F.col("start").alias("logical_offset"), (F.col("end") - F.col("start")).alias("length"), F.lit("Structural").alias("method"))
     if data is None:
         return kept
-    long = regions.where(F.col("end") - F.col("start") > config.maximum)
+    long = regions.where(size > config.maximum)
     return kept.unionByName(content_defined(long.select("entry_id", "object_id", F.col("start").alias("origin"), data), config, data, "Structural"))
 
 
-def regions_of(boundaries: DataFrame, order: str = "end") -> DataFrame:
-    """Regions from exclusive ends (entry_id, object_id, end)."""
-    w = Window.partitionBy("entry_id", "object_id").orderBy(order)
-    return boundaries.withColumn("start", F.lag("end", 1, 0).over(w).cast("long"))
-
-
 def boundary_problems(objects: DataFrame) -> DataFrame:
     """What is wrong with each object's list of ends (entry_id, object_id, size, ends); null if nothing is."""
     ends = F.col("ends")

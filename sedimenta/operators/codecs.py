@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sedimenta.config import CANDIDATES, CODECS, COST_CODEC, COST_GROUP, COST_INDEX, COST_INTEGRITY, COST_PADDING
 from sedimenta.errors import EngineError
 from sedimenta.functions import codecs
-from sedimenta.functions.hashing import blake3_many, crc32c
+from sedimenta.functions.hashing import blake3, blake3_many, crc32c
 
 _EXTRA = COST_CODEC + COST_GROUP + COST_INDEX + COST_INTEGRITY + COST_PADDING
 ENCODED = "group_id long, codec string, codec_id int, uncompressed_len long, compressed_len long, payload_crc32c long, total_cost long, payload binary"
@@ -19,9 +19,9 @@ ENCODED = "group_id long, codec string, codec_id int, uncompressed_len long, com
 
 def group_bytes(placed: DataFrame, data: str = "data") -> DataFrame:
     """group_id and the bytes of its members in order. A group has its target's bytes at most, or one file."""
-    rows = F.array_sort(F.collect_list(F.struct("group_offset", "entry_id", F.col(data).cast("binary").alias("data"))))
-    joined = F.aggregate(rows, F.to_binary(F.lit(""), F.lit("utf-8")), lambda a, r: F.concat(a, r["data"]))
-    return placed.groupBy("group_id").agg(joined.alias("data"))
+    rows = placed.select("group_id", "group_offset", "entry_id", F.col(data).cast("binary").alias("data"))
+    joined = F.expr("listagg(data) WITHIN GROUP (ORDER BY group_offset, entry_id)")
+    return rows.groupBy("group_id").agg(F.coalesce(joined, F.to_binary(F.lit(""), F.lit("utf-8"))).alias("data"))
 
 
 def tried(groups: DataFrame, profile: str) -> DataFrame:
@@ -63,28 +63,70 @@ def chosen(costs: DataFrame) -> DataFrame:
     return best.select("group_id", "b.*")
 
 
-def decoded(groups: DataFrame) -> DataFrame:
-    """group_id and data of encoded groups (group_id, codec, uncompressed_len, payload_crc32c, payload).
+def _decode(group: dict) -> bytes:
+    """The bytes of an encoded group: its checksum, then a decode that is bounded by the declared length."""
+    if crc32c(group["payload"]) != group["payload_crc32c"]:
+        raise EngineError("checksum_mismatch", f"group {group['group_id']}")
+    return codecs.decode(group["codec"], group["payload"], group["uncompressed_len"])
+
+
+_GROUP = ("group_id", "codec", "uncompressed_len", "payload_crc32c", "payload")
 
-    Each group is decoded once: checksum, then a decode that is bounded by the declared length.
-    """
+
+def decoded(groups: DataFrame) -> DataFrame:
+    """group_id and data of encoded groups (group_id, codec, uncompressed_len, payload_crc32c, payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g in batch.to_pylist():
-                if crc32c(g["payload"]) != g["payload_crc32c"]:
-                    raise EngineError("checksum_mismatch", f"group {g['group_id']}")
-                data = codecs.decode(g["codec"], g["payload"], g["uncompressed_len"])
-                yield pa.RecordBatch.from_pylist([{"group_id": g["group_id"], "data": data}], schema=pa.schema([("group_id", pa.int64()), ("data", pa.binary())]))
+                yield pa.RecordBatch.from_pylist([{"group_id": g["group_id"], "data": _decode(g)}], schema=pa.schema([("group_id", pa.int64()), ("data", pa.binary())]))
+
+    return groups.select(*_GROUP).mapInArrow(run, "group_id long, data binary")
 
-    return groups.select("group_id", "codec", "uncompressed_len", "payload_crc32c", "payload").mapInArrow(run, "group_id long, data binary")
+
+#: Bytes of members that leave the decoder together.
+SLICED_BYTES = 8 << 20
 
 
 def members(groups: DataFrame, restore: DataFrame) -> DataFrame:
-    """entry_id, content and blake3 of each member, from groups that are decoded once each."""
-    met = restore.select("entry_id", "group_id", "group_offset", "length").join(decoded(groups), "group_id")
-    content = met.select("entry_id", F.expr("substring(data, cast(group_offset + 1 as int), cast(length as int))").alias("content"))
-    return hashed(content, ["entry_id"], "content")
+    """entry_id, content and blake3 of each member, from groups that are decoded once each.
+
+    Lists of places meet encoded groups, and members are cut and hashed where a group is decoded; so decoded bytes
+    aren't shuffled. Members without bytes need no group.
+    """
+    places = restore.select("entry_id", "group_id", "group_offset", "length")
+    listed = places.where("length > 0").groupBy("group_id").agg(F.collect_list(F.struct("entry_id", "group_offset", "length")).alias("places"))
+    met = groups.select(*_GROUP).join(listed, "group_id")
+    schema = pa.schema([("entry_id", pa.int64()), ("content", pa.binary()), ("blake3", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                g = batch.slice(i, 1).to_pylist()[0]
+                data, mine = _decode(g), g["places"]
+                for p in mine:
+                    if p["group_offset"] < 0 or p["group_offset"] + p["length"] > len(data):
+                        raise EngineError("invalid_range", f"entry {p['entry_id']}")
+                for a, b in _parts([p["length"] for p in mine], SLICED_BYTES):
+                    cut = [data[p["group_offset"] : p["group_offset"] + p["length"]] for p in mine[a:b]]
+                    yield pa.RecordBatch.from_arrays([pa.array([p["entry_id"] for p in mine[a:b]], pa.int64()), pa.array(cut, pa.binary()), pa.array(blake3_many(cut), pa.binary())], schema=schema)
+
+    whole = met.mapInArrow(run, "entry_id long, content binary, blake3 binary")
+    nothing = F.to_binary(F.lit(""), F.lit("utf-8"))
+    empty = places.where("length = 0").join(groups.select("group_id"), "group_id", "left_semi").select("entry_id", nothing.alias("content"), F.lit(blake3(b"")).alias("blake3"))
+    return whole.unionByName(empty)
+
+
+def _parts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges whose sizes add up to about `most`."""
+    at, total = 0, 0
+    for k, n in enumerate(sizes):
+        if k > at and total + n > most:
+            yield at, k
+            at, total = k, 0
+        total += n
+    if sizes:
+        yield at, len(sizes)
 
 
 def hashed(rows: DataFrame, keep: list[str], data: str, name: str = "blake3") -> DataFrame:

@@ -24,7 +24,8 @@ def computed(chunks: DataFrame, config: Fingerprinting = Fingerprinting(), data:
     """One pass over the bytes of each chunk (chunk_id, data, optionally length): all hashes and features.
 
     full_blake3 is complete here; `escalated` keeps it only where it is needed. A length
-    that differs from the bytes fails, as does a chunk over the configured size.
+    that differs from the bytes fails, as do a chunk over the configured size and one without bytes; an
+    empty chunk has some: none. Ids that occur twice are `batch`'s to refuse.
     """
     length = F.col("length").cast("long") if "length" in chunks.columns else F.octet_length(F.col(data)).cast("long")
     rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), length.alias("length"), F.col(data).cast("binary").alias("data"))
@@ -32,7 +33,9 @@ def computed(chunks: DataFrame, config: Fingerprinting = Fingerprinting(), data:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            blobs = [x or b"" for x in batch.column(2).to_pylist()]
+            blobs = batch.column(2).to_pylist()
+            if None in blobs:
+                raise EngineError("invalid_metadata", f"chunk {batch.column(0)[blobs.index(None)].as_py()} has no bytes")
             for chunk, n, blob, full in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), blobs, blake3_many(blobs)):
                 if n != len(blob):
                     raise EngineError("invalid_range", f"chunk {chunk}")
@@ -44,6 +47,24 @@ def computed(chunks: DataFrame, config: Fingerprinting = Fingerprinting(), data:
     return rows.mapInArrow(run, SCHEMA)
 
 
+def duplicate_ids(chunks: DataFrame) -> DataFrame:
+    """chunk_id of chunks that occur more than once."""
+    return chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id")
+
+
+def working_set(chunks: DataFrame, config: Fingerprinting = Fingerprinting()) -> DataFrame:
+    """Bytes that a batch holds at most: those of the largest chunks that workers have at once."""
+    top = chunks.select("length").orderBy(F.desc("length")).limit(config.parallelism)
+    return top.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("held_bytes"))
+
+
+def batch(chunks: DataFrame, config: Fingerprinting = Fingerprinting(), data: str = "data") -> DataFrame:
+    """`computed` and `escalated` for a whole batch of chunks; ids that occur more than once fail."""
+    if bad := duplicate_ids(chunks).limit(1).collect():
+        raise EngineError("invalid_metadata", f"chunk {bad[0]['chunk_id']} occurs more than once")
+    return escalated(stage(computed(chunks, config, data)), config)
+
+
 _ARROW = pa.schema([("chunk_id", pa.int64()), ("length", pa.int64()), ("xxh3", pa.int64()), ("blake3_128", pa.binary()), ("full_blake3", pa.binary()), ("crc32c", pa.int64()), ("superfeatures", pa.list_(pa.int64()))])
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.config import Chunking
-from sedimenta.operators.ordered import next_fit, ordered
+from sedimenta.errors import EngineError
+from sedimenta.operators.ordered import fold_sorted, lagged, next_fit, ordered
 
 #: The canonical order of members.
 ORDER = ["family_key", "path_prefix_key", "extension_key", "mode", "similarity_key", "path", "entry_id"]
@@ -52,40 +53,37 @@ def with_metadata(members: DataFrame, heads: DataFrame | None = None) -> DataFra
 
 def common_prefix(a: Column, b: Column) -> Column:
     """The number of bytes that two strings share at their beginning."""
-    x, y = F.hex(F.encode(a, "UTF-8")), F.hex(F.encode(b, "UTF-8"))
+    pairs = [F.regexp_extract_all(F.hex(F.encode(x, "UTF-8")), F.lit(".."), 0) for x in (a, b)]
     most = F.least(F.octet_length(a), F.octet_length(b))
-    same = lambda n, i: F.when(F.substring(x, 1, 2 * i) == F.substring(y, 1, 2 * i), i).otherwise(n)
-    return F.when(most > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.lit(0), same)).otherwise(0)
+    same = F.zip_with(F.slice(pairs[0], F.lit(1), most), F.slice(pairs[1], F.lit(1), most), lambda x, y: x == y)
+    first_other = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(first_other > 0, first_other - 1).otherwise(most)
 
 
 def front_coded(members: DataFrame) -> DataFrame:
     """Adds shared_prefix_len with the path before it in the pack, and the rest of the path's bytes.
 
-    A pack has at most the target's bytes of members of a path each, so its window is bounded
-    but for empty files.
+    A pack of empty files has no bound, so the path before is found without a window over a whole pack.
     """
-    w = Window.partitionBy("pack_id").orderBy("ordinal")
-    before = F.coalesce(F.lag("path").over(w), F.lit(""))
-    coded = members.withColumn("__before", before).withColumn("shared_prefix_len", common_prefix(F.col("__before"), F.col("path")).cast("long")).drop("__before")
+    led = lagged(members, ["pack_id"], ["ordinal"], "path", "__before")
+    coded = led.withColumn("shared_prefix_len", common_prefix(F.coalesce("__before", F.lit("")), F.col("path")).cast("long")).drop("__before")
     return coded.withColumn("suffix", F.unhex(F.expr("substring(hex(encode(path, 'UTF-8')), cast(2 * shared_prefix_len + 1 as int))")))
 
 
 def expanded(coded: DataFrame) -> DataFrame:
-    """pack_id, ordinal, path from shared_prefix_len and suffix: each path needs the one before it.
+    """pack_id, ordinal, path from shared_prefix_len and suffix: each path needs the one before it, and only that is held.
 
     A prefix longer than the path before fails.
     """
-    rows = coded.groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "shared_prefix_len", F.hex("suffix").alias("rest")))).alias("rows"))
-    kind = "struct<last:string,paths:array<string>>"
-    empty = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("paths")).cast(kind)
 
-    def step(state: Column, row: Column) -> Column:
-        n = (row["shared_prefix_len"] * 2).cast("int")
-        path = F.when(F.length(state["last"]) >= n, F.concat(F.substring(state["last"], 1, n), row["rest"])).otherwise(F.raise_error(F.lit("invalid_metadata: prefix")))
-        return F.struct(path.alias("last"), F.concat(state["paths"], F.array(path)).alias("paths"))
+    def step(last: bytes, shared: int, suffix: bytes) -> tuple[bytes, tuple]:
+        if shared > len(last):
+            raise EngineError("invalid_metadata", "prefix")
+        path = last[:shared] + suffix
+        return path, (path.decode(),)
 
-    paths = F.aggregate("rows", empty, step, lambda s: s["paths"])
-    return rows.withColumn("paths", paths).select("pack_id", F.inline(F.arrays_zip(F.col("rows.ordinal").alias("ordinal"), F.col("paths").alias("hexed")))).select("pack_id", "ordinal", F.decode(F.unhex("hexed"), "UTF-8").alias("path"))
+    rows = coded.select("pack_id", "ordinal", "shared_prefix_len", "suffix")
+    return fold_sorted(rows, ["pack_id"], ["ordinal"], ["shared_prefix_len", "suffix"], "path string", bytes, step).select("pack_id", "ordinal", "path")
 
 
 def pack_problems(members: DataFrame, heads: DataFrame) -> DataFrame:

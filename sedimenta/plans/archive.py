@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +20,14 @@ TABLES = ("entries", "groups", "restore_map", "codecs", "payload")
 def pack_tables(files: DataFrame, profile: str, identity: str | None = None) -> dict[str, DataFrame]:
     """The tables of an archive from files (path, size, modified_ns, mode, data).
 
-    Bytes move once, to the groups that hold them, dealt by group; the best of the profile's
-    codecs is kept for each. Group ids, offsets and entry ids come from total orders, so
+    Bytes are written once and shuffled once, to the groups that hold them; the best of the profile's
+    codecs is kept for each. A path that occurs twice fails. Group ids, offsets and entry ids come from total orders, so
     the result doesn't depend on partitions.
     """
     if profile not in GROUP_TARGETS:
         raise EngineError("unsupported_codec", profile)
     made = stage(catalog.entries(files, identity))
+    catalog.require_empty(catalog.check_unique_paths(made), "duplicate_path")
     owners = made.where("kind = 'file'")
     placed = grouping.grouped(owners.select("entry_id", "size"), profile)
     placed = stage(placed.select("entry_id", "size", "group_id", "group_offset"))
@@ -91,10 +93,28 @@ def verify(archive: dict[str, DataFrame], limits: DecodeLimits = DecodeLimits())
 
 
 def extract(archive: dict[str, DataFrame], wanted: Column) -> DataFrame:
-    """entry_id, path, content of the chosen entries; only their groups are read and decoded."""
-    chosen = catalog.resolved(archive["entries"].where(wanted)).select("entry_id", "path", "owner_id")
+    """entry_id, path, content, blake3 of the chosen entries; only their groups are read and decoded.
+
+    Content whose hash isn't the entry's fails: a wrong place never hands out other bytes.
+    """
+    chosen = catalog.resolved(archive["entries"].where(wanted)).where(F.col("kind").isin("file", "hardlink")).select("entry_id", "path", "owner_id", F.col("blake3").alias("__entry"))
     places = archive["restore_map"].withColumnRenamed("entry_id", "owner_id").join(chosen.select("owner_id").distinct(), "owner_id")
     needed = places.select("group_id").distinct()
     groups = archive["groups"].join(needed, "group_id", "left_semi").join(archive["payload"], "group_id")
     content = codecs.members(groups, places.withColumnRenamed("owner_id", "entry_id")).select(F.col("entry_id").alias("owner_id"), "content", "blake3")
-    return chosen.join(content, "owner_id").select("entry_id", "path", "content", "blake3")
+    wrong = F.raise_error(F.concat(F.lit("checksum_mismatch: entry "), F.col("entry_id").cast("string")))
+    whole = F.when(F.col("blake3").eqNullSafe(F.col("__entry")), F.col("content")).otherwise(wrong)
+    return chosen.join(content, "owner_id").select("entry_id", "path", whole.alias("content"), "blake3")
+
+
+def read_range(archive: dict[str, DataFrame], wanted: Column, offset: int, length: int) -> DataFrame:
+    """entry_id, path and slice of the chosen entries: each whole entry is verified first; a slice beyond the end fails."""
+    return catalog.read_range(extract(archive, wanted), offset, length).select("entry_id", "path", "slice", "digest")
+
+
+def write_entry(archive: dict[str, DataFrame], wanted: Column, out: BinaryIO) -> int:
+    """Writes the one chosen entry to a binary file, after it has been verified; returns its length. None or several fail."""
+    rows = extract(archive, wanted).limit(2).collect()
+    if len(rows) != 1:
+        raise EngineError("entry_not_found" if not rows else "invalid_metadata", "one entry must be chosen")
+    return out.write(bytes(rows[0]["content"]))

@@ -111,7 +111,8 @@ ORACLE_SQL: dict[str, str] = {
     "restore_lookup": _with(_FILE_GROUPS, "SELECT e.entry_id, e.owner_id, p.group_id, p.group_offset, p.length FROM ent e JOIN placed p ON p.entry_id = e.owner_id"),
     "kind_summary": _with(_ENTRIES, "SELECT CASE kind WHEN 'file' THEN 'regular' ELSE 'link' END AS summary, count(*) AS entries FROM ent GROUP BY 1"),
     "extract_entry": _with(_ENTRIES, "SELECT entry_id, path, size AS length, digest FROM numbered WHERE starts_with(path, 'src1/')"),
-    "read_range_slice": """SELECT doc_id, upper(substr(h, 201, 128)) AS slice, sha256(unhex(substr(h, 201, 128))) AS digest FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents) WHERE length(h) >= 400""",
+    "read_range_slice": """SELECT doc_id, CASE WHEN length(h) >= 328 THEN upper(substr(h, 201, 128)) END AS slice, CASE WHEN length(h) >= 328 THEN sha256(unhex(substr(h, 201, 128))) END AS digest,
+  CASE WHEN length(h) < 328 THEN 'invalid_range' END AS problem FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents)""",
     "range_plan": _with(_FILES, 'SELECT doc_id, size, o AS "offset", least(4096, size - o) AS length FROM (SELECT doc_id, size, unnest(range(0, size, 4096)) AS o FROM files)'),
     "change_detection": _with(_FILES, "SELECT doc_id AS entry_id FROM files WHERE doc_id % 11 = 5 OR doc_id % 13 = 4"),
     "path_scope": _with(_FILES, "SELECT doc_id, path, starts_with(path, 'src1/') AS granted FROM files"),
@@ -138,6 +139,8 @@ ORACLE_SQL: dict[str, str] = {
     "codec_round_trip": _with(_ENTRIES, "SELECT entry_id, size AS length, digest FROM numbered"),
     "verify_report": "SELECT 'none: whole' AS problem, count(*) AS entries FROM documents",
     "fixed_chunks": _with(_OBJECTS, "SELECT * FROM fixed"),
+    "structural_cut": "SELECT doc_id AS entry_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, octet_length(encode(text)) > 4096 AS cut, CAST(0 AS BIGINT) AS odd_sizes, true AS covered FROM documents WHERE text <> ''",
+    "verify_damage": _with(_ENTRIES, "SELECT entry_id AS id, 'hash' AS problem FROM ent WHERE kind = 'file' AND entry_id % 17 = 3"),
     "structural_chunks": _with(_OBJECTS, "SELECT * FROM regions WHERE length > 0"),
     "chunk_coverage_check": _with(
         _OBJECTS,

@@ -98,8 +98,8 @@ def extract_entry(spark, d):
 
 @query
 def read_range_slice(spark, d):
-    docs = table(spark, d, "documents").withColumn("content", F.encode("text", "UTF-8")).where(F.octet_length("content") >= 200)
-    return catalog.read_range(docs, 100, 64).select("doc_id", F.hex("slice").alias("slice"), "digest")
+    docs = table(spark, d, "documents").withColumn("content", F.encode("text", "UTF-8"))
+    return catalog.ranged(docs, 100, 64).select("doc_id", F.hex("slice").alias("slice"), "digest", "problem")
 
 
 @query
@@ -219,6 +219,15 @@ def verify_report(spark, d):
     return problems.unionByName(whole.agg(F.lit("none: whole").alias("problem"), F.count("*").alias("entries")))
 
 
+@query
+def verify_damage(spark, d):
+    """What verification finds in an archive some of whose entries have another hash than their bytes."""
+    files = document_files(spark, d, text=True).withColumn("data", F.encode("text", "UTF-8")).drop("text")
+    made = archive.pack_tables(files, "raw", "digest")
+    bad = made["entries"].withColumn("blake3", F.when(F.col("entry_id") % 17 == 3, F.reverse(F.hex("blake3")).cast("binary")).otherwise(F.col("blake3")))
+    return archive.verify({n: stage(t) for n, t in {**made, "entries": bad}.items()}).select("id", "problem")
+
+
 # --- chunks ----------------------------------------------------------------------------
 
 
@@ -234,11 +243,27 @@ def _regions(spark, d):
     return laid.withColumn("end", F.col("start") + F.col("size"))
 
 
+#: Regions over this size are cut by content in the query whose long regions are cut.
+SHORT = Chunking(minimum=256, average=1024, maximum=4096)
+
+
 @query
 def structural_chunks(spark, d):
     return chunking.structural(_regions(spark, d))
 
 
+@query
+def structural_cut(spark, d):
+    """Regions that are longer than the maximum: each is covered by chunks of allowed sizes, and the others stay whole."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("entry_id"), F.lit(0).cast("long").alias("object_id"), F.lit(0).cast("long").alias("start"), F.encode("text", "UTF-8").alias("data"))
+    chunks = chunking.structural(rows.withColumn("end", F.octet_length("data").cast("long")), SHORT, "data")
+    last = F.max(F.struct("logical_offset", "length"))["length"]
+    odd = F.count_if((F.col("length") > SHORT.maximum) | (F.col("length") <= 0)) + F.count_if(F.col("length") < SHORT.minimum) - F.when(last < SHORT.minimum, 1).otherwise(0)
+    per = chunks.groupBy("entry_id").agg(F.sum("length").cast("long").alias("bytes"), (F.count("*") > 1).alias("cut"), odd.cast("long").alias("odd_sizes"))
+    covered = chunking.coverage(chunks, rows.select("entry_id", "object_id", F.octet_length("data").cast("long").alias("size")))
+    return per.join(covered.select("entry_id", "covered"), "entry_id")
+
+
 @query
 def chunk_coverage_check(spark, d):
     drafts = chunking.structural(_regions(spark, d))

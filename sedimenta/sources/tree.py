@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import stat
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sedimenta.errors import EngineError
+from sedimenta.functions.paths import path_problem, resolves_within
 
 TREE = "path string, kind string, size long, modified_ns long, mode long, identity string, target string, local string"
 
@@ -96,28 +99,46 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def unpack_problems(rows: DataFrame) -> DataFrame:
+    """path and problem of entries that must not be written: unsafe or repeated paths, and links that lead out of the tree."""
+    path, kind = F.col("path"), F.col("kind")
+    linked = path_problem(F.col("link_path"), devices=False)
+    climbs = ~F.coalesce(resolves_within(path, F.col("target")), F.lit(False)) | F.col("target").contains("\0")
+    problem = F.coalesce(path_problem(path, devices=False), F.when((kind == "hardlink") & linked.isNotNull(), "link"), F.when((kind == "symlink") & climbs, "target"))
+    bad = rows.select("path", problem.alias("problem")).where("problem IS NOT NULL")
+    twice = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path", F.lit("twice").alias("problem"))
+    return bad.unionByName(twice)
+
+
 def unpack(rows: DataFrame, target: str) -> None:
     """Writes entries (path, kind, content, link_path, target) as a tree: folders, files, hardlinks, symlinks, in a
     folder beside the target that is renamed at the end. An existing target fails and nothing is left behind.
-    """
-    import shutil
-    import tempfile
 
+    Rows are checked before anything is written: see `unpack_problems`. Symlinks come last, so no file is written
+    through one. The target must lie where all workers and the driver write to the same folder; that all files
+    have arrived there is checked before the rename.
+    """
     if os.path.lexists(target):
         raise EngineError("output_exists", target)
+    if bad := unpack_problems(rows).limit(1).collect():
+        raise EngineError("unsafe_path", f"{bad[0]['path']!r}: {bad[0]['problem']}")
     staging = tempfile.mkdtemp(prefix=".unpack-", dir=os.path.dirname(os.path.abspath(target)))
     try:
         for row in rows.where("kind = 'directory'").select("path").toLocalIterator():
             os.makedirs(os.path.join(staging, row["path"]), exist_ok=True)
 
-        def write(it: Iterator) -> None:
-            for row in it:
-                at = os.path.join(staging, row["path"])
-                os.makedirs(os.path.dirname(at), exist_ok=True)
-                with open(at, "wb") as f:
-                    f.write(row["content"] or b"")
-
-        rows.where("kind = 'file'").select("path", "content").foreachPartition(write)
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    at = os.path.join(staging, path)
+                    os.makedirs(os.path.dirname(at), exist_ok=True)
+                    with open(at, "wb") as f:
+                        f.write(content or b"")
+                yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+        written = rows.where("kind = 'file'").select("path", F.col("content").cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+        if written != sum(len(files) for _, _, files in os.walk(staging)):
+            raise EngineError("io", "the workers write to another folder than the driver's")
         for kind, make in (("hardlink", lambda r, at: os.link(os.path.join(staging, r["link_path"]), at)), ("symlink", lambda r, at: os.symlink(r["target"], at))):
             for row in rows.where(F.col("kind") == kind).select("path", "link_path", "target").toLocalIterator():
                 at = os.path.join(staging, row["path"])

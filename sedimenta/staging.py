@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta.errors import EngineError
+
 #: A side is broadcast only if it has been counted and has at most this many rows.
 BROADCAST_ROWS = 100_000
 
@@ -16,9 +18,14 @@ _staged: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder."""
+    """The folder that driver and executors share: the session's checkpoint folder.
+
+    Where it isn't set a local session gets one of its own; on a cluster that would be a folder nobody else reads.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise EngineError("io", "spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="sedimenta-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")

@@ -1,5 +1,6 @@
 """Operators and whole plans on small tables."""
 
+import io
 import os
 import random
 import stat
@@ -160,6 +161,74 @@ def test_verification_sees_damage(spark):
     assert "missing" in {r["problem"] for r in archive.verify(fewer).collect()}
 
 
+def test_reads_are_verified(spark):
+    """A place that leads to other bytes, or an entry whose hash differs, never hands out bytes."""
+    made = {n: t.cache() for n, t in archive.pack_tables(_files(spark), "stream", "digest").items()}
+    out = io.BytesIO()
+    assert archive.write_entry(made, F.col("path") == "b/x.txt", out) == 3 and out.getvalue() == b"abc"
+    with pytest.raises(EngineError):
+        archive.write_entry(made, F.col("path") == "none", out)
+    row = archive.read_range(made, F.col("path") == "zz.bin", 2, 4).first()
+    assert bytes(row["slice"]) == b"\x00\x01" * 2
+    moved = {**made, "restore_map": made["restore_map"].withColumn("group_offset", F.when(F.col("length") == 4000, F.col("group_offset") - 1).otherwise(F.col("group_offset")))}
+    flipped = {**made, "entries": made["entries"].withColumn("blake3", F.when(F.col("path") == "zz.bin", F.lit(bytes(32))).otherwise(F.col("blake3")))}
+    for bad in (moved, flipped):
+        with pytest.raises(Exception, match="checksum_mismatch"):
+            archive.extract(bad, F.col("path") == "zz.bin").collect()
+        with pytest.raises(Exception, match="checksum_mismatch"):
+            archive.read_range(bad, F.col("path") == "zz.bin", 0, 1).collect()
+        assert bytes(archive.extract(bad, F.col("path") == "b/x.txt").first()["content"]) == b"abc"
+
+
+def test_paths_occur_once(spark):
+    with pytest.raises(EngineError, match="duplicate_path"):
+        archive.pack_tables(_files(spark).unionByName(_files(spark)), "stream")
+
+
+@pytest.mark.parametrize(
+    "row",
+    [
+        ("../evil.txt", "file", b"x", None, None), ("/tmp/evil-absolute.txt", "file", b"x", None, None), ("a/../../evil", "file", b"x", None, None), ("", "file", b"x", None, None), ("a\0b", "file", b"x", None, None),
+        ("../dir", "directory", None, None, None), ("link", "symlink", None, None, "/etc/passwd"), ("a/link", "symlink", None, None, "../../out"), ("link", "symlink", None, None, None), ("hard", "hardlink", None, "../outside", None), ("fine.txt", "file", b"again", None, None),
+    ],
+)
+def test_unpack_stays_inside(spark, tmp_path, row):
+    rows = spark.createDataFrame([("fine.txt", "file", b"ok", None, None), row], "path string, kind string, content binary, link_path string, target string")
+    (tmp_path / "in").mkdir()
+    with pytest.raises(EngineError, match="unsafe_path"):
+        tree.unpack(rows, str(tmp_path / "in/out"))
+    assert sorted(p.name for p in tmp_path.rglob("*")) == ["in"] and not os.path.exists("/tmp/evil-absolute.txt")
+
+
+def test_unpack_keeps_links_inside(spark, tmp_path):
+    rows = [("d/f", "file", b"one", None, None), ("d/h", "hardlink", None, "d/f", None), ("d/s", "symlink", None, None, "../d/f")]
+    tree.unpack(spark.createDataFrame(rows, "path string, kind string, content binary, link_path string, target string"), str(tmp_path / "out"))
+    assert (tmp_path / "out/d/h").read_bytes() == (tmp_path / "out/d/s").read_bytes() == b"one"
+
+
+def test_long_regions_need_their_bytes(spark):
+    long = spark.createDataFrame([(1, 0, 0, 5 * MIB)], "entry_id long, object_id long, start long, end long")
+    with pytest.raises(Exception, match="longer than the maximum"):
+        chunking.structural(long).collect()
+
+
+def test_batches_refuse_what_is_unclear(spark):
+    rows = spark.createDataFrame([(1, b"a"), (2, b""), (1, b"b")], "chunk_id long, data binary")
+    with pytest.raises(EngineError, match="more than once"):
+        fingerprints.batch(rows)
+    assert fingerprints.batch(rows.where("chunk_id = 2")).first()["length"] == 0
+    with pytest.raises(Exception, match="no bytes"):
+        fingerprints.computed(rows.withColumn("data", F.lit(None).cast("binary"))).collect()
+    sized = spark.createDataFrame([(k,) for k in range(1, 13)], "length long")
+    assert fingerprints.working_set(sized).first()[0] == sum(range(5, 13))
+
+
+def test_group_bytes_in_order(spark):
+    rows = [(g, i * 3, 10 * g + i, bytes([65 + i]) * 3) for g in range(3) for i in range(20)] + [(7, 0, 99, b"")]
+    got = {r["group_id"]: bytes(r["data"]) for r in codecs.group_bytes(spark.createDataFrame(rows, "group_id long, group_offset long, entry_id long, data binary").repartition(5)).collect()}
+    assert got == {**{g: b"".join(bytes([65 + i]) * 3 for i in range(20)) for g in range(3)}, 7: b""}
+
+
 def test_listing_is_pruned(spark, tmp_path):
     at = str(tmp_path / "archive")
     archive.publish(archive.pack_tables(_files(spark), "stream"), at)

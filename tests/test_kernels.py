@@ -1,5 +1,6 @@
 """Hashes, chunk boundaries, superfeatures and codecs against published vectors and plain versions."""
 
+import hashlib
 import random
 import struct
 
@@ -12,7 +13,7 @@ from sedimenta.config import Chunking, Fingerprinting
 from sedimenta.errors import EngineError
 from sedimenta.functions import codecs
 from sedimenta.functions.hashing import _CRC0, blake3, crc32c, xxh3
-from sedimenta.functions.kernels import cut_points, superfeatures
+from sedimenta.functions.kernels import cut_points, masks_of, superfeatures
 from sedimenta.operators.jobs import dag_levels, dispatch, next_state
 from sedimenta.operators.ordered import _next_starts, chained, summary
 
@@ -63,6 +64,45 @@ def test_boundaries_cover(data):
     assert all(b - a <= 1024 for a, b in zip([0, *ends], ends))
 
 
+def _plain_cuts(data, config):
+    """Byte by byte, as the published algorithm has it."""
+    gear = [int.from_bytes(hashlib.md5(bytes([i]) * 64).digest()[:8], "big") for i in range(256)]
+    strict, loose = masks_of(config.average)
+    ends, start, word = [], 0, (1 << 64) - 1
+    while start < len(data):
+        left = len(data) - start
+        size = left
+        if left > config.minimum:
+            size = left = min(left, config.maximum)
+            h, centre = 0, min(config.average, left)
+            for i in range(config.minimum // 2, left // 2):
+                mask = strict if i < centre // 2 else loose
+                h = ((h << 2) + (gear[data[start + 2 * i]] << 1)) & word
+                if not h & (mask << 1):
+                    size = 2 * i
+                    break
+                h = (h + gear[data[start + 2 * i + 1]]) & word
+                if not h & mask:
+                    size = 2 * i + 1
+                    break
+        start += size
+        ends.append(start)
+    return ends
+
+
+@pytest.mark.parametrize("minimum, average, maximum", [(64, 256, 1024), (256, 1024, 4096), (1000, 3000, 9000), (1024, 4096, 16384), (4096, 16384, 65536), (16384, 65536, 131072)])
+def test_boundaries_at_every_average(minimum, average, maximum):
+    config = Chunking(minimum=minimum, average=average, maximum=maximum)
+    data = random.Random(average).randbytes(12 * average) + bytes(2 * maximum) + b"abcd" * average
+    assert cut_points(data, config) == _plain_cuts(data, config)
+
+
+def test_masks():
+    for bits in range(6, 25):
+        strict, loose = masks_of(1 << bits)
+        assert strict.bit_count() == bits + 1 and loose.bit_count() == bits - 1
+
+
 def test_superfeatures():
     data = _xorshift(0x9E3779B97F4A7C15, 65_536, lambda s, i: s >> 24 & 255)
     assert [x & M for x in superfeatures(data)] == [516916243233388654, 4424382218447919696, 6983238759544818765, 3444815408549078898]
