@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import release, stage
+from sedimenta.staging import release, stage
 
 
 def _downward(edges: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,11 +14,10 @@ from sedimenta.config import Fingerprinting
 from sedimenta.errors import EngineError
 from sedimenta.functions.hashing import blake3_many, crc32c, xxh3
 from sedimenta.functions.kernels import superfeatures
-from sedimenta.staging import small, stage
+from sedimenta.operators.components import components
+from sedimenta.staging import stage
 
 SCHEMA = "chunk_id long, length long, xxh3 long, blake3_128 binary, full_blake3 binary, crc32c long, superfeatures array<long>"
-#: Chunks of a choice of superfeatures that meet in one place; a larger one is dealt out as pairs of parts.
-PART_ROWS = 1024
 
 
 def computed(chunks: DataFrame, config: Fingerprinting = Fingerprinting(), data: str = "data") -> DataFrame:
@@ -89,41 +89,30 @@ def mismatches(prints: DataFrame, chunks: DataFrame, data: str = "data") -> Data
     return then.join(again, "chunk_id", "full").where(~F.col("now").eqNullSafe(F.col("then"))).select("chunk_id")
 
 
-def members(prints: DataFrame) -> DataFrame:
-    """(chunk_id, of): each chunk with features, and the smallest chunk with the same ones."""
-    first = _distinct(prints).select("superfeatures", F.col("chunk_id").alias("of"))
-    return prints.join(first, "superfeatures").select("chunk_id", "of")
+def similar(prints: DataFrame, at_least: int = 1) -> DataFrame:
+    """chunk_id, class_id and links for each chunk with superfeatures: an extension, candidates for a comparison of bytes.
 
-
-def _distinct(prints: DataFrame) -> DataFrame:
-    return prints.where(F.size("superfeatures") > 0).groupBy("superfeatures").agg(F.min("chunk_id").alias("chunk_id"))
-
-
-def similar(prints: DataFrame, at_least: int = 1, equal: bool = False) -> DataFrame:
-    """(a, b, shared), a < b: all pairs of chunks that share at least so many superfeatures in the same places.
-    An extension: candidates only, for a comparison of bytes to confirm.
-
-    Chunks with the same features are reduced to the smallest; `members` says which it is, and with `equal`
-    the others are returned as pairs with it. Chunks meet by every choice of `at_least` features, so two that
-    share fewer never meet; a choice that many chunks share is dealt out as pairs of parts.
+    Two chunks are linked if they share at least so many superfeatures in the same places. links is the number of a chunk's
+    partners, exact copies included, and class_id the smallest chunk it reaches; chunks with equal features share a class
+    even if they are too few to link. Pairs are never listed: chunks that agree
+    on a choice of places are counted by that choice, and partners follow from the counts of choices of all sizes, as each
+    pair is counted once in every choice of the places it shares. So the work grows with the chunks, however many share a feature.
     """
-    reps = stage(_distinct(prints).select("chunk_id", "superfeatures"))
+    held = prints.where(F.size("superfeatures") > 0)
+    reps = stage(held.groupBy("superfeatures").agg(F.min("chunk_id").alias("rep"), F.count("*").alias("copies")))
     most = reps.agg(F.max(F.size("superfeatures"))).first()[0] or 0
-    choices = [F.struct(F.array(*map(F.lit, c)).alias("places"), F.array(*(F.get("superfeatures", F.lit(p)) for p in c)).alias("values")) for c in combinations(range(most), at_least)]
-    found = prints.sparkSession.createDataFrame([], "a long, b long, shared long")
-    if choices:
-        each = reps.select("chunk_id", "superfeatures", F.explode(F.array(*choices)).alias("key")).where(~F.exists("key.values", F.isnull))
-        hot = stage(each.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).where("parts > 1"))
-        dealt = each.join(small(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int"))
-        others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        left = dealt.select("key", F.col("part").alias("i"), others.alias("j"), F.col("chunk_id").alias("a"), F.col("superfeatures").alias("p"))
-        right = dealt.select("key", others.alias("i"), F.col("part").alias("j"), F.col("chunk_id").alias("b"), F.col("superfeatures").alias("q"))
-        same = F.filter(F.sequence(F.lit(0), F.least(F.size("p"), F.size("q")) - 1), lambda k: F.get("p", k) == F.get("q", k))
-        # of the choices by which a pair meets, the first gives it
-        met = left.join(right, ["key", "i", "j"]).where("a < b").withColumn("same", same).where(F.slice("same", 1, at_least) == F.col("key.places"))
-        found = met.select("a", "b", F.size("same").cast("long").alias("shared"))
-    if equal:
-        whole = prints.where(F.size("superfeatures") >= at_least)
-        copies = members(whole).where("chunk_id > of").join(whole.select("chunk_id", F.size("superfeatures").cast("long").alias("shared")), "chunk_id")
-        found = found.unionByName(copies.select(F.col("of").alias("a"), F.col("chunk_id").alias("b"), "shared"))
-    return found
+    choices = [c for n in range(at_least, most + 1) for c in combinations(range(most), n)]
+    if not choices:
+        return held.select("chunk_id", F.col("chunk_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    # how often pairs that share n places and at least `at_least` are counted too often by the smaller choices
+    sign = [(-1) ** (len(c) - at_least) * comb(len(c) - 1, at_least - 1) for c in choices]
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(s).alias("sign"), F.array(*(F.get("superfeatures", F.lit(p)) for p in c)).alias("values")) for i, (c, s) in enumerate(zip(choices, sign))])
+    each = reps.select("rep", "copies", F.inline(keys)).where(~F.exists("values", F.isnull)).withColumn("key", F.struct("choice", "values"))
+    shared = stage(each.groupBy("key").agg(F.sum("copies").alias("n"), F.min("rep").alias("first")))
+    met = each.join(shared.where("n > 1"), "key")
+    counted = met.groupBy("rep").agg(F.sum(F.col("sign") * (F.col("n") - 1)).cast("long").alias("links"))
+    smallest = [i for i, c in enumerate(choices) if len(c) == at_least]
+    roots = components(met.where(F.col("choice").isin(smallest)).select(F.col("rep").alias("a"), F.col("first").alias("b")))
+    told = reps.join(counted, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = told.select("superfeatures", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return held.select("chunk_id", "superfeatures").join(classes, "superfeatures").select("chunk_id", "class_id", "links")
