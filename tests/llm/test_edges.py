@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every query and stage."""
 
+import hashlib
+import math
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -63,6 +66,66 @@ def test_empty_tables(spark, nothing, name):
     assert QUERIES[name](spark, nothing).collect() == []
 
 
+def test_mixing_results(spark, edges):
+    rows = QUERIES["op5_source_mixing"](spark, edges).collect()
+    n = {r["doc_id"]: r["n_tokens"] for r in rows}
+    assert (n[3], n[4], n[5], n[6], n[8], n[9], n[10]) == (0, 0, 0, 2, 1, 1, 46_000) and sum(r["doc_id"] == 1 for r in rows) == 2
+    sources = {}
+    for r in rows:
+        sources.setdefault(r["source"], []).append(r)
+    assert set(sources) == {"a", "b", "c", None}
+    assert abs(sum(rs[0]["weight"] for rs in sources.values()) - 1) < 1e-9
+    total = sum(r["n_tokens"] for r in rows)
+    for rs in sources.values():
+        assert len({r["weight"] for r in rs}) == 1
+        assert sum(r["copies"] * r["n_tokens"] for r in rs) <= rs[0]["weight"] * total * (1 + 1e-9)
+        assert max(r["copies"] for r in rs) - min(r["copies"] for r in rs) <= 1
+    assert len({r["copies"] for r in rows if r["doc_id"] == 1}) == 1  # repeated rows are taken together
+
+
+def test_top_k_results(spark, edges):
+    """Brute force over all rows that take part: vectors of any length, a null id, ties, a row that is there twice."""
+    got = [tuple(r) for r in QUERIES["op6_exact_top_k"](spark, edges).collect()]
+    rows = [(r["vec_id"], [math.floor(256 * x) for x in r["embedding"]]) for r in spark.read.parquet(f"{edges}/embeddings.parquet").collect() if r["embedding"] is not None and all(x is not None and math.isfinite(x) for x in r["embedding"])]
+    want = []
+    for k, (q, v) in enumerate(rows):
+        if q is not None and q % 50 == 0:
+            scores = [(-max(min(sum(a * b for a, b in zip(v, w)), 2**63 - 1), -(2**63)), i is None, i or 0) for j, (i, w) in enumerate(rows) if j != k]
+            want += [(q, n + 1, None if none else i, -s) for n, (s, none, i) in enumerate(sorted(scores)[:5])]
+    key = lambda r: (r[0], r[1], r[2] is None, r[2] or 0, r[3])
+    assert sorted(got, key=key) == sorted(want, key=key) and sum(r[0] == 0 for r in got) == 10
+
+
+def test_quality_and_toxicity_results(spark, edges):
+    quality = {r["doc_id"]: r for r in QUERIES["op8_quality"](spark, edges).collect()}
+    assert all(0 <= r["quality"] <= 1 and r["good"] == (r["quality"] >= 0.5) for r in quality.values())
+    assert quality[1]["quality"] == quality[2]["quality"] and quality[3]["quality"] == quality[4]["quality"]  # equal texts; null as empty
+    toxic = QUERIES["op10_toxicity"](spark, edges).collect()
+    assert not any(r["toxic"] for r in toxic if r["doc_id"] != 7) and all(0 <= r[c] <= 1 for r in toxic for c in ("p_low_quality", "p_toxic"))
+    by = {r["doc_id"]: r["p_toxic"] for r in toxic}
+    assert by[1] == by[2] and by[3] == by[4]
+
+
+def test_image_results(spark, edges):
+    rows = {}
+    for r in QUERIES["op9_image_copies"](spark, edges).collect():
+        rows.setdefault(r["vec_id"], []).append((r["decoded"], r["n_corners"] > 0, r["class_id"]))
+    assert rows[0] == [(True, True, 0)] * 2 and rows[1] == rows[None] == [(True, True, 0)]  # the same vector, so the same image
+    assert rows[50] == [(True, False, 50)]  # without weight: flat
+    assert rows[51] == [(False, False, 51)] and rows[54] == [(False, False, 54)]  # no vector, no image
+    assert all(rows[k][0][0] for k in (52, 53, 55, 100))
+
+
+def test_bpe_results(spark, edges):
+    rows = {r["doc_id"]: r for r in QUERIES["op4_byte_bpe"](spark, edges).collect()}
+    nothing = hashlib.sha256(b"").hexdigest()
+    texts = {d["doc_id"]: d["text"] or "" for d in _docs()}
+    for i in (3, 4):
+        assert (rows[i]["n_tokens"], rows[i]["ids_sha256"], rows[i]["decoded_sha256"]) == (0, nothing, nothing)
+    for i in (5, 8, 9, 12, 14, 15):
+        assert rows[i]["decoded_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest()
+
+
 def test_simhash_results(spark, edges):
     rows = QUERIES["op1_simhash_dedup"](spark, edges).collect()
     by = {}
