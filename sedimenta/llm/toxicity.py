@@ -208,14 +208,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             allowed[len(kept) + SHAPES : len(kept) + SHAPES + c] = True
             markers[c].append(Markers(allowed, centre))
     targets = np.array([[np.nan if v is None else float(v) for v in rows.column(y).to_pylist()] for y in ys]).T
-    return Chain(kept, names, fit_chain(rows.column("features").to_pylist(), targets, rows.column("fold").to_numpy(), markers, len(kept)))
+    models = fit_chain(rows.column("features").to_pylist(), targets, rows.column("fold").to_numpy(), markers, len(kept))
+    for c, category in enumerate(categories):
+        if not category.shaped and not markers[c][FOLDS].allowed[: len(kept)].any():  # no word marks it, so no text shows it
+            models[c] = (np.zeros(total), -10.0)
+    return Chain(kept, names, models)
 
 
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic_at: float = 0.5, categories: tuple[Category, ...] = CATEGORIES) -> DataFrame:
     """doc_id, a probability p_ for each category of the chain, and toxic, the verdict of its last link, for each whole text.
 
     Words are runs of letters in lower case. A null or empty text has the probabilities of a
-    text without any word. Without labels of both kinds nothing is toxic. Repeated rows
+    text without any word. Without labels of both kinds, or words that mark toxic ones, nothing is toxic. Repeated rows
     each get a row, equal texts the same probabilities; null labels and labels of unknown
     documents are left out; an empty table gives no rows. Other columns of `docs` aren't read.
     """
