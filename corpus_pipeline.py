@@ -10,27 +10,39 @@ from sedimenta.llm.common import stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without letters or far from all languages go."""
+    """Documents whose language is known; null texts, those without letters and those far from all languages go.
+
+    Repeated rows stay or go together; texts are judged whole at any length; without a labelled document all go.
+    """
     return langid.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one with the smallest doc_id.
+
+    Of rows that repeat it one stays, and of a group without any doc_id too. Null and empty texts are one group.
+    """
     return simhash.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars follows."""
+    """All documents, with personal data replaced by its kind; n_chars follows.
+
+    A null text stays null, with a null n_chars; repeated rows are masked alike; an empty text stays empty.
+    """
     return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is a source. Texts without words have no tokens and go with their block; rows with the same id and text are taken together.
+    """
     return mixing.drawn(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, checked by decoding them."""
+    """Token ids of each document, checked by decoding them. A null text counts as empty, without ids; each row gives a row."""
     made = bpe.encoded(docs, ["doc_id", "lang", "source"])
     return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
