@@ -48,6 +48,12 @@ def resolves_within(path: Column, target: Column) -> Column:
     return ~target.startswith("/") & (F.size(steps) > 0) & (depth >= 0)
 
 
+def link_target(target: Column) -> Column:
+    """The components of a relative link target: `..` stays, `.` and empty ones go. Null for absolute targets and those without components."""
+    steps = F.filter(F.split(target, "/"), lambda c: (c != "") & (c != "."))
+    return F.when(~target.startswith("/") & (F.size(steps) > 0), steps)
+
+
 def path_within(path: Column, root: Column) -> Column:
     """Whether a normalised path is the root or lies below it, component by component."""
     return (path == root) | path.startswith(F.concat(F.rtrim(root, F.lit("/")), F.lit("/")))

@@ -11,20 +11,24 @@ from sedimenta.functions.paths import sort_key
 from sedimenta.operators.ordered import ordered
 
 
-def entries(files: DataFrame, identity: str | None = None) -> DataFrame:
+def entries(files: DataFrame, identity: str | None = None, kind: str | None = None) -> DataFrame:
     """Adds sort_key, a dense entry_id in its order, and kind, to rows with path, size, modified_ns and mode.
 
     With `identity`, a later row that shares it with an earlier one is a hardlink whose
     target_entry_id is the first; the minimum is combined before the shuffle, so a very common
-    identity is no hot group.
+    identity is no hot group. Rows are files unless a column `kind` says what they are; it becomes the kind.
     """
-    made = ordered(files.withColumn("sort_key", sort_key(F.col("path"))), ["sort_key"], number="entry_id")
+    own = F.col(kind) if kind else F.lit("file")
+    made = ordered(files.withColumn("sort_key", sort_key(F.col("path"))).withColumn("__kind", own), ["sort_key"], number="entry_id")
+    if kind:
+        made = made.drop(kind)
     if identity is None:
-        return made.withColumn("kind", F.lit("file")).withColumn("target_entry_id", F.lit(None).cast("long"))
-    first = made.where(F.col(identity).isNotNull()).groupBy(F.col(identity).alias("__identity")).agg(F.min("entry_id").alias("__first"))
-    met = made.join(first, F.col(identity) == F.col("__identity"), "left").drop("__identity")
+        return made.withColumnRenamed("__kind", "kind").withColumn("target_entry_id", F.lit(None).cast("long"))
+    shared = F.when(F.col("__kind") == "file", F.col(identity))
+    first = made.where(shared.isNotNull()).groupBy(shared.alias("__identity")).agg(F.min("entry_id").alias("__first"))
+    met = made.join(first, shared == F.col("__identity"), "left").drop("__identity")
     later = F.col("entry_id") > F.col("__first")
-    return met.withColumn("kind", F.when(later, "hardlink").otherwise("file")).withColumn("target_entry_id", F.when(later, F.col("__first"))).drop("__first")
+    return met.withColumn("kind", F.when(later, "hardlink").otherwise(F.col("__kind"))).withColumn("target_entry_id", F.when(later, F.col("__first"))).drop("__first", "__kind")
 
 
 def check_unique_paths(made: DataFrame) -> DataFrame:
@@ -47,6 +51,29 @@ def listing(made: DataFrame) -> DataFrame:
     return made.select("entry_id", "path", "kind", "size", "modified_ns")
 
 
+#: Names of the kinds of entries as people read them.
+KINDS = {"file": "File", "directory": "Directory", "hardlink": "Hardlink", "symlink": "Symlink"}
+
+
+def kind_name(kind: Column) -> Column:
+    """The name of an entry's kind; an unknown kind fails."""
+    out = F.raise_error(F.concat(F.lit("invalid_metadata: kind "), F.coalesce(kind, F.lit("null"))))
+    for k, name in KINDS.items():
+        out = F.when(kind == k, name).otherwise(out)
+    return out
+
+
+def lines(made: DataFrame) -> DataFrame:
+    """The listing for people: entry_id, and a line with size, kind and path."""
+    return made.select("entry_id", F.format_string("%10d  %s  %s", F.col("size"), kind_name(F.col("kind")), F.col("path")).alias("line"))
+
+
+def inspection_lines(inspected: dict) -> str:
+    """The row of `inspection` for people."""
+    kinds = ", ".join(f"{k}: {inspected[k]}" for k in ("files", "directories", "hardlinks", "symlinks"))
+    return f"entries: {inspected['entries']} ({kinds})\ngroups: {inspected['groups']}\noriginal bytes: {inspected['original_bytes']}"
+
+
 def inspection(made: DataFrame, groups: DataFrame) -> DataFrame:
     """Counts by kind, groups, and original bytes, to which files and hardlinks both count."""
     kinds = [F.count_if(F.col("kind") == k).alias(n) for k, n in (("file", "files"), ("directory", "directories"), ("hardlink", "hardlinks"), ("symlink", "symlinks"))]
@@ -91,6 +118,22 @@ def range_plan(sizes: DataFrame, size: str = "size", piece: int = 64 * MIB) -> D
     return sizes.where(F.col(size) > 0).withColumn("offset", at).withColumn("length", F.least(F.lit(piece).cast("long"), F.col(size) - F.col("offset")))
 
 
+def pieces(content: DataFrame, piece: int = 64 * MIB, data: str = "content") -> DataFrame:
+    """The pieces of `range_plan` with their bytes and the digest of each; an empty content has none."""
+    planned = range_plan(content.withColumn("size", F.octet_length(data).cast("long")), piece=piece)
+    cut = F.substring(F.col(data), (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
+    return planned.withColumn(data, cut).withColumn("digest", F.sha2(F.col(data), 256))
+
+
+def rejoined(parts: DataFrame, key: str, data: str = "content") -> DataFrame:
+    """key, content and the number of pieces from `pieces`; a piece with another digest or length fails, as does a gap."""
+    wrong = F.raise_error(F.concat(F.lit("checksum_mismatch: piece of "), F.col(key).cast("string")))
+    sound = parts.withColumn(data, F.when((F.sha2(F.col(data), 256) == F.col("digest")) & (F.octet_length(data) == F.col("length")), F.col(data)).otherwise(wrong))
+    made = sound.groupBy(key).agg(F.expr(f"listagg({data}) WITHIN GROUP (ORDER BY offset)").alias(data), F.count("*").alias("pieces"), F.max("size").alias("__size"))
+    gap = F.raise_error(F.concat(F.lit("invalid_range: pieces of "), F.col(key).cast("string")))
+    return made.withColumn(data, F.when(F.octet_length(data) == F.col("__size"), F.col(data)).otherwise(gap)).drop("__size")
+
+
 def measured(made: DataFrame, most_entries: int = DecodeLimits.entries) -> DataFrame:
     """Bytes, entries and the largest file; too many entries are a resource limit."""
     out = made.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"), F.count("*").alias("entries"), F.coalesce(F.max("size"), F.lit(0)).cast("long").alias("max_file"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.config import Chunking
+from sedimenta.config import MIB, Chunking
 from sedimenta.functions.kernels import cut_points
 from sedimenta.operators.ordered import ordered
+from sedimenta.staging import stage
 
 DRAFT = "entry_id long, object_id long, logical_offset long, length long, method string"
 _ORDER = ["entry_id", "object_id", "logical_offset"]
@@ -39,12 +41,13 @@ def content_defined(objects: DataFrame, config: Chunking = Chunking(), data: str
     return rows.mapInArrow(run, DRAFT)
 
 
-def content_defined_pages(pages: DataFrame, config: Chunking = Chunking()) -> DataFrame:
+def content_defined_pages(pages: DataFrame, config: Chunking = Chunking(), method: str = "FastCdc") -> DataFrame:
     """The same drafts from objects that come as pages (entry_id, object_id, page, data) in order.
 
     Pages of an object stream through one task, which holds at most one largest chunk more
-    than a page.
+    than a page. With a column `origin`, pages of an object that share it are cut from there.
     """
+    origin = F.col("origin") if "origin" in pages.columns else F.lit(0).cast("long")
     keep = config.maximum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,22 +57,22 @@ def content_defined_pages(pages: DataFrame, config: Chunking = Chunking()) -> Da
         def close() -> None:
             at = 0
             for end in cut_points(tail, config):
-                made.append((*key, base + at, end - at, "FastCdc"))
+                made.append((*key[:2], base + at, end - at, method))
                 at = end
 
         for batch in batches:
-            for entry, obj, blob in zip(*(batch.column(n).to_pylist() for n in ("entry_id", "object_id", "data"))):
-                if (entry, obj) != key:
+            for entry, obj, start, blob in zip(*(batch.column(n).to_pylist() for n in ("entry_id", "object_id", "origin", "data"))):
+                if (entry, obj, start) != key:
                     if key is not None:
                         close()
-                    key, tail, base = (entry, obj), b"", 0
+                    key, tail, base = (entry, obj, start), b"", start
                 tail += blob or b""
                 at = 0
                 # a chunk is final once a largest chunk's bytes lie beyond its start
                 for end in cut_points(tail, config) if len(tail) > 2 * keep else ():
                     if len(tail) - at <= keep:
                         break
-                    made.append((*key, base + at, end - at, "FastCdc"))
+                    made.append((*key[:2], base + at, end - at, method))
                     at = end
                 tail, base = tail[at:], base + at
             if made:
@@ -80,8 +83,9 @@ def content_defined_pages(pages: DataFrame, config: Chunking = Chunking()) -> Da
         if made:
             yield _drafts(made)
 
-    keys = ["entry_id", "object_id"]
-    return pages.select(*keys, "page", F.col("data").cast("binary").alias("data")).repartition(*keys).sortWithinPartitions(*keys, "page").mapInArrow(run, DRAFT)
+    keys = ["entry_id", "object_id", "origin"]
+    rows = pages.select("entry_id", "object_id", origin.alias("origin"), "page", F.col("data").cast("binary").alias("data"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "page").mapInArrow(run, DRAFT)
 
 
 def _drafts(made: list[tuple]) -> pa.RecordBatch:
@@ -109,6 +113,66 @@ def structural(regions: DataFrame, config: Chunking = Chunking(), data: str | No
     return kept.unionByName(content_defined(long.select("entry_id", "object_id", F.col("start").alias("origin"), data), config, data, "Structural"))
 
 
+#: Bytes of an object within which pages and regions are matched.
+_SPAN = 16 * MIB
+
+
+def structural_pages(pages: DataFrame, ends: DataFrame, config: Chunking = Chunking()) -> DataFrame:
+    """The drafts of `structural` from objects that come as pages (entry_id, object_id, page, data), with the
+    ends of their regions (entry_id, object_id, ends).
+
+    Pages that hold less or more than the last end fail, as do ends that don't rise from above 0. Only pages that
+    meet a region longer than the maximum are moved; such a region streams through one task.
+    """
+    keys = ["entry_id", "object_id"]
+    sizes = pages.select(*keys, "page", F.coalesce(F.octet_length("data"), F.lit(0)).cast("long").alias("__n"))
+    places = stage(ordered(sizes, ["page"], sums={"__at": "__n"}, keys=keys))
+    met = ends.select(*keys, "ends").join(places.groupBy(*keys).agg(F.sum("__n").alias("__held")), keys, "full")
+    told = F.coalesce("ends", F.array().cast("array<long>"))
+    want, held = F.coalesce(F.try_element_at(told, F.lit(-1)), F.lit(0)), F.coalesce("__held", F.lit(0))
+    odd = boundary_problems(met.withColumn("ends", told).withColumn("size", want)).withColumn("__want", want).withColumn("__held", held)
+    say = lambda what: F.raise_error(F.concat(F.lit(f"invalid_metadata: {what} of entry "), F.col("entry_id").cast("string")))
+    whole = F.when(F.coalesce("problem", F.lit("empty")) != "empty", say("structural boundaries")).when(held < want, say("short pages")).when(held > want, say("trailing bytes")).otherwise(F.col("ends"))
+    sound = odd.select(*keys, whole.alias("ends"))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("ends"))
+    region = F.inline(F.zip_with(F.slice(starts, 1, F.size("ends")), F.col("ends"), lambda a, b: F.struct(a.alias("start"), b.alias("end"))))
+    regions = stage(sound.select(*keys, region))
+    size = F.col("end") - F.col("start")
+    spans = lambda a, b: F.explode(F.sequence(F.floor(a / _SPAN), F.floor((b - 1) / _SPAN)))
+    long = regions.where(size > config.maximum).select(*keys, "start", "end", spans(F.col("start"), F.col("end")).alias("__span"))
+    over = places.where("__n > 0").select(*keys, "page", "__at", "__n", spans(F.col("__at"), F.col("__at") + F.col("__n")).alias("__span"))
+    lo, hi = F.greatest("__at", "start", F.col("__span") * _SPAN), F.least(F.col("__at") + F.col("__n"), F.col("end"), (F.col("__span") + 1) * _SPAN)
+    pieces = over.join(long, [*keys, "__span"]).withColumn("__lo", lo).withColumn("__hi", hi).where("__lo < __hi").select(*keys, "page", "__at", "start", "__lo", "__hi")
+    cut = F.substring("data", (F.col("__lo") - F.col("__at") + 1).cast("int"), (F.col("__hi") - F.col("__lo")).cast("int"))
+    bytes_ = pages.select(*keys, "page", "data").join(pieces, [*keys, "page"]).select(*keys, F.col("start").alias("origin"), F.col("__lo").alias("page"), cut.alias("data"))
+    return structural(regions.where(size <= config.maximum), config).unionByName(content_defined_pages(bytes_, config, "Structural"))
+
+
+class Scanner(Protocol):
+    """Finds the regions of one kind of content."""
+
+    def probe(self, prefix: bytes) -> bool:
+        """Whether content that begins like this is of the kind."""
+
+    def ends(self, data: bytes) -> list[int]:
+        """The ends of its regions: they rise, and the last one is the size."""
+
+
+def scanned(objects: DataFrame, scanner: Scanner, prefix: int = 4096) -> DataFrame:
+    """entry_id, object_id, size and ends of the objects (entry_id, object_id, data) that the scanner knows; check them with
+    `boundary_problems`. Empty objects and null ones aren't scanned.
+    """
+    schema = pa.schema([("entry_id", pa.int64()), ("object_id", pa.int64()), ("size", pa.int64()), ("ends", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            made = [{"entry_id": e, "object_id": o, "size": len(d), "ends": scanner.ends(d)} for e, o, d in rows if d and scanner.probe(d[:prefix])]
+            yield pa.RecordBatch.from_pylist(made, schema=schema)
+
+    return objects.select("entry_id", "object_id", F.col("data").cast("binary").alias("data")).mapInArrow(run, "entry_id long, object_id long, size long, ends array<long>")
+
+
 def boundary_problems(objects: DataFrame) -> DataFrame:
     """What is wrong with each object's list of ends (entry_id, object_id, size, ends); null if nothing is."""
     ends = F.col("ends")

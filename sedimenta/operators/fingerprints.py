@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.config import Fingerprinting
+from sedimenta.config import KIB, Fingerprinting
 from sedimenta.errors import EngineError
 from sedimenta.functions.hashing import blake3_many, crc32c, xxh3
 from sedimenta.functions.kernels import superfeatures
@@ -52,12 +52,67 @@ def duplicate_ids(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id")
 
 
+#: Bytes beyond its own that each row, each region's rolling window and each worker may take.
+_ROW_MARGIN, _WORKER_MARGIN = 64, 64 * KIB
+
+
+def computed_pages(chunks: DataFrame, pages: DataFrame, config: Fingerprinting = Fingerprinting()) -> DataFrame:
+    """`computed` for chunks (chunk_id, length) whose bytes come as pages (chunk_id, page, data) in order.
+
+    Pages that hold less or more than the length fail, as do pages of a chunk that isn't listed. A task holds one
+    chunk, and no more of it than its length: a chunk over the configured size fails at its first page.
+    """
+    told = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("length").cast("long").alias("length"))
+    met = pages.select(F.col("chunk_id").cast("long").alias("chunk_id"), "page", F.col("data").cast("binary").alias("data")).join(told, "chunk_id", "full")
+    schema = pa.schema([("chunk_id", pa.int64()), ("length", pa.int64()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size, parts, held = None, 0, [], 0
+
+        def whole() -> pa.RecordBatch:
+            if held < size:
+                raise EngineError("invalid_metadata", f"chunk {now} is short")
+            return pa.RecordBatch.from_pylist([{"chunk_id": now, "length": size, "data": b"".join(parts)}], schema=schema)
+
+        for batch in batches:
+            for chunk, blob, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if chunk != now:
+                    if now is not None:
+                        yield whole()
+                    if length is None:
+                        raise EngineError("invalid_metadata", f"chunk {chunk} isn't listed")
+                    if length > config.most_chunk_bytes:
+                        raise EngineError("resource_limit", f"chunk {chunk}")
+                    now, size, parts, held = chunk, length, [], 0
+                parts.append(blob or b"")
+                held += len(parts[-1])
+                if held > size:
+                    raise EngineError("invalid_metadata", f"chunk {chunk} has trailing bytes")
+        if now is not None:
+            yield whole()
+
+    rows = met.repartition("chunk_id").sortWithinPartitions("chunk_id", "page").select("chunk_id", "data", "length")
+    return computed(rows.mapInArrow(run, "chunk_id long, length long, data binary"), config)
+
+
 def working_set(chunks: DataFrame, config: Fingerprinting = Fingerprinting()) -> DataFrame:
     """Bytes that a batch holds at most: those of the largest chunks that workers have at once."""
     top = chunks.select("length").orderBy(F.desc("length")).limit(config.parallelism)
     return top.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("held_bytes"))
 
 
+def batch_budget(chunks: DataFrame, config: Fingerprinting = Fingerprinting(), most_bytes: int | None = None) -> DataFrame:
+    """Bytes that chunks (length) take if a batch holds them all: rows of results, and for each worker the largest
+    chunk and its rolling windows; more than `most_bytes` fail.
+    """
+    row = 8 + 8 + 8 + 16 + 32 + 8 + 8 * config.groups + _ROW_MARGIN
+    rows, largest = F.count("*"), F.coalesce(F.max("length"), F.lit(0))
+    windows = F.least(F.lit(config.subchunks * config.window), largest) + config.subchunks * (16 + _ROW_MARGIN)
+    held = rows * row + F.least(rows, F.lit(config.parallelism)) * (largest + windows + _WORKER_MARGIN)
+    out = chunks.agg(rows.alias("chunks"), held.cast("long").alias("held_bytes"))
+    return out if most_bytes is None else out.where(F.assert_true(F.col("held_bytes") <= most_bytes, F.lit("resource_limit: working set")).isNull())
+
+
 def batch(chunks: DataFrame, config: Fingerprinting = Fingerprinting(), data: str = "data") -> DataFrame:
     """`computed` and `escalated` for a whole batch of chunks; ids that occur more than once fail."""
     if bad := duplicate_ids(chunks).limit(1).collect():

@@ -103,6 +103,15 @@ def overlaps(sections: DataFrame, start: str = "offset", length: str = "length",
     return sections.withColumn("__end", ahead).where(F.col(start) < F.col("__end")).drop("__end")
 
 
+def table_counts(header: dict[str, int], tables: dict[str, DataFrame]) -> DataFrame:
+    """name, rows and told of each table in the header, and whether both agree."""
+    out = None
+    for name, told in header.items():
+        one = tables[name].agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.lit(told).cast("long").alias("told"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("agree", F.col("rows") == F.col("told"))
+
+
 def count_problems(header: dict[str, int], tables: dict[str, DataFrame]) -> list[str]:
     """Names of tables whose number of rows isn't the header's."""
     return [n for n, df in tables.items() if df.count() != header[n]]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sedimenta.config import PRIORITIES, TERMINAL, TRANSITIONS, ServerLimits
 from sedimenta.errors import EngineError
 from sedimenta.operators.ordered import fold_sorted, lagged, ordered
+from sedimenta.staging import stage
 
 #: What a command asks a job to become; submission makes it.
 COMMANDS = {"submit": "queued", "start": "running", "cancel": "cancelling", "complete": "completed", "fail": "failed", "finish_cancel": "cancelled"}
@@ -29,6 +30,23 @@ def submissions(requests: DataFrame, order: list[str]) -> DataFrame:
     return met.withColumn("outcome", outcome).drop("__first")
 
 
+def capped(requests: DataFrame, order: list[str], retained: int = ServerLimits.retained_jobs, per_owner: int = ServerLimits.jobs_per_session) -> DataFrame:
+    """`submissions` to a store in which no job ends: a new key is refused for `retention` once the store
+    holds `retained` jobs, else for `quota` once its owner has `per_owner`. So is each request that repeats a refused key.
+
+    Both are running counts, so a request needs to see no other one; `order` must tell requests apart.
+    """
+    keys = ["owner", "idempotency_key"]
+    made = stage(submissions(requests, order))
+    firsts = made.where("outcome = 'accepted'").select(*order, *keys)
+    fit = ordered(firsts, order, number="__nth", keys=["owner"]).where(F.col("__nth") < per_owner)
+    kept = ordered(fit, order, number="__all").select(*keys, "__all")
+    met = made.join(kept, keys, "left").withColumn("__takes", F.when((F.col("outcome") == "accepted") & F.col("__all").isNotNull(), 1).otherwise(0))
+    told = ordered(met, order, sums={"__before": "__takes"})
+    outcome = F.when(F.col("__all") < retained, F.col("outcome")).when(F.col("__before") >= retained, "retention").otherwise("quota")
+    return told.withColumn("outcome", outcome).drop("__all", "__takes", "__before")
+
+
 def allowed(before: Column, after: Column) -> Column:
     """Whether a job in one state may be told to go to another."""
     return F.coalesce(F.concat_ws(">", before, after).isin(*[f"{a}>{b}" for a, b in TRANSITIONS]), F.lit(False))
@@ -125,6 +143,23 @@ def recovered(jobs: DataFrame, verified: DataFrame) -> DataFrame:
     return met.withColumn("state_after", to).drop("__seen")
 
 
+def published(jobs: DataFrame) -> DataFrame:
+    """Adds outcome and recorded_after to jobs (state, was_absent, recorded, seen) whose output has been verified.
+
+    The first phase, before a job writes, notes in was_absent that its output didn't exist; the second one records the
+    identity that was `seen` in the output, while the job runs or is cancelling. Recording the same identity again changes nothing,
+    another one is a mismatch, and without the first phase there's nothing to record. `recovered` trusts only what is recorded.
+    """
+    outcome = (
+        F.when(~F.col("state").isin("running", "cancelling"), "conflict")
+        .when(~F.coalesce("was_absent", F.lit(False)) | F.col("seen").isNull(), "internal")
+        .when(F.col("recorded").isNull(), "recorded")
+        .when(F.col("recorded") == F.col("seen"), "unchanged")
+        .otherwise("integrity_mismatch")
+    )
+    return jobs.withColumn("outcome", outcome).withColumn("recorded_after", F.when(F.col("outcome") == "recorded", F.col("seen")).otherwise(F.col("recorded")))
+
+
 def closed(jobs: DataFrame) -> DataFrame:
     """At shutdown: queued jobs are cancelled and running ones cancelling."""
     to = F.when(F.col("state") == "queued", "cancelled").when(F.col("state") == "running", "cancelling").otherwise(F.col("state"))
@@ -209,8 +244,6 @@ def dag_levels(tasks: dict[int, Iterable[int]], most: int = 100_000) -> dict[int
 
 def levels(edges: DataFrame, tasks: DataFrame) -> DataFrame:
     """task, level for a table of dependencies (task, needs): a round for each level, by joins; a cycle fails."""
-    from sedimenta.staging import stage
-
     done = stage(tasks.join(edges.select("task").distinct(), "task", "left_anti").withColumn("level", F.lit(0)))
     total, n, level = tasks.count(), 0, 0
     while (now := done.count()) < total:
@@ -240,6 +273,44 @@ def permits(memory_bytes: Column) -> Column:
     return F.greatest(F.ceil(memory_bytes / (1 << 20)), F.lit(1)).cast("long")
 
 
+def permit_use(events: DataFrame, order: list[str], capacity: dict[str, int]) -> DataFrame:
+    """Adds to a log of permits taken (positive) and given back (negative) what is in use of each resource after
+    each event, as used_<resource>, and whether all are within capacity and none below zero.
+    """
+    out = ordered(events, order, sums={f"__{r}": r for r in capacity})
+    for r in capacity:
+        out = out.withColumn(f"used_{r}", F.col(f"__{r}") + F.col(r)).drop(f"__{r}")
+    fine = F.lit(True)
+    for r, most in capacity.items():
+        fine = fine & F.col(f"used_{r}").between(0, most)
+    return out.withColumn("within", fine)
+
+
+def session_log(rows: DataFrame, order: list[str], ttl_ms: int = ServerLimits.session_ms) -> DataFrame:
+    """Adds outcome to a log of sessions (session, action, token, next_token, now_ms): created, resumed or denied.
+
+    A session is created unless it lives, and lives `ttl_ms` from then on. To resume it takes the token that was given out
+    last; it's then replaced by next_token, and the time starts again. Only hashes of tokens are held. A session that has
+    expired is gone.
+    """
+
+    def step(held, action, token, fresh, now):
+        live = held[1] > now
+        if action == "create" and not live:
+            return (fresh, now + ttl_ms), ("created",)
+        if action == "resume" and live and token is not None and token == held[0]:
+            return (fresh, now + ttl_ms), ("resumed",)
+        return held if live else ("", 0), ("denied",)
+
+    hashed = rows.withColumn("__token", F.sha2("token", 256)).withColumn("__fresh", F.sha2("next_token", 256))
+    return fold_sorted(hashed, ["session"], order, ["action", "__token", "__fresh", "now_ms"], "outcome string", lambda: ("", 0), step).drop("__token", "__fresh")
+
+
+def session_capacity(sessions: DataFrame, now_ms: Column, most: int = ServerLimits.sessions) -> DataFrame:
+    """How many sessions live; as many as the registry holds leave no room for another one."""
+    return live_sessions(sessions, now_ms).agg(F.count("*").alias("live")).withColumn("full", F.col("live") >= most)
+
+
 def live_sessions(sessions: DataFrame, now_ms: Column, ttl_ms: int = ServerLimits.session_ms) -> DataFrame:
     return sessions.where(F.col("created_ms") + ttl_ms > now_ms)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from typing import BinaryIO
 
@@ -10,15 +11,20 @@ from pyspark.sql import functions as F
 
 from sedimenta.config import GROUP_TARGETS, DecodeLimits
 from sedimenta.errors import EngineError
-from sedimenta.operators import catalog, codecs, grouping, integrity
+from sedimenta.functions.hashing import blake3
+from sedimenta.operators import catalog, codecs, grouping, integrity, sections
 from sedimenta.operators.ordered import ordered
 from sedimenta.staging import stage
 
 TABLES = ("entries", "groups", "restore_map", "codecs", "payload")
+#: What a row of each table is known by, and rows whose hashes are hashed together.
+_IDS = {"entries": "entry_id", "groups": "group_id", "restore_map": "entry_id", "codecs": "chain_id", "payload": "group_id"}
+_FAN = 4096
+VERSION = 1
 
 
-def pack_tables(files: DataFrame, profile: str, identity: str | None = None) -> dict[str, DataFrame]:
-    """The tables of an archive from files (path, size, modified_ns, mode, data).
+def pack_tables(files: DataFrame, profile: str, identity: str | None = None, kind: str | None = None) -> dict[str, DataFrame]:
+    """The tables of an archive from files (path, size, modified_ns, mode, data), or from a tree whose rows have a `kind`.
 
     Bytes are written once and shuffled once, to the groups that hold them; the best of the profile's
     codecs is kept for each. A path that occurs twice fails. Group ids, offsets and entry ids come from total orders, so
@@ -26,7 +32,7 @@ def pack_tables(files: DataFrame, profile: str, identity: str | None = None) ->
     """
     if profile not in GROUP_TARGETS:
         raise EngineError("unsupported_codec", profile)
-    made = stage(catalog.entries(files, identity))
+    made = stage(catalog.entries(files, identity, kind))
     catalog.require_empty(catalog.check_unique_paths(made), "duplicate_path")
     owners = made.where("kind = 'file'")
     placed = grouping.grouped(owners.select("entry_id", "size"), profile)
@@ -45,8 +51,38 @@ def pack_tables(files: DataFrame, profile: str, identity: str | None = None) ->
     return {"entries": told, "groups": groups, "restore_map": grouping.restore_map(placed), "codecs": registry, "payload": encoded.select("group_id", "payload")}
 
 
+def _folded(hashes: DataFrame) -> str:
+    """One hash of hashes (id, blake3): those of 4,096 ids in a row are hashed together until one is left. No task sees more."""
+    level = stage(hashes.select(F.col("id").cast("long").alias("id"), "blake3"))
+    while True:
+        joined = F.expr("listagg(blake3) WITHIN GROUP (ORDER BY id, blake3)")
+        level = stage(sections.digests(level.groupBy(F.floor(F.col("id") / _FAN).alias("id")).agg(joined.alias("data")), ["id"]).select("id", "blake3"))
+        rows = level.limit(2).collect()
+        if len(rows) < 2:
+            return bytes(rows[0]["blake3"]).hex() if rows else ""
+
+
+def root(tables: dict[str, DataFrame]) -> str:
+    """A hash of all rows and payloads, whatever their order and partitions."""
+    parts = []
+    for name in TABLES:
+        df, key = tables[name], _IDS[name]
+        data = F.col("payload") if name == "payload" else F.encode(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), "UTF-8")
+        parts.append(f"{name}:{_folded(sections.digests(df.select(F.col(key).cast('long').alias('id'), data.alias('data')), ['id']))}")
+    return blake3("\n".join(parts).encode()).hex()
+
+
+def header(tables: dict[str, DataFrame]) -> dict:
+    """What the manifest tells of an archive: its version, the rows of each table, the original bytes and the root hash."""
+    counts = {n: tables[n].count() for n in TABLES}
+    return {"version": VERSION, "rows": counts, "original_bytes": integrity.original_bytes(tables["entries"]).first()[0], "root": root(tables)}
+
+
 def publish(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes each table into a folder that doesn't exist yet, and the manifest last: without it there's no archive."""
+    """Writes each table into a folder that doesn't exist yet, and the manifest last: without it there's no archive.
+
+    The manifest's root hash is of the rows as they are read back.
+    """
     spark = next(iter(tables.values())).sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -56,10 +92,14 @@ def publish(tables: dict[str, DataFrame], path: str) -> None:
     staging = f"{path}.staging-{uuid.uuid4().hex}"
     at = jvm.org.apache.hadoop.fs.Path(staging)
     try:
-        for name, df in tables.items():
+        for name in TABLES:
+            df = tables[name]
             writer = df.repartitionByRange("group_id").sortWithinPartitions("group_id") if name == "payload" else df
             writer.write.parquet(f"{staging}/{name}")
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{staging}/_MANIFEST")).close()
+        told = header({n: spark.read.schema(tables[n].schema).parquet(f"{staging}/{n}") for n in TABLES})
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{staging}/_MANIFEST"))
+        out.write(bytearray(json.dumps(told, sort_keys=True).encode()))
+        out.close()
         if not fs.rename(at, target):
             raise EngineError("output_exists", path)
     except BaseException:
@@ -75,6 +115,39 @@ def open_archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in TABLES}
 
 
+def manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest of a published archive; an unknown version fails."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_MANIFEST")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise EngineError("missing_section", "manifest")
+    read = fs.open(at)
+    try:
+        told = json.loads(jvm.org.apache.commons.io.IOUtils.toString(read, "UTF-8"))
+    finally:
+        read.close()
+    if told.get("version") != VERSION:
+        raise EngineError("unsupported_container_version", str(told.get("version")))
+    return told
+
+
+def verify_published(spark: SparkSession, path: str, limits: DecodeLimits = DecodeLimits()) -> DataFrame:
+    """`verify`, and before it the manifest: its limits, the rows of each table, the original bytes and the root hash.
+
+    Those problems have no id.
+    """
+    told, tables = manifest(spark, path), open_archive(spark, path)
+    sizes = {**{n: told["rows"][n] for n in ("entries", "groups")}, "original_bytes": told["original_bytes"]}
+    found = [f"limit: {n}" for n in integrity.limit_problems(sizes, limits)]
+    found += [f"rows: {r['name']}" for r in integrity.table_counts(told["rows"], tables).where("NOT agree").collect()]
+    if integrity.original_bytes(tables["entries"]).first()[0] != told["original_bytes"]:
+        found.append("original bytes")
+    if root(tables) != told["root"]:
+        found.append("root hash")
+    return spark.createDataFrame([(None, p) for p in found], "id long, problem string").unionByName(verify(tables, limits))
+
+
 def encoded_groups(archive: dict[str, DataFrame]) -> DataFrame:
     return archive["groups"].join(archive["payload"], "group_id")
 
@@ -84,9 +157,12 @@ def verify(archive: dict[str, DataFrame], limits: DecodeLimits = DecodeLimits())
     then each file's hash. A damaged payload fails in the decode itself.
     """
     entries, groups, restore = archive["entries"], archive["groups"], archive["restore_map"]
+    entries = entries if "digest" in entries.columns else entries.withColumn("digest", F.col("blake3"))
     chains = archive["codecs"].select("chain_id").unionByName(entries.sparkSession.createDataFrame([(0,)], "chain_id int"))
     found = integrity.entry_problems(entries, groups, limits).unionByName(integrity.restore_problems(entries, restore))
     found = found.unionByName(integrity.group_problems(groups, chains, limits))
+    if "target" in entries.columns:
+        found = found.unionByName(integrity.symlink_problems(entries.where("kind = 'symlink'")))
     checks = integrity.member_checks(groups, restore).where("NOT contiguous").select(F.col("group_id").alias("id"), F.lit("members").alias("problem"))
     content = codecs.members(encoded_groups(archive), restore)
     return found.unionByName(checks).unionByName(integrity.hash_problems(entries.where("kind = 'file'"), content))

@@ -93,6 +93,11 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes.strip()}\n{select}"
 
 
+def _le(n: str, width: int) -> str:
+    """Hex digits of a number, lowest byte first."""
+    return " || ".join(f"substr(lpad(hex(CAST({n} AS BIGINT)), 16, '0'), {15 - 2 * k}, 2)" for k in range(width))
+
+
 _ALLOWED = "queued>running queued>cancelled running>cancelling running>completed running>failed cancelling>cancelled cancelling>failed".split()
 _DEVICES = ", ".join(f"'{d}'" for d in DEVICES)
 _STEM = r"upper(string_split(regexp_replace(c, '[. ]+$', ''), '.')[1])"
@@ -106,6 +111,58 @@ ORACLE_SQL: dict[str, str] = {
     "catalog_sort_key_order": _with(_ENTRIES, "SELECT entry_id, path, upper(key_hex) AS sort_key FROM numbered"),
     "catalog_by_source": _with(_ENTRIES, "SELECT source, kind, count(*) AS entries, CAST(sum(size) AS BIGINT) AS bytes FROM ent GROUP BY source, kind"),
     "scan_budget": _with(_FILES, "SELECT count(*) AS entries, CAST(sum(512 + octet_length(encode(path)) + 32 * 3 + octet_length(encode(path)) - 2 + 27) AS BIGINT) AS held_bytes FROM files"),
+    "catalog_lines": _with(_ENTRIES, "SELECT entry_id, printf('%10d  %s  %s', size, CASE kind WHEN 'file' THEN 'File' ELSE 'Hardlink' END, path) AS line FROM ent"),
+    "kind_names": "SELECT CASE doc_id % 4 WHEN 0 THEN 'File' WHEN 1 THEN 'Directory' WHEN 2 THEN 'Hardlink' ELSE 'Symlink' END AS name, count(*) AS entries FROM documents GROUP BY 1",
+    "range_read": _with(_FILES, "SELECT doc_id, (size + 4095) // 4096 AS pieces, digest FROM files WHERE size > 0"),
+    "transfer_files": "SELECT doc_id, CASE WHEN doc_id % 5 NOT IN (2, 3) THEN doc_id * 37 % 1000 ELSE -1 END AS expires_at_ms, doc_id % 5 NOT IN (2, 3) AND doc_id * 37 % 1000 <= 500 AS due FROM documents",
+    "structural_pages": "SELECT CAST(conv_id AS BIGINT) AS entry_id, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS odd_sizes, true AS covered FROM conversations GROUP BY conv_id HAVING sum(octet_length(encode(text))) > 0",
+    "structural_scan": """SELECT doc_id AS entry_id, CAST(octet_length(encode(text)) AS BIGINT) AS size, CAST(length(text) - length(replace(text, '.', '')) + CASE WHEN text LIKE '%.' THEN 0 ELSE 1 END AS BIGINT) AS regions, CAST(NULL AS VARCHAR) AS problem
+FROM documents WHERE contains(text, '.')""",
+    "fingerprint_pages": "SELECT doc_id AS chunk_id, CAST(octet_length(encode(text)) AS BIGINT) AS length, true AS same FROM documents",
+    "fingerprint_budget": _with(_FILES, "SELECT count(*) AS chunks, CAST(count(*) * 176 + least(count(*), 8) * (max(size) + least(576, max(size)) + 12 * 80 + 65536) AS BIGINT) AS held_bytes FROM files"),
+    "group_records": _with(
+        _LAID + ", c AS (SELECT *, group_id * 2654435761 % 4294967296 AS crc FROM grps)",
+        f"""SELECT group_id, hex('UGRP') || '01000000' || {_le("group_id", 8)} || {_le("group_id % 4 + 1", 4)} || {_le("chunk_count", 4)} || {_le("uncompressed_len", 8)} || {_le("uncompressed_len", 8)} || '00000000' || {_le("crc", 4)} AS record,
+  chunk_count, uncompressed_len, CAST(crc AS BIGINT) AS payload_crc32c FROM c""",
+    ),
+    "header_record": _with(
+        _FILES + ", t AS (SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS b, count(DISTINCT source) AS s FROM files)",
+        f"""SELECT '55444F430D0A1A0A' || '0000' || '0100' || {_le("96", 4)} || {_le("0", 8)} || lpad(hex(n), 32, '0') || {_le("b", 8)} || {_le("n", 8)} || {_le("n", 8)} || {_le("s", 8)} || {_le("96", 8)} || {_le("b + 288", 8)} AS record,
+  n AS entry_count, b + 288 AS footer_offset, CAST(6 AS BIGINT) AS section_count FROM t""",
+    ),
+    "section_directory": f"""WITH s AS (SELECT CAST(r_regionkey + 1 AS INTEGER) AS section_type, CAST(octet_length(encode(r_name)) AS BIGINT) AS length FROM region),
+p AS (SELECT *, CAST(96 + 32 * count(*) OVER () + coalesce(sum(length) OVER (ORDER BY section_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o FROM s)
+SELECT section_type, o AS "offset", length, {_le("section_type", 2)} || '0100' || '00000000' || {_le("o", 8)} || {_le("length", 8)} AS record FROM p""",
+    "section_rows": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation",
+    "table_counts": "SELECT 'documents' AS name, count(*) AS rows, count(*) AS told, true AS agree FROM documents UNION ALL SELECT 'nation', count(*), count(*) + 1, false FROM nation",
+    "link_targets": _with(_FILES, "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN '..>' || replace(path, '/', '>') WHEN 3 THEN replace(path, '/', '>') || '>..' END AS parts FROM files"),
+    "job_submission_caps": _with(
+        _COMMANDS
+        + """, s AS (SELECT event_id, owner, job_no, ts, CAST(floor(value) AS BIGINT) % 3 AS params, row_number() OVER w AS n, first_value(CAST(floor(value) AS BIGINT) % 3) OVER w AS first_params FROM cmd WHERE command = 'submit' WINDOW w AS (PARTITION BY owner, job_no ORDER BY ts, event_id)),
+f AS (SELECT owner, job_no, ts, event_id, row_number() OVER (PARTITION BY owner ORDER BY ts, event_id) AS nth FROM s WHERE n = 1),
+k AS (SELECT owner, job_no, event_id AS first_event, row_number() OVER (ORDER BY ts, event_id) AS place FROM f WHERE nth <= 3),
+b AS (SELECT s.*, k.place, coalesce(count(k2.place) OVER (ORDER BY s.ts, s.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s LEFT JOIN k USING (owner, job_no) LEFT JOIN k k2 ON k2.first_event = s.event_id)""",
+        "SELECT event_id, CASE WHEN place <= 200 THEN CASE WHEN n = 1 THEN 'accepted' WHEN params IS NOT DISTINCT FROM first_params THEN 'replay' ELSE 'conflict' END WHEN before >= 200 THEN 'retention' ELSE 'quota' END AS outcome FROM b",
+    ),
+    "job_publication": _with(
+        _COMMANDS + ", p AS (SELECT *, CASE WHEN job_no % 7 <> 3 THEN job_no % 4 END AS seen, CASE WHEN job_no % 3 <> 0 THEN job_no % 4 + sequence % 2 END AS rec FROM snap), q AS (SELECT *, CASE WHEN state NOT IN ('running', 'cancelling') THEN 'conflict' WHEN sequence % 5 = 0 OR seen IS NULL THEN 'internal' WHEN rec IS NULL THEN 'recorded' WHEN rec = seen THEN 'unchanged' ELSE 'integrity_mismatch' END AS outcome FROM p)",
+        "SELECT owner, job_no, outcome, coalesce(CASE outcome WHEN 'recorded' THEN seen ELSE rec END, -1) AS recorded_after FROM q",
+    ),
+    "permit_use": _with(
+        _COMMANDS + ", g AS (SELECT event_id, ts, CASE WHEN command = 'start' THEN 1 WHEN command IN ('complete', 'fail') THEN -1 ELSE 0 END AS sign, CAST(floor(value) AS BIGINT) AS m FROM cmd), u AS (SELECT event_id, CAST(sum(sign) OVER w AS BIGINT) AS used_jobs, CAST(sum(sign * m) OVER w AS BIGINT) AS used_memory FROM g WINDOW w AS (ORDER BY ts, event_id))",
+        "SELECT *, used_jobs BETWEEN 0 AND 4 AND used_memory BETWEEN 0 AND 4096 AS within FROM u",
+    ),
+    "session_log": _with(
+        _COMMANDS
+        + """, r AS (SELECT event_id, owner, ms, command = 'submit' AS make, job_no % 2 AS token, event_id % 2 AS fresh, row_number() OVER (PARTITION BY owner ORDER BY ts, event_id) AS n FROM cmd),
+z(owner, n, event_id, token, until, outcome) AS (
+  SELECT owner, n, event_id, CASE WHEN make THEN fresh END, CASE WHEN make THEN ms + 86400000 ELSE 0 END, CASE WHEN make THEN 'created' ELSE 'denied' END FROM r WHERE n = 1
+  UNION ALL
+  SELECT owner, n, event_id, CASE o WHEN 'denied' THEN token ELSE fresh END, CASE o WHEN 'denied' THEN until ELSE ms + 86400000 END, o
+  FROM (SELECT r.owner, r.n, r.event_id, r.fresh, r.ms, z.token, z.until, CASE WHEN r.make AND z.until <= r.ms THEN 'created' WHEN NOT r.make AND z.until > r.ms AND r.token = z.token THEN 'resumed' ELSE 'denied' END AS o FROM z JOIN r ON r.owner = z.owner AND r.n = z.n + 1)
+)""",
+        "SELECT event_id, outcome FROM z",
+    ),
     "measure_paths": _with(_FILES, "SELECT CAST(sum(size) AS BIGINT) AS bytes, count(*) AS entries, max(size) AS max_file FROM files"),
     "hardlink_resolve": _with(_ENTRIES, "SELECT e.entry_id, e.kind, e.owner_id, o.size AS target_size FROM ent e JOIN ent o ON o.entry_id = e.owner_id"),
     "restore_lookup": _with(_FILE_GROUPS, "SELECT e.entry_id, e.owner_id, p.group_id, p.group_offset, p.length FROM ent e JOIN placed p ON p.entry_id = e.owner_id"),

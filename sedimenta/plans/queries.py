@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from sedimenta.config import CODECS, MIB, PRIORITIES, Chunking
 from sedimenta.errors import PUBLIC_KIND
-from sedimenta.functions.paths import path_problem, path_within, resolves_within
-from sedimenta.operators import catalog, chunking, codecs, fingerprints, grouping, integrity, jobs, packing
+from sedimenta.functions import records
+from sedimenta.functions.paths import link_target, path_problem, path_within, resolves_within
+from sedimenta.operators import catalog, chunking, codecs, fingerprints, grouping, integrity, jobs, packing, sections
 from sedimenta.operators.ordered import ordered
 from sedimenta.plans import archive
 from sedimenta.plans.inputs import commands, document_entries, document_files, language_objects, micro_files, table
+from sedimenta.sources import transfers
 from sedimenta.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +58,35 @@ def scan_budget(spark, d):
     return catalog.scan_budget(document_files(spark, d))
 
 
+@query
+def catalog_lines(spark, d):
+    return catalog.lines(document_entries(spark, d))
+
+
+@query
+def kind_names(spark, d):
+    """Entries of all four kinds, by name."""
+    kinds = F.array(*map(F.lit, catalog.KINDS))
+    made = document_files(spark, d).select(F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int")).alias("kind"))
+    return made.groupBy(catalog.kind_name(F.col("kind")).alias("name")).agg(F.count("*").alias("entries"))
+
+
+@query
+def range_read(spark, d):
+    """Documents read in pieces whose digests are checked, put together again."""
+    docs = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    back = catalog.rejoined(catalog.pieces(docs, 4096), "doc_id")
+    return back.select("doc_id", "pieces", F.sha2("content", 256).alias("digest"))
+
+
+@query
+def transfer_files(spark, d):
+    """Names of transfer files and of others: when each goes, and whether it's due."""
+    named = transfers.file_name(F.col("doc_id") * 37 % 1000, F.substring("digest", 1, 32))
+    odd = F.when(F.col("doc_id") % 5 == 2, F.concat(named, F.lit(".part"))).when(F.col("doc_id") % 5 == 3, F.col("path")).otherwise(named)
+    return transfers.listed(document_files(spark, d).select("doc_id", odd.alias("name")), F.lit(500)).select("doc_id", F.coalesce("expires_at_ms", F.lit(-1)).alias("expires_at_ms"), F.coalesce("due", F.lit(False)).alias("due"))
+
+
 @query
 def measure_paths(spark, d):
     return catalog.measured(document_files(spark, d))
@@ -264,6 +295,47 @@ def structural_cut(spark, d):
     return per.join(covered.select("entry_id", "covered"), "entry_id")
 
 
+#: Regions over this size are cut by content in conversations.
+TURNS = Chunking(minimum=64, average=128, maximum=256)
+
+
+def turn_pages(spark, d):
+    """Conversations as objects whose pages are their turns, and the ends of the turns that hold text."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("entry_id"), F.lit(0).cast("long").alias("object_id"), "turn", F.encode("text", "UTF-8").alias("data"))
+    pages = ordered(turns, ["turn", "data"], number="page", keys=["entry_id", "object_id"]).drop("turn")
+    laid = ordered(pages.select("entry_id", "object_id", "page", F.coalesce(F.octet_length("data"), F.lit(0)).cast("long").alias("n")), ["page"], sums={"at": "n"}, keys=["entry_id", "object_id"])
+    ends = laid.groupBy("entry_id", "object_id").agg(F.array_sort(F.collect_set(F.when(F.col("n") > 0, F.col("at") + F.col("n")))).alias("ends"))
+    return pages, ends
+
+
+@query
+def structural_pages(spark, d):
+    """Turns of conversations, read as pages: those over the maximum are cut, and each conversation is covered."""
+    pages, ends = (stage(x) for x in turn_pages(spark, d))
+    chunks = stage(chunking.structural_pages(pages, ends, TURNS))
+    sizes = ends.select("entry_id", "object_id", F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("size"))
+    per = chunks.groupBy("entry_id").agg(F.sum("length").cast("long").alias("bytes"), F.count_if(F.col("length") > TURNS.maximum).alias("odd_sizes"))
+    return sizes.where("size > 0").select("entry_id").join(per, "entry_id", "left").join(chunking.coverage(chunks, sizes).select("entry_id", "covered"), "entry_id")
+
+
+class _Sentences:
+    """Regions that end with a full stop, and what follows the last one."""
+
+    def probe(self, prefix: bytes) -> bool:
+        return b"." in prefix
+
+    def ends(self, data: bytes) -> list[int]:
+        stops = [i + 1 for i, b in enumerate(data) if b == 46]
+        return stops if stops and stops[-1] == len(data) else [*stops, len(data)]
+
+
+@query
+def structural_scan(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("entry_id"), F.lit(0).cast("long").alias("object_id"), F.encode("text", "UTF-8").alias("data"))
+    found = chunking.boundary_problems(chunking.scanned(rows, _Sentences(), prefix=1 << 30))
+    return found.select("entry_id", "size", F.size("ends").cast("long").alias("regions"), "problem")
+
+
 @query
 def chunk_coverage_check(spark, d):
     drafts = chunking.structural(_regions(spark, d))
@@ -314,6 +386,22 @@ def fingerprint_table(spark, d):
     return out.select("chunk_id", "length", "xxh3", F.hex("blake3_128").alias("blake3_128"), F.hex("full_blake3").alias("full_blake3"), "crc32c", "superfeatures")
 
 
+@query
+def fingerprint_pages(spark, d):
+    """Fingerprints of documents that come as pages of 1,000 bytes are those of the whole ones."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.encode("text", "UTF-8").alias("content"))
+    pages = catalog.pieces(docs, 1000).select("chunk_id", (F.col("offset") / 1000).cast("long").alias("page"), F.col("content").alias("data"))
+    paged = fingerprints.computed_pages(docs.select("chunk_id", F.octet_length("content").alias("length")), pages)
+    hashes = ["length", "xxh3", "full_blake3", "crc32c", "superfeatures"]
+    both = _prints(spark, d).select("chunk_id", F.struct(*hashes).alias("whole")).join(paged.select("chunk_id", F.struct(*hashes).alias("paged")), "chunk_id", "full")
+    return both.select("chunk_id", F.col("paged.length").alias("length"), F.col("whole").eqNullSafe(F.col("paged")).alias("same"))
+
+
+@query
+def fingerprint_budget(spark, d):
+    return fingerprints.batch_budget(document_files(spark, d).select(F.col("size").alias("length")))
+
+
 @query
 def collision_groups(spark, d):
     out = fingerprints.escalated(stage(_prints(spark, d)))
@@ -420,6 +508,55 @@ def section_overlap_check(spark, d):
     return integrity.overlaps(laid.select("section", "offset", "length"))
 
 
+@query
+def group_records(spark, d):
+    """Group records as bytes, and what they decode to."""
+    groups = grouping.group_table(stage(_placed(spark, d)))
+    crc = F.col("group_id") * 2654435761 % (1 << 32)
+    own = {"group_id": F.col("group_id"), "codec_chain_id": F.col("group_id") % 4 + 1, "chunk_count": F.col("chunk_count"), "uncompressed_len": F.col("uncompressed_len"), "compressed_len": F.col("uncompressed_len"), "payload_crc32c": crc}
+    made = groups.select("group_id", records.encoded(records.GROUP, {**own, "version": F.lit(1), "flags": F.lit(0), "descriptor_len": F.lit(0)}).alias("record"))
+    return made.select("group_id", F.hex("record").alias("record"), records.decoded(records.GROUP, F.col("record")).alias("r")).select("group_id", "record", "r.chunk_count", "r.uncompressed_len", "r.payload_crc32c")
+
+
+@query
+def header_record(spark, d):
+    """The header's bytes before its checksum, which decoding has compared."""
+    total = document_files(spark, d).agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("bytes"), F.countDistinct("source").alias("sources"))
+    values = {
+        "major": F.lit(records.MAJOR), "minor": F.lit(records.MINOR), "header_len": F.lit(records.HEADER.size), "flags": F.lit(0), "archive_id": F.unhex(F.lpad(F.hex("n"), 32, "0")), "original_total_size": F.col("bytes"),
+        "entry_count": F.col("n"), "logical_chunk_count": F.col("n"), "group_count": F.col("sources"), "section_directory_offset": F.lit(records.HEADER.size), "footer_offset": F.col("bytes") + 288, "section_count": F.lit(6),
+    }
+    made = total.select(records.encoded(records.HEADER, values).alias("record"))
+    back = made.select(F.substring(F.hex("record"), 1, 176).alias("record"), records.decoded(records.HEADER, F.col("record")).alias("r"))
+    return back.select("record", "r.entry_count", "r.footer_offset", "r.section_count")
+
+
+@query
+def section_directory(spark, d):
+    bodies = table(spark, d, "region").select((F.col("r_regionkey") + 1).cast("int").alias("section_type"), F.encode("r_name", "UTF-8").alias("data"))
+    return sections.directory(bodies).select("section_type", "offset", "length", F.hex(F.substring("record", 1, 24)).alias("record"))
+
+
+@query
+def section_rows(spark, d):
+    """A table as a section of JSON rows, checked and read again."""
+    body = sections.json_body(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name"), ["n_nationkey"])
+    bodies = stage(body.select(F.lit(records.SECTIONS["entry_table"]).alias("section_type"), "data"))
+    return sections.json_rows(sections.checked(bodies, sections.directory(bodies)), records.SECTIONS["entry_table"], "n_nationkey long, n_name string")
+
+
+@query
+def table_counts(spark, d):
+    made, rows = table(spark, d, "documents"), table(spark, d, "nation")
+    return integrity.table_counts({"documents": made.count(), "nation": rows.count() + 1}, {"documents": made, "nation": rows})
+
+
+@query
+def link_targets(spark, d):
+    odd = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("/"), F.col("path"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit(".././"), F.col("path"))).when(F.col("doc_id") % 4 == 2, F.lit("./.")).otherwise(F.concat(F.col("path"), F.lit("//..")))
+    return document_files(spark, d).select("doc_id", F.array_join(link_target(odd), ">").alias("parts"))
+
+
 @query
 def path_safety(spark, d):
     url = F.regexp_replace("url", r"^[a-z]+://", "")
@@ -487,6 +624,36 @@ def job_idempotency(spark, d):
     return jobs.submissions(requests, _ORDER).select("event_id", "owner", "idempotency_key", "outcome")
 
 
+@query
+def job_submission_caps(spark, d):
+    """Submissions to a store of 200 jobs, 3 for each owner."""
+    requests = commands(spark, d).where("command = 'submit'").select("event_id", "ts", "owner", F.col("job_no").alias("idempotency_key"), (F.floor("value") % 3).cast("long").alias("params"))
+    return jobs.capped(requests, _ORDER, retained=200, per_owner=3).select("event_id", "outcome")
+
+
+@query
+def job_publication(spark, d):
+    snap = jobs.snapshot(_log(spark, d), ["owner", "job_no"])
+    seen = F.when(F.col("job_no") % 7 != 3, F.col("job_no") % 4)
+    recorded = F.when(F.col("job_no") % 3 != 0, F.col("job_no") % 4 + F.col("sequence") % 2)
+    named = snap.select("owner", "job_no", "state", (F.col("sequence") % 5 != 0).alias("was_absent"), recorded.alias("recorded"), seen.alias("seen"))
+    return jobs.published(named).select("owner", "job_no", "outcome", F.coalesce("recorded_after", F.lit(-1)).alias("recorded_after"))
+
+
+@query
+def permit_use(spark, d):
+    sign = F.when(F.col("command") == "start", 1).when(F.col("command").isin("complete", "fail"), -1).otherwise(0)
+    log = commands(spark, d).select("event_id", "ts", sign.cast("long").alias("jobs"), (sign * F.floor("value")).cast("long").alias("memory"))
+    return jobs.permit_use(log, _ORDER, {"jobs": 4, "memory": 4096}).select("event_id", "used_jobs", "used_memory", "within")
+
+
+@query
+def session_log(spark, d):
+    action = F.when(F.col("command") == "submit", "create").otherwise("resume")
+    rows = commands(spark, d).select("event_id", "ts", F.col("owner").alias("session"), action.alias("action"), (F.col("job_no") % 2).cast("string").alias("token"), (F.col("event_id") % 2).cast("string").alias("next_token"), F.col("ms").alias("now_ms"))
+    return jobs.session_log(rows, _ORDER, ttl_ms=86_400_000).select("event_id", "outcome")
+
+
 @query
 def job_transitions_valid(spark, d):
     return jobs.transition_checks(commands(spark, d), ["owner", "job_no"], _ORDER).select("event_id", "before", "state", "valid")

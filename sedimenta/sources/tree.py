@@ -76,13 +76,13 @@ def scan(spark: SparkSession, inputs: list[str]) -> DataFrame:
     return spark.read.format("sedimenta_tree").option("inputs", os.pathsep.join(inputs)).load()
 
 
-def with_content(files: DataFrame) -> DataFrame:
+def with_content(files: DataFrame, kind: str = "kind") -> DataFrame:
     """Adds the bytes of files that all workers can read."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                data = open(row["local"], "rb").read() if row["kind"] == "file" else None
+                data = open(row["local"], "rb").read() if row[kind] == "file" else None
                 yield pa.RecordBatch.from_pylist([{**row, "data": data}], schema=pa.schema([*batch.schema, pa.field("data", pa.binary())]))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)

@@ -1,20 +1,26 @@
 """Operators and whole plans on small tables."""
 
 import io
+import json
 import os
 import random
 import stat
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
+from sedimenta import __main__ as command
 from sedimenta.config import Chunking
 from sedimenta.errors import EngineError
-from sedimenta.operators import catalog, chunking, codecs, fingerprints, grouping, integrity, jobs, packing
+from sedimenta.functions import records
+from sedimenta.functions.hashing import crc32c
+from sedimenta.functions.kernels import cut_points
+from sedimenta.operators import catalog, chunking, codecs, fingerprints, grouping, integrity, jobs, packing, sections
 from sedimenta.operators.ordered import lagged, next_fit, ordered
 from sedimenta.plans import archive
 from sedimenta.plans.inputs import commands
-from sedimenta.sources import tree
+from sedimenta.sources import transfers, tree
 from sedimenta.streaming import joblog
 
 MIB = 1 << 20
@@ -334,3 +340,180 @@ def test_dependency_levels(spark):
     assert {r["task"]: r["level"] for r in jobs.levels(edges, tasks).collect()} == {0: 0, 3: 0, 1: 1, 2: 2}
     with pytest.raises(EngineError):
         jobs.levels(edges.unionByName(spark.createDataFrame([(0, 2)], "task long, needs long")), tasks).count()
+
+
+_HEADER = {"major": 0, "minor": 1, "header_len": 96, "flags": 0, "original_total_size": 5_000_000_000, "entry_count": 7, "logical_chunk_count": 3, "group_count": 2, "section_directory_offset": 96, "footer_offset": 1 << 40, "section_count": 6}
+
+
+def test_records_are_packed_like_structs(spark):
+    one = spark.createDataFrame([(bytearray(range(16)), bytearray(32))], "archive_id binary, root binary")
+    numbers = {n: F.lit(v) for n, v in _HEADER.items()}
+    got = bytes(one.select(records.encoded(records.HEADER, {**numbers, "archive_id": F.col("archive_id")}).alias("r")).first()["r"])
+    want = b"UDOC\r\n\x1a\n" + struct.pack("<HHIQ16s6Q", 0, 1, 96, 0, bytes(range(16)), 5_000_000_000, 7, 3, 2, 96, 1 << 40)
+    assert got == want + struct.pack("<II", crc32c(want + struct.pack("<I", 6)), 6)
+    footer = one.select(records.encoded(records.FOOTER, {"archive_length": F.lit(99), "blake3_root": F.col("root"), "directory_crc32c": F.lit((1 << 32) - 1), "version": F.lit(1)}).alias("r")).first()["r"]
+    want = b"UFTR" + struct.pack("<Q32sIII", 99, bytes(32), (1 << 32) - 1, 1, 0)
+    assert bytes(footer) == want + struct.pack("<II", crc32c(want + bytes(4)), 0)
+    codec = one.select(records.encoded(records.CODEC, {"chain_id": F.lit(1), "codec_id": F.lit(3), "codec_version": F.lit(1), "level": F.lit(-5), "flags": F.lit(1)}).alias("r")).first()["r"]
+    assert bytes(codec) == struct.pack("<IHHiI", 1, 3, 1, -5, 1)
+    back = lambda layout, data: spark.createDataFrame([(data,)], "r binary").select(records.decoded(layout, F.col("r")).alias("d")).first()["d"]
+    told = back(records.HEADER, bytearray(got)).asDict()
+    assert {n: told[n] for n in _HEADER} == _HEADER and bytes(told["archive_id"]) == bytes(range(16))
+    assert back(records.CODEC, codec)["level"] == -5 and back(records.CODEC, None) is None
+    for bad, problem in ((got[:-1], "invalid_range"), (b"X" + got[1:], "invalid_magic"), (got[:50] + b"\xff" + got[51:], "checksum_mismatch")):
+        with pytest.raises(Exception, match=problem):
+            back(records.HEADER, bytearray(bad))
+    with pytest.raises(Exception, match="integer_overflow"):
+        one.select(records.encoded(records.CODEC, {"chain_id": F.lit(1), "codec_id": F.lit(1 << 16), "codec_version": F.lit(1), "level": F.lit(0), "flags": F.lit(1)})).collect()
+
+
+def test_sections_are_checked(spark):
+    rows = spark.createDataFrame([(2, "b"), (1, "a"), (3, None)], "entry_id long, path string")
+    bodies = sections.json_body(rows, ["entry_id"]).select(F.lit(2).alias("section_type"), "data").unionByName(spark.createDataFrame([(6, bytearray(b"payload"))], "section_type int, data binary")).cache()
+    told = sections.directory(bodies).cache()
+    assert [(r["offset"], r["length"]) for r in told.orderBy("section_type").collect()] == [(160, 80), (240, 7)]
+    assert [tuple(r) for r in sections.json_rows(sections.checked(bodies, told), 2, "entry_id long, path string").collect()] == [(1, "a"), (2, "b"), (3, None)]
+    for bad, problem in ((bodies.withColumn("data", F.concat("data", F.lit(b" "))), "checksum_mismatch"), (bodies.where("section_type = 2"), "missing_section")):
+        with pytest.raises(Exception, match=problem):
+            sections.checked(bad, told).collect()
+    with pytest.raises(EngineError, match="duplicate_section"):
+        sections.directory(bodies.unionByName(bodies))
+    with pytest.raises(Exception, match="invalid_range"):
+        sections.ranges(bodies, ["section_type"], F.lit(0), F.lit(8)).collect()
+    assert [r["crc32c"] for r in sections.ranges(bodies.where("section_type = 6"), ["section_type"], F.lit(3), F.lit(4)).collect()] == [crc32c(b"load")]
+
+
+#: Small enough for regions of some hundred bytes to be cut.
+_SMALL = Chunking(minimum=64, average=128, maximum=256)
+
+
+def test_structural_pages_equal_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "_SPAN", 512)
+    rnd = random.Random(3)
+    whole, pages, ends, want = [], [], [], set()
+    for entry in range(6):
+        data = rnd.randbytes(rnd.choice([0, 100, 900, 6000]) if entry else 7000)
+        at = sorted(rnd.sample(range(1, len(data)), min(3, len(data) // 60))) if data else []
+        ends.append((entry, 0, [*at, len(data)] if data else []))
+        cuts = [0, *sorted(rnd.randrange(len(data) + 1) for _ in range(9)), len(data)]
+        pages += [(entry, 0, i, bytearray(data[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        for a, b in zip([0, *ends[-1][2]], ends[-1][2]):
+            stops = [b - a] if b - a <= _SMALL.maximum else cut_points(data[a:b], _SMALL)
+            want |= {(entry, 0, a + x, y - x, "Structural") for x, y in zip([0, *stops], stops)}
+    frame = spark.createDataFrame(pages, "entry_id long, object_id long, page long, data binary").repartition(5)
+    marks = spark.createDataFrame(ends, "entry_id long, object_id long, ends array<long>")
+    got = [tuple(r) for r in chunking.structural_pages(frame, marks, _SMALL).collect()]
+    assert set(got) == want and len(got) == len(want)
+    short = marks.withColumn("ends", F.when(F.col("entry_id") == 0, F.concat("ends", F.array(F.lit(7001).cast("long")))).otherwise(F.col("ends")))
+    long = marks.withColumn("ends", F.when(F.col("entry_id") == 0, F.slice("ends", 1, F.size("ends") - 1)).otherwise(F.col("ends")))
+    falling = marks.withColumn("ends", F.when(F.col("entry_id") == 0, F.reverse("ends")).otherwise(F.col("ends")))
+    for bad, problem in ((short, "short pages"), (long, "trailing bytes"), (falling, "structural boundaries"), (marks.where("entry_id <> 0"), "trailing bytes")):
+        with pytest.raises(Exception, match=problem):
+            chunking.structural_pages(frame, bad, _SMALL).collect()
+
+
+def test_fingerprints_of_pages(spark):
+    chunks = spark.createDataFrame([(1, 2500), (2, 0), (3, 1000)], "chunk_id long, length long")
+    data = {1: random.Random(1).randbytes(2500), 2: b"", 3: bytes(1000)}
+    pages = spark.createDataFrame([(k, i, bytearray(v[i * 700 : (i + 1) * 700])) for k, v in data.items() for i in range(4)], "chunk_id long, page long, data binary").repartition(3)
+    whole = fingerprints.computed(spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "chunk_id long, data binary"))
+    assert sorted(map(str, fingerprints.computed_pages(chunks, pages).collect())) == sorted(map(str, whole.collect()))
+    for bad, problem in ((pages.where("NOT (chunk_id = 1 AND page = 2)"), "is short"), (pages.unionByName(pages.where("chunk_id = 3 AND page = 1")), "trailing"), (pages.unionByName(pages.where("chunk_id = 3").withColumn("chunk_id", F.lit(9).cast("long"))), "isn't listed")):
+        with pytest.raises(Exception, match=problem):
+            fingerprints.computed_pages(chunks, bad).collect()
+    with pytest.raises(Exception, match="resource_limit"):
+        fingerprints.computed_pages(chunks.withColumn("length", F.lit(5 * MIB).cast("long")), pages).collect()
+
+
+def test_batch_budget(spark):
+    chunks = spark.createDataFrame([(100,), (5000,)], "length long")
+    held = 2 * 176 + 2 * (5000 + 576 + 12 * 80 + 65536)
+    assert fingerprints.batch_budget(chunks).first()["held_bytes"] == held
+    assert fingerprints.batch_budget(chunks.where("false")).first()["held_bytes"] == 0
+    with pytest.raises(Exception, match="resource_limit"):
+        fingerprints.batch_budget(chunks, most_bytes=held - 1).collect()
+
+
+@pytest.mark.parametrize(("retained", "per_owner"), [(5, 2), (100, 3), (1, 1)])
+def test_submission_caps_against_a_walk(spark, retained, per_owner):
+    rnd = random.Random(retained)
+    rows = [(i, rnd.randrange(4), rnd.randrange(5), rnd.randrange(2)) for i in range(120)]
+    jobs_, want = {}, []
+    for _, owner, key, params in rows:
+        if (owner, key) in jobs_:
+            want.append("replay" if jobs_[owner, key] == params else "conflict")
+        elif len(jobs_) >= retained:
+            want.append("retention")
+        elif sum(o == owner for o, _ in jobs_) >= per_owner:
+            want.append("quota")
+        else:
+            jobs_[owner, key] = params
+            want.append("accepted")
+    frame = spark.createDataFrame(rows, "seq long, owner long, idempotency_key long, params long").repartition(5)
+    assert [r["outcome"] for r in jobs.capped(frame, ["seq"], retained, per_owner).orderBy("seq").collect()] == want
+
+
+def test_sessions_rotate_their_tokens(spark):
+    rows = [(0, "resume", "a", "b", 1), (1, "create", None, "a", 2), (2, "create", None, "x", 3), (3, "resume", "x", "y", 4), (4, "resume", "a", "b", 5), (5, "resume", "a", "c", 6), (6, "resume", "b", "c", 14), (7, "resume", "c", "d", 24), (8, "create", None, "e", 25)]
+    frame = spark.createDataFrame([(n, "s", *r) for n, *r in rows], "n long, session string, action string, token string, next_token string, now_ms long")
+    got = [r["outcome"] for r in jobs.session_log(frame, ["n"], ttl_ms=10).orderBy("n").collect()]
+    assert got == ["denied", "created", "denied", "denied", "resumed", "denied", "resumed", "denied", "created"]
+    live = spark.createDataFrame([(1,), (2,), (99,)], "created_ms long")
+    assert tuple(jobs.session_capacity(live, F.lit(100), most=1).first()) == (3, True)
+
+
+def test_publication_is_recorded_once(spark):
+    rows = [("running", True, None, "a"), ("running", True, "a", "a"), ("cancelling", True, "a", "b"), ("queued", True, None, "a"), ("running", False, None, "a"), ("running", None, None, "a"), ("running", True, None, None)]
+    got = jobs.published(spark.createDataFrame(rows, "state string, was_absent boolean, recorded string, seen string")).collect()
+    assert [(r["outcome"], r["recorded_after"]) for r in got] == [("recorded", "a"), ("unchanged", "a"), ("integrity_mismatch", "a"), ("conflict", None), ("internal", None), ("internal", None), ("internal", None)]
+
+
+def test_pieces_are_checked(spark):
+    whole = spark.createDataFrame([(1, bytearray(b"0123456789")), (2, bytearray())], "id long, content binary")
+    parts = catalog.pieces(whole, 4).cache()
+    row = catalog.rejoined(parts, "id").collect()
+    assert [(r["id"], bytes(r["content"]), r["pieces"]) for r in row] == [(1, b"0123456789", 3)]
+    with pytest.raises(Exception, match="checksum_mismatch"):
+        catalog.rejoined(parts.withColumn("content", F.reverse(F.hex("content")).cast("binary")), "id").collect()
+    with pytest.raises(Exception, match="invalid_range"):
+        catalog.rejoined(parts.where("offset <> 4"), "id").collect()
+
+
+def test_transfer_files_go_in_time(spark, tmp_path):
+    at = str(tmp_path / "ranges")
+    first, second = transfers.publish(spark, b"one", at, 100), transfers.publish(spark, b"two", at, 200)
+    (tmp_path / "ranges/other.bin").write_bytes(b"x")
+    assert open(first, "rb").read() == b"one" and transfers.clean(spark, at, 150) == 1
+    assert not os.path.exists(first) and os.path.exists(second) and os.path.exists(f"{at}/other.bin")
+    assert transfers.clean(spark, str(tmp_path / "none"), 1) == 0
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "in/d").mkdir(parents=True)
+    (tmp_path / "in/d/ü.txt").write_bytes(b"one\n" * 50)
+    (tmp_path / "in/empty").write_bytes(b"")
+    os.link(tmp_path / "in/d/ü.txt", tmp_path / "in/hard")
+    os.symlink("d/ü.txt", tmp_path / "in/soft")
+    at, out = str(tmp_path / "archive"), str(tmp_path / "out")
+
+    def told(*argv):
+        text = io.StringIO()
+        code = command.run(spark, list(argv), text)
+        return code, text.getvalue()
+
+    assert told("pack", str(tmp_path / "in"), "-o", at, "--profile", "stream") == (0, f"{at}: 5 entries, 400 bytes\n")
+    assert told("list", at)[1].splitlines()[0] == "         0  Directory  d"
+    assert "files: 2, directories: 1, hardlinks: 1, symlinks: 1" in told("inspect", at)[1]
+    assert told("verify", at) == (0, "no problems\n")
+    assert told("unpack", at, "-o", out)[0] == 0
+    assert (tmp_path / "out/hard").read_bytes() == (tmp_path / "out/soft").read_bytes() == b"one\n" * 50
+    assert os.stat(f"{out}/hard").st_ino == os.stat(f"{out}/d/ü.txt").st_ino and (tmp_path / "out/empty").read_bytes() == b""
+    assert told("extract", at, "hard", "-o", str(tmp_path / "one"))[0] == 0 and (tmp_path / "one").read_bytes() == b"one\n" * 50
+    told_ = archive.manifest(spark, at)
+    moved = str(tmp_path / "moved")
+    os.rename(at, moved)
+    with open(f"{moved}/_MANIFEST", "w") as f:
+        f.write(json.dumps({**told_, "rows": {**told_["rows"], "entries": 9}, "root": "00"}))
+    if os.path.exists(crc := f"{moved}/._MANIFEST.crc"):
+        os.remove(crc)
+    assert told("verify", moved) == (1, "rows: entries\nroot hash\n")
