@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.config import CANDIDATES, CODECS, COST_CODEC, COST_GROUP, COST_INDEX, COST_INTEGRITY, COST_PADDING
 from sedimenta.errors import EngineError
 from sedimenta.functions import codecs
-from sedimenta.functions.hashing import blake3, blake3_many, crc32c
+from sedimenta.functions.hashing import blake3, blake3_many, crc32c_many
 
 _EXTRA = COST_CODEC + COST_GROUP + COST_INDEX + COST_INTEGRITY + COST_PADDING
 ENCODED = "group_id long, codec string, codec_id int, uncompressed_len long, compressed_len long, payload_crc32c long, total_cost long, payload binary"
@@ -30,7 +31,7 @@ def tried(groups: DataFrame, profile: str) -> DataFrame:
 
 
 def encoded(groups: DataFrame, profile: str) -> DataFrame:
-    """The cheapest encoding of each group; a tie goes to the lower codec id. Only the best payload so far is held."""
+    """The cheapest encoding of each group; a tie goes to the lower codec id. Of a group only the best payload so far is held."""
     return _encoded(groups, profile, every=False)
 
 
@@ -39,17 +40,15 @@ def _encoded(groups: DataFrame, profile: str, every: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                best = None
-                for name in names:
-                    payload = codecs.encode(name, data)
-                    row = {"group_id": group, "codec": name, "codec_id": CODECS[name], "uncompressed_len": len(data), "compressed_len": len(payload), "payload_crc32c": crc32c(payload), "total_cost": len(payload) + _EXTRA, "payload": b"" if every else payload}
-                    if every:
-                        yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
-                    elif best is None or (row["total_cost"], row["codec_id"]) < (best["total_cost"], best["codec_id"]):
-                        best = row
-                if best:
-                    yield pa.RecordBatch.from_pylist([best], schema=_ARROW)
+            for a, b in _parts(pc.binary_length(batch.column(1)).to_pylist(), SLICED_BYTES):
+                made = []
+                for group, data in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()):
+                    tries = ((group, name, CODECS[name], len(data), codecs.encode(name, data)) for name in names)
+                    made += tries if every else [min(tries, key=lambda t: (len(t[4]), t[2]))]
+                group_ids, used, ids, lengths, payloads = map(list, zip(*made))
+                sizes = [len(p) for p in payloads]
+                columns = [group_ids, used, ids, lengths, sizes, crc32c_many(payloads), [n + _EXTRA for n in sizes], [b""] * len(made) if every else payloads]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
     return groups.select("group_id", F.col("data").cast("binary").alias("data")).mapInArrow(run, ENCODED)
 
@@ -63,11 +62,19 @@ def chosen(costs: DataFrame) -> DataFrame:
     return best.select("group_id", "b.*")
 
 
-def _decode(group: dict) -> bytes:
-    """The bytes of an encoded group: its checksum, then a decode that is bounded by the declared length."""
-    if crc32c(group["payload"]) != group["payload_crc32c"]:
-        raise EngineError("checksum_mismatch", f"group {group['group_id']}")
-    return codecs.decode(group["codec"], group["payload"], group["uncompressed_len"])
+#: Bytes of payloads that are checked together, and of members that leave the decoder together.
+SLICED_BYTES = 8 << 20
+
+
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple[dict, bytes]]:
+    """Encoded groups and their bytes: their checksums, then a decode of each that is bounded by the declared length."""
+    for a, b in _parts(pc.binary_length(batch.column("payload")).to_pylist(), SLICED_BYTES):
+        groups = batch.slice(a, b - a).to_pylist()
+        for g, crc in zip(groups, crc32c_many([g["payload"] for g in groups])):
+            if crc != g["payload_crc32c"]:
+                raise EngineError("checksum_mismatch", f"group {g['group_id']}")
+        for g in groups:
+            yield g, codecs.decode(g["codec"], g["payload"], g["uncompressed_len"])
 
 
 _GROUP = ("group_id", "codec", "uncompressed_len", "payload_crc32c", "payload")
@@ -78,38 +85,40 @@ def decoded(groups: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([{"group_id": g["group_id"], "data": _decode(g)}], schema=pa.schema([("group_id", pa.int64()), ("data", pa.binary())]))
+            for g, data in _opened(batch):
+                yield pa.RecordBatch.from_pylist([{"group_id": g["group_id"], "data": data}], schema=pa.schema([("group_id", pa.int64()), ("data", pa.binary())]))
 
     return groups.select(*_GROUP).mapInArrow(run, "group_id long, data binary")
 
 
-#: Bytes of members that leave the decoder together.
-SLICED_BYTES = 8 << 20
-
-
 def members(groups: DataFrame, restore: DataFrame) -> DataFrame:
     """entry_id, content and blake3 of each member, from groups that are decoded once each.
 
     Lists of places meet encoded groups, and members are cut and hashed where a group is decoded; so decoded bytes
-    aren't shuffled. Members without bytes need no group.
+    aren't shuffled. Those of many small groups are hashed together. Members without bytes need no group.
     """
     places = restore.select("entry_id", "group_id", "group_offset", "length")
     listed = places.where("length > 0").groupBy("group_id").agg(F.collect_list(F.struct("entry_id", "group_offset", "length")).alias("places"))
     met = groups.select(*_GROUP).join(listed, "group_id")
     schema = pa.schema([("entry_id", pa.int64()), ("content", pa.binary()), ("blake3", pa.binary())])
 
+    def told(ids: list[int], cut: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cut, pa.binary()), pa.array(blake3_many(cut), pa.binary())], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                g = batch.slice(i, 1).to_pylist()[0]
-                data, mine = _decode(g), g["places"]
-                for p in mine:
-                    if p["group_offset"] < 0 or p["group_offset"] + p["length"] > len(data):
-                        raise EngineError("invalid_range", f"entry {p['entry_id']}")
-                for a, b in _parts([p["length"] for p in mine], SLICED_BYTES):
-                    cut = [data[p["group_offset"] : p["group_offset"] + p["length"]] for p in mine[a:b]]
-                    yield pa.RecordBatch.from_arrays([pa.array([p["entry_id"] for p in mine[a:b]], pa.int64()), pa.array(cut, pa.binary()), pa.array(blake3_many(cut), pa.binary())], schema=schema)
+        ids, cut, held = [], [], 0
+        for g, data in (x for batch in batches for x in _opened(batch)):
+            for p in g["places"]:
+                if p["group_offset"] < 0 or p["group_offset"] + p["length"] > len(data):
+                    raise EngineError("invalid_range", f"entry {p['entry_id']}")
+                if cut and held + p["length"] > SLICED_BYTES:
+                    yield told(ids, cut)
+                    ids, cut, held = [], [], 0
+                ids.append(p["entry_id"])
+                cut.append(data[p["group_offset"] : p["group_offset"] + p["length"]])
+                held += p["length"]
+        if cut:
+            yield told(ids, cut)
 
     whole = met.mapInArrow(run, "entry_id long, content binary, blake3 binary")
     nothing = F.to_binary(F.lit(""), F.lit("utf-8"))

@@ -26,22 +26,26 @@ VERSION = 1
 def pack_tables(files: DataFrame, profile: str, identity: str | None = None, kind: str | None = None) -> dict[str, DataFrame]:
     """The tables of an archive from files (path, size, modified_ns, mode, data), or from a tree whose rows have a `kind`.
 
-    Bytes are written once and shuffled once, to the groups that hold them; the best of the profile's
+    Bytes are written once as they come, and entries are ordered without them; then they are shuffled to their entries, and
+    once more to the groups that hold several. The best of the profile's
     codecs is kept for each. A path that occurs twice fails. Group ids, offsets and entry ids come from total orders, so
     the result doesn't depend on partitions.
     """
     if profile not in GROUP_TARGETS:
         raise EngineError("unsupported_codec", profile)
-    made = stage(catalog.entries(files, identity, kind))
+    held = stage(files.withColumn("__file", F.monotonically_increasing_id()))
+    made = stage(catalog.entries(held.drop("data"), identity, kind))
     catalog.require_empty(catalog.check_unique_paths(made), "duplicate_path")
     owners = made.where("kind = 'file'")
     placed = grouping.grouped(owners.select("entry_id", "size"), profile)
     placed = stage(placed.select("entry_id", "size", "group_id", "group_offset"))
-    blobs = placed.join(owners.select("entry_id", "data"), "entry_id")
-    encoded = stage(codecs.encoded(codecs.group_bytes(blobs), profile))
-    hashed = codecs.hashed(owners.select("entry_id", "data"), ["entry_id"], "data").select("entry_id", "blake3")
+    blobs = placed.join(owners.select("entry_id", "__file"), "entry_id").join(held.select("__file", F.col("data").cast("binary").alias("data")), "__file")
+    alone = blobs.select("group_id", F.coalesce("data", F.to_binary(F.lit(""), F.lit("utf-8"))).alias("data"))
+    encoded = stage(codecs.encoded(codecs.group_bytes(blobs) if GROUP_TARGETS[profile] else alone, profile))
+    hashed = codecs.hashed(held.select("__file", "data"), ["__file"], "data").select("__file", "blake3")
+    hashed = owners.select("entry_id", "__file").join(hashed, "__file").select("entry_id", "blake3")
     owner = F.coalesce("target_entry_id", "entry_id")
-    told = made.drop("data").withColumn("owner_id", owner).join(hashed.select(F.col("entry_id").alias("owner_id"), "blake3"), "owner_id", "left")
+    told = made.drop("__file").withColumn("owner_id", owner).join(hashed.select(F.col("entry_id").alias("owner_id"), "blake3"), "owner_id", "left")
     told = told.join(placed.select(F.col("entry_id").alias("owner_id"), F.col("group_id").alias("g")), "owner_id", "left").withColumn("group_id", F.when(F.col("kind") == "file", F.col("g"))).drop("owner_id", "g")
     numbers = encoded.join(placed.groupBy("group_id").agg(F.count("*").alias("chunk_count")), "group_id")
     chain = F.lit(0) if profile == "raw" else F.col("codec_id") + 1

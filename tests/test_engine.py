@@ -6,6 +6,7 @@ import os
 import random
 import stat
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from sedimenta import __main__ as command
 from sedimenta.config import Chunking
 from sedimenta.errors import EngineError
 from sedimenta.functions import records
-from sedimenta.functions.hashing import crc32c
+from sedimenta.functions.hashing import blake3, crc32c
 from sedimenta.functions.kernels import cut_points
 from sedimenta.operators import catalog, chunking, codecs, fingerprints, grouping, integrity, jobs, packing, sections
 from sedimenta.operators.ordered import lagged, next_fit, ordered
@@ -167,6 +168,22 @@ def test_verification_sees_damage(spark):
     assert "missing" in {r["problem"] for r in archive.verify(fewer).collect()}
 
 
+def test_many_small_groups_are_checked_together(spark):
+    """4,000 files of a group each: hashed one at a time they take over ten seconds on four cores."""
+    n = 4000
+    rows = spark.range(0, n, 1, 4).select(F.col("id").alias("entry_id"), F.col("id").alias("group_id"), F.encode(F.concat(F.lit("file " * 500), F.col("id")), "UTF-8").alias("data"))
+    groups = codecs.encoded(rows.select("group_id", "data"), "raw").localCheckpoint()
+    places = rows.select("entry_id", "group_id", F.lit(0).cast("long").alias("group_offset"), F.octet_length("data").cast("long").alias("length"))
+    began = time.time()
+    got = {r["entry_id"]: (bytes(r["content"]), bytes(r["blake3"])) for r in codecs.members(groups, places).collect()}
+    assert time.time() - began < 10
+    assert len(got) == n and all(got[i][0] == b"file " * 500 + b"%d" % i for i in range(n))
+    assert all(got[i][1] == blake3(b"file " * 500 + b"%d" % i) for i in range(0, n, 400))
+    bad = groups.withColumn("payload", F.when(F.col("group_id") == 7, F.encode(F.lit("other"), "UTF-8")).otherwise(F.col("payload")))
+    with pytest.raises(Exception, match="checksum_mismatch.*group 7"):
+        codecs.members(bad, places).collect()
+
+
 def test_reads_are_verified(spark):
     """A place that leads to other bytes, or an entry whose hash differs, never hands out bytes."""
     made = {n: t.cache() for n, t in archive.pack_tables(_files(spark), "stream", "digest").items()}

@@ -200,3 +200,11 @@ def test_many_hashes_at_once():
     rnd = random.Random(1)
     blobs = [rnd.randbytes(n) for n in (0, 1, 64, 65, 1023, 1024, 1025, 2048, 2049, 3073, 7168, 100_000)] * 2
     assert blake3_many(blobs) == [blake3(x) for x in blobs] and blake3_many([]) == []
+
+
+def test_checksums_of_many_are_those_of_each():
+    from sedimenta.functions.hashing import crc32c_many
+
+    draw = random.Random(9)
+    blobs = [draw.randbytes(n) for n in [*range(12), 255, 256, 257, 511, 512, 513, 769, 4096, 70_000, 5 << 20, 3, 0]]
+    assert crc32c_many(blobs) == [crc32c(x) for x in blobs] and crc32c_many([]) == []
