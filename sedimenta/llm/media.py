@@ -36,6 +36,9 @@ AT_ONCE, PIXELS_AT_ONCE = 64, 1 << 20
 LEAST_SIDE, MOST_SIDE = 4 * REACH + 1, 1024
 #: Pairs of images that share one of them and are compared in one place.
 PAIRS_OF_ONE = 512
+#: Images of a block, of which two are compared in one place; those of the smallest, and the blocks that there are at least
+#: if there are as many images; images of a block, and points of another image, that are compared at once.
+BLOCK, LEAST_BLOCK, BLOCKS, IMAGES_AT_ONCE, ROWS_AT_ONCE = 8192, 256, 8, 256, 2
 
 
 # --- decoding --------------------------------------------------------------------------
@@ -405,18 +408,88 @@ def _counted(lists: DataFrame, at_least: int) -> DataFrame:
     return lists.groupBy("a").agg(F.flatten(F.collect_list("bs")).alias("bs")).mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
+def _filled(words: list[bytes], width: int, rest: tuple[int, ...]) -> np.ndarray:
+    """[images, width, 4]: the words of each image, filled up with `rest`."""
+    out = np.empty((len(words), width, 4), np.uint64)
+    out[:] = np.array(rest, np.uint64)
+    for i, w in enumerate(words):
+        own = np.frombuffer(w, ">u8").reshape(-1, 4)
+        out[i, : len(own)] = own
+    return out
+
+
+def sharing(x: np.ndarray, y: np.ndarray, ix: np.ndarray, iy: np.ndarray, same: bool) -> np.ndarray:
+    """[2, n]: images a < b of which AGREE points of a are within RADIUS bits of points of b, from all pairs of x and y.
+
+    Two images that share fewer can't agree. `same` tells that x and y are one block. Distances are bytes, so that one of
+    256 bits counts as none: that may add a pair and leaves none out.
+    """
+    width = x.shape[1]
+    parts = [(k, np.ascontiguousarray(y[k : k + IMAGES_AT_ONCE].transpose(2, 1, 0))) for k in range(0, len(y), IMAGES_AT_ONCE)]
+    differ = np.empty((ROWS_AT_ONCE, width, IMAGES_AT_ONCE), np.uint64)
+    ones, far = np.empty(differ.shape, np.uint8), np.empty((width, width, IMAGES_AT_ONCE), np.uint8)
+    out = [np.zeros((2, 0), np.int64)]
+    for i in range(len(x)):
+        for k, part in parts:
+            n = part.shape[2]
+            if same and k + n <= i + 1:
+                continue
+            for r in range(0, width, ROWS_AT_ONCE):
+                own = x[i, r : r + ROWS_AT_ONCE]
+                d, o, f = differ[: len(own), :, :n], ones[: len(own), :, :n], far[r : r + len(own), :, :n]
+                for w in range(4):
+                    np.bitwise_xor(own[:, w, None, None], part[w], out=d)
+                    np.bitwise_count(d, out=o if w else f)
+                    if w:
+                        np.add(f, o, out=f)
+            # the points of the smaller image that have one of the larger nearby
+            mine, theirs = ((far[:, :, :n].min(axis=s) <= RADIUS).sum(axis=0) for s in (1, 0))
+            other = iy[k : k + n]
+            fine = np.where(ix[i] < other, mine, theirs) >= AGREE
+            if same:
+                fine &= np.arange(k, k + n) > i
+            if fine.any():
+                out.append(np.stack([np.minimum(other[fine], ix[i]), np.maximum(other[fine], ix[i])]))
+    return np.concatenate(out, axis=1)
+
+
+def _sharing(points: DataFrame) -> DataFrame:
+    """(a, b): all pairs of images that share enough points to agree, by comparing each two blocks of images in one place."""
+    packed = F.unhex(F.array_join(F.transform(F.flatten("words"), lambda w: F.lpad(F.hex(w), 16, "0")), ""))
+    held = points.where(F.size("words") > 0).select("img", packed.alias("words"))
+    n = held.count()
+    blocks = max(-(-n // BLOCK), min(BLOCKS, -(-n // LEAST_BLOCK)), 1)
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("img", F.lit(2)), F.lit(blocks)).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(j, "block").alias("i"), F.greatest(j, "block").alias("j")))
+    placed = dealt.withColumn("at", F.explode(meets)).select("at.i", "at.j", "block", "img", "words")
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        block, img, words = table["block"].to_numpy(), table["img"].to_numpy(), table["words"].to_pylist()
+        width = max(map(len, words)) // 32
+        # what fills up one side is far from what fills up the other
+        sides = [(np.flatnonzero(block == at), rest) for at, rest in ((i, (0, 0, 0, 0)), (j, (2**64 - 1, 2**64 - 1, 2**64 - 1, 0)))]
+        x, y = (_filled([words[k] for k in own], width, rest) for own, rest in sides)
+        a, b = sharing(x, y, img[sides[0][0]], img[sides[1][0]], i == j)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return placed.repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
 def links(points: DataFrame) -> DataFrame:
-    """(a, b): images that geometric consensus joins; the links span classes.
+    """(a, b): all pairs of images that geometric consensus joins, a < b.
 
     Descriptors meet in eight tables by 32 of their bits, so any two that differ in fewer than
     eight bits meet, and most that differ in a few more. Two images are compared if in at least VOTES
     buckets of any size they have descriptors within RADIUS bits, unless others have joined them
     already: first each image is compared with the one that it most often meets as the smallest
     of a bucket, then all pairs that this leaves in different classes are counted and compared.
+    No table holds all that differ in RADIUS bits; so the points of every two images follow, block by block, and those that
+    share AGREE of them are compared if the tables haven't led to it. This takes time with the square of the images.
     """
     alone = points.select("img", F.col("img").alias("root"), "words")
     stars = _counted(_meetings(alone, FIRST_TABLES, True), 1)
-    best = stars.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select((-F.col("m.b")).alias("a"), F.col("a").alias("b"))
+    best = stage(stars.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select((-F.col("m.b")).alias("a"), F.col("a").alias("b")))
     near = stage(_confirmed(best, points))
     roots = stage(components(near))
     classed = points.join(small(roots.withColumnRenamed("node", "img")), "img", "left").select("img", F.coalesce("root", "img").alias("root"), "words")
@@ -424,7 +497,8 @@ def links(points: DataFrame) -> DataFrame:
     votes = stage(_counted(reduce(DataFrame.unionByName, lists), VOTES).select("a", "b"))
     for x in lists:
         release(x)
-    return near.unionByName(stage(_confirmed(votes, points))).distinct()
+    more = stage(_sharing(points)).join(best.unionByName(votes).distinct(), ["a", "b"], "left_anti")
+    return near.unionByName(stage(_confirmed(votes, points))).unionByName(stage(_confirmed(more, points))).distinct()
 
 
 def copies(images: DataFrame, img: str = "img", data: str = "data") -> DataFrame:
@@ -432,7 +506,7 @@ def copies(images: DataFrame, img: str = "img", data: str = "data") -> DataFrame
 
     Images with the same bytes are one; of each such set the smallest id is compared with
     others. class_id is the smallest id that an image reaches through equal bytes and
-    confirmed links, n_links the number of confirmed links, which span a class. An image that
+    links, n_links the number of its links to images with other bytes. An image that
     can't be decoded (`decoded` tells), or is null, of few pixels or flat, has no corners and only equals its own
     bytes; null images are each alone, as are rows with a null id among others. Repeated
     rows each get a row; an empty table gives no rows; other columns aren't read.

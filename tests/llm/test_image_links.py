@@ -109,3 +109,34 @@ def test_planted_copies_are_found_and_strangers_are_not(spark):
     assert all(by_kind[k] >= 0.9 for k in (0, 1, 3, 4, 5))
     mixed = {c for c in set(got) if len({o for o, g in zip(owner, got) if g == c}) > 1}
     assert not mixed
+
+
+def _all_links(described):
+    n = len(described)
+    return {(a, b) for a in range(n) for b in range(a + 1, n) if media.agreement(described[a], described[b]) >= media.AGREE}
+
+
+def _far(words, by, rnd):
+    """The words with `by` other bits in each of the eight parts of 32."""
+    return [[w ^ sum(1 << int(k) + h for h in (0, 32) for k in rnd.permutation(31)[:by]) for w in point] for point in words]
+
+
+def test_links_without_a_common_bucket(spark, monkeypatch):
+    """Copies that differ in five bits of all eight parts meet in no table, and blocks of few images part them; one image
+    has fewer points than the others, one none."""
+    monkeypatch.setattr(media, "BLOCK", 3)
+    rnd = np.random.RandomState(31)
+    pools = [_pool(12, 40 + k) for k in range(4)]
+    images = [_holding(p, range(12)) for p in pools] + [_holding((*p[:2], _far(p[2], 5, rnd)), range(12)) for p in pools]
+    images += [_holding(pools[0], range(9)), {"x": [], "y": [], "words": []}]
+    got = sorted((r["a"], r["b"]) for r in media.links(_points(spark, images)).collect())
+    assert got == sorted(_all_links(images)) and {(k, k + 4) for k in range(4)} <= set(got) and len(got) == 6
+
+
+def test_all_links_of_edited_copies(spark):
+    """Every pair that agrees is a link, also inside a class, and none other is."""
+    rnd = np.random.RandomState(5)
+    images = _textures(spark, 60, 21)
+    described = media.described(images + [_edited(a, k, rnd) for a in images[:30] for k in (0, 2, 6)])
+    got = [(r["a"], r["b"]) for r in media.links(_points(spark, described)).collect()]
+    assert len(got) == len(set(got)) and set(got) == _all_links(described)
