@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import islice
 
@@ -21,8 +22,10 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 KNOWN_BYTES, KNOWN_PIECE = 40 << 20, 256
 #: Looked-up pairs of tokens that a worker remembers.
 KNOWN_PAIRS = 200_000
-#: Bytes of new pieces that are encoded together.
-REPLAY_BYTES = 1 << 18
+#: Bytes of new pieces that are encoded together, and the longest piece whose merges are applied with those of others.
+REPLAY_BYTES, TOGETHER = 1 << 18, 64
+#: Ranges of ranks whose merges are looked at together begin at these powers of two.
+RANGES = range(9, 17)
 #: Pieces of one text that are turned into ids at a time.
 PIECES_AT_ONCE = 1 << 16
 #: Bytes of text that are split into pieces together.
@@ -31,6 +34,7 @@ SPLIT_BYTES = 1 << 20
 LONG_TEXT = 1 << 20
 
 _EDGE, _GONE = -1, -2
+_NO_MERGE = 1 << 30
 #: The contractions that the pattern takes as pieces of their own.
 _CONTRACTIONS = (b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d")
 _LETTER, _DIGIT, _SPACE, _OTHER = range(4)
@@ -84,26 +88,80 @@ def latin_pieces(data: bytes, doc_starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return begin, np.append(begin[1:], n)
 
 
+@lru_cache(maxsize=2)
+def _ranks(path: str) -> tuple[dict[bytes, int], list[bytes], np.ndarray, np.ndarray]:
+    """Of a file of ranks: the rank of each token, the token of each rank, and a table of the pairs that spell tokens."""
+    with open(path, "rb") as f:
+        rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    token = [b""] * (max(rank.values()) + 1)
+    of: list[int] = []
+    made: list[int] = []
+    get = rank.get
+    for t, r in rank.items():
+        token[r] = t
+        for k in range(1, len(t)):
+            if (x := get(t[:k])) is not None and (y := get(t[k:])) is not None:
+                of.append(x << 32 | y)
+                made.append(r)
+    return rank, token, *_hashed(np.array(of, np.int64), np.array(made, np.int64))
+
+
+def _slot(keys: np.ndarray, n: int) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64)
+
+
+def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An open table of these different keys and their values; its size is a power of two, empty slots have the key -1."""
+    n = 1 << max(4, (2 * len(keys)).bit_length())
+    held, value = np.full(n, -1, np.int64), np.full(n, _NO_MERGE, np.int32)
+    at = _slot(keys, n)
+    while len(keys):
+        free = held[at] < 0
+        held[at[free]] = keys[free]
+        placed = held[at] == keys
+        value[at[placed]] = values[placed]
+        keys, values, at = keys[~placed], values[~placed], at[~placed] + 1 & n - 1
+    return held, value
+
+
 class MergeReplay:
     """Encodes distinct pieces together.
 
     An inverted index leads from each merge to the places where a neighbouring pair
-    of tokens spells it. Merges are taken in rank order from a heap; each is applied
-    at all its places, leftmost first within a piece, and only the two neighbours of
-    a place get new entries. Where a merge makes a pair of a lower rank, the rest of
-    that piece waits until the lower one has been applied, as encoding piece by piece
-    would have it.
+    of tokens spells it. Merges are taken in rank order, those of a range of ranks
+    together: of each piece the lowest one that it holds is applied at its leftmost
+    place, in all pieces at once, until none of the range is left. Only the two
+    neighbours of a place get new entries; one of a lower rank, or of this range, is
+    taken before the next range, as encoding piece by piece would have it.
+
+    Long pieces take merges one by one from a heap: each is applied at all its places,
+    leftmost first within a piece. Where a merge makes a pair of a lower rank, the rest
+    of that piece waits until the lower one has been applied.
     """
 
     def __init__(self, path: str = RANKS):
-        with open(path, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.token = [b""] * (max(self.rank.values()) + 1)
-        for t, r in self.rank.items():
-            self.token[r] = t
+        self.rank, self.token, self.held, self.made = _ranks(path)
         self.of_byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         self.pairs: dict[int, int] = {}
 
+    def spelled(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of the tokens that pairs spell together, _NO_MERGE where there is none or a side is an edge."""
+        keys = a << 32 | b
+        at = _slot(keys, len(self.held))
+        found = self.held[at]
+        fits = (found == keys) & (keys >= 0)
+        out = np.where(fits, self.made[at], _NO_MERGE).astype(np.int64)
+        rest = np.flatnonzero(~fits & (found >= 0) & (keys >= 0))
+        at = at[rest]
+        while len(rest):
+            at = at + 1 & len(self.held) - 1
+            found = self.held[at]
+            fits = found == keys[rest]
+            out[rest[fits]] = self.made[at[fits]]
+            on = ~fits & (found >= 0)
+            rest, at = rest[on], at[on]
+        return out
+
     def merged(self, a: int, b: int) -> int:
         """The rank of the token that the two spell together, or -1."""
         key = a << 32 | b
@@ -116,34 +174,32 @@ class MergeReplay:
         return [ids for a, b in slabs(map(len, pieces), REPLAY_BYTES) for ids in self._together(pieces[a:b])]
 
     def _together(self, pieces: list[bytes]) -> list[bytes]:
-        out: list = [None] * len(pieces)
-        rest = []
-        for i, p in enumerate(pieces):
-            if (r := self.rank.get(p)) is not None:
-                out[i] = r.to_bytes(4, "little")
-            else:
-                rest.append(i)
+        out: list = list(map(self.rank.get, pieces))
+        rest = [i for i, r in enumerate(out) if r is None]
+        whole = np.array([r for r in out if r is not None], "<u4").tobytes()
+        at = 0
+        for i, r in enumerate(out):
+            if r is not None:
+                out[i] = whole[at : at + 4]
+                at += 4
         if not rest:
             return out
-        if len(self.pairs) > KNOWN_PAIRS:
-            self.pairs.clear()
         raw = np.frombuffer(b"".join(pieces[i] for i in rest), np.uint8)
         lengths = np.array([len(pieces[i]) for i in rest])
         ends = np.cumsum(lengths + 1)
-        whose = np.repeat(np.arange(len(rest)), lengths)
-        at = np.arange(len(raw)) + whose
-        laid = np.full(len(raw) + len(rest), _EDGE)
-        laid[at] = self.of_byte[raw]
-        seen, back = np.unique(laid[:-1] << 32 | laid[1:] & 0xFFFFFFFF, return_inverse=True)
-        made = np.array([self.merged(int(k) >> 32, int(k) & 0xFFFFFFFF) if k >= 0 and (k & 0xFFFFFFFF) != 0xFFFFFFFF else -1 for k in seen])
-        spelled = made[back]
-        order = np.argsort(spelled, kind="stable")
-        order = order[spelled[order] >= 0]
-        ranks, first = np.unique(spelled[order], return_index=True)
-        index = {int(r): p.tolist() for r, p in zip(ranks, np.split(order, first[1:]))} if len(ranks) else {}
-        tokens = self._replay(laid.tolist(), ends, index)
-        kept = np.array(tokens)
         piece_of = np.repeat(np.arange(len(rest)), lengths + 1)
+        laid = np.full(len(piece_of), _EDGE)
+        inside = np.ones(len(laid), bool)
+        inside[ends - 1] = False
+        laid[inside] = self.of_byte[raw]
+        spelled = self.spelled(laid, np.append(laid[1:], _EDGE))
+        long = np.repeat(lengths > TOGETHER, lengths + 1)
+        if long.any():
+            kept = self._one_by_one(laid, ends, np.where(long, spelled, _NO_MERGE))
+            spelled[long] = _NO_MERGE
+        else:
+            kept = laid
+        kept = self._by_ranges(kept, piece_of, spelled)
         live = kept >= 0
         ids = kept[live].astype("<u4").tobytes()
         stops = (4 * np.cumsum(np.bincount(piece_of[live], minlength=len(rest)))).tolist()
@@ -151,6 +207,49 @@ class MergeReplay:
             out[i] = ids[start:stop]
         return out
 
+    def _by_ranges(self, tok: np.ndarray, piece: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """What is left of `tok` after all merges; `rank` is what each place and the next one spell."""
+        n = len(tok)
+        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        uppers = np.append(1 << np.array(RANGES), _NO_MERGE)
+        index: list[list[np.ndarray]] = [[] for _ in uppers]
+
+        def put(places: np.ndarray) -> None:
+            which = uppers.searchsorted(rank[places], "right")
+            for k in range(len(uppers)):
+                index[k].append(places[which == k])
+
+        put(np.flatnonzero(rank < _NO_MERGE))
+        for k, upper in enumerate(uppers):
+            places = np.sort(np.concatenate(index[k]))
+            while len(places := places[rank[places] < upper]):
+                own = piece[places]
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                i = np.minimum.reduceat(rank[places] << 32 | places, first) & 0xFFFFFFFF
+                r, j, h = rank[i], after[i], before[i]
+                m = after[j]
+                tok[i], tok[j], rank[j] = r, _GONE, _NO_MERGE
+                after[i], before[m] = m, i
+                rank[i], rank[h] = self.spelled(r, tok[m]), self.spelled(tok[h], r)
+                fresh = np.concatenate([i, h])
+                soon = rank[fresh] < upper
+                put(fresh[~soon & (rank[fresh] < _NO_MERGE)])
+                places = np.sort(np.concatenate([places, fresh[soon]]))  # some twice
+                places = places[np.r_[True, places[1:] != places[:-1]]]
+        return tok
+
+    def _one_by_one(self, laid: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The same from a heap."""
+        if len(self.pairs) > KNOWN_PAIRS:
+            self.pairs.clear()
+        order = np.argsort(rank, kind="stable")
+        order = order[rank[order] < _NO_MERGE]
+        for i in np.unique(laid[order] << 32 | laid[order + 1]).tolist():
+            self.merged(i >> 32, i & 0xFFFFFFFF)
+        ranks, first = np.unique(rank[order], return_index=True)
+        index = {int(r): p.tolist() for r, p in zip(ranks, np.split(order, first[1:]))} if len(ranks) else {}
+        return np.array(self._replay(laid.tolist(), ends, index))
+
     def _replay(self, tok: list[int], ends: np.ndarray, index: dict[int, list[int]]) -> list[int]:
         n = len(tok)
         after, before = list(range(1, n + 1)), list(range(-1, n))

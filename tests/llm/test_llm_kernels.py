@@ -52,6 +52,43 @@ def test_bpe_any_text(codec, peer, texts):
     assert _ids(codec, texts) == [peer.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_short_pieces_share_their_merges(peer, monkeypatch):
+    """Of many short pieces none is replayed merge by merge, and a long one among them is."""
+    words = ["".join(random.Random(k).choices("abcdefgh'étéñ漢字", k=k % 60 + 1)) for k in range(2000)]
+    replay, long = bpe.MergeReplay(), []
+    one_by_one = replay._one_by_one
+    monkeypatch.setattr(replay, "_one_by_one", lambda *a: long.append(1) or one_by_one(*a))
+    short = [w.encode() for w in words if len(w.encode()) <= bpe.TOGETHER]
+    assert replay.encode(short) == [np.array(peer._encode_single_piece(w), "<u4").tobytes() for w in short] and not long
+    mixed = [*short, ("xq" * 50).encode(), "漢字".encode() * 40]
+    assert replay.encode(mixed) == [np.array(peer._encode_single_piece(w), "<u4").tobytes() for w in mixed] and long
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bpe_ranks_in_any_order(tmp_path, seed):
+    """A merge may make a pair of a lower rank, of the same range or of one that was before."""
+    import base64
+
+    draw = random.Random(seed)
+    more = list({bytes(draw.choices(b"abc", k=draw.randint(2, 6))) for _ in range(120)})
+    ranks = {bytes([b]): b for b in range(256)} | dict(zip(more, draw.sample(range(256, 40_000), len(more))))
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+
+    def plain(piece):
+        parts = [bytes([b]) for b in piece]
+        while True:
+            made = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not made:
+                return np.array([ranks[p] for p in parts], "<u4").tobytes()
+            k = min(made)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    pieces = list({bytes(draw.choices(b"abcd", k=draw.randint(1, 90))) for _ in range(300)})
+    pieces = [p for p in pieces if p not in ranks]
+    assert bpe.MergeReplay(str(path)).encode(pieces) == [plain(p) for p in pieces]
+
+
 def test_bpe_forgets_pieces_without_harm(peer, monkeypatch):
     for name, value in (("KNOWN_BYTES", 500), ("KNOWN_PIECE", 6), ("REPLAY_BYTES", 20)):
         monkeypatch.setattr(bpe, name, value)
