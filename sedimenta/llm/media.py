@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,16 @@ AT_ONCE, PIXELS_AT_ONCE = 64, 1 << 20
 LEAST_SIDE, MOST_SIDE = 4 * REACH + 1, 1024
 #: Pairs of images that share one of them and are compared in one place.
 PAIRS_OF_ONE = 512
-#: Images of a block, of which two are compared in one place; those of the smallest, and the blocks that there are at least
-#: if there are as many images; images of a block, and points of another image, that are compared at once.
-BLOCK, LEAST_BLOCK, BLOCKS, IMAGES_AT_ONCE, ROWS_AT_ONCE = 8192, 256, 8, 256, 2
+#: Images of a block that are compared with later ones in one place; those of the smallest, and the blocks that there are at least
+#: if there are as many images; and the blocks whose images they are compared with in that place.
+BLOCK, LEAST_BLOCK, BLOCKS, WIDE = 4096, 256, 12, 16
+#: Descriptors that others are sorted by, images for each of them at least, and those by which costs are estimated.
+CENTRES, IMAGES_A_CENTRE, SOME_CENTRES = 16384, 4, 256
+#: Places of an image that need not be looked at, as two images share AGREE of them or are no copies.
+SPARED = 6
+#: Centres, points of one centre and points near it that are compared at once, pairs of images, and matches that are held.
+CENTRES_AT_ONCE, OWN_AT_ONCE, NEAR_AT_ONCE, IMAGES_AT_ONCE, MATCHES = 64, 16, 1024, 128, 1 << 22
+
 
 
 # --- decoding --------------------------------------------------------------------------
@@ -408,72 +416,190 @@ def _counted(lists: DataFrame, at_least: int) -> DataFrame:
     return lists.groupBy("a").agg(F.flatten(F.collect_list("bs")).alias("bs")).mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
-def _filled(words: list[bytes], width: int, rest: tuple[int, ...]) -> np.ndarray:
-    """[images, width, 4]: the words of each image, filled up with `rest`."""
-    out = np.empty((len(words), width, 4), np.uint64)
-    out[:] = np.array(rest, np.uint64)
-    for i, w in enumerate(words):
-        own = np.frombuffer(w, ">u8").reshape(-1, 4)
-        out[i, : len(own)] = own
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """[m, n]: the bits in which the words a [4, m] and b [4, n] differ, as bytes, so that 256 counts as none."""
+    out = np.empty((a.shape[1], b.shape[1]), np.uint8)
+    differ = np.empty((4, min(a.shape[1], OWN_AT_ONCE), min(b.shape[1], NEAR_AT_ONCE)), np.uint64)
+    ones = np.empty(differ.shape, np.uint8)
+    for i in range(0, a.shape[1], OWN_AT_ONCE):
+        # rows of one value each: an operand of one value is slower
+        same = np.repeat(a[:, i : i + OWN_AT_ONCE, None], differ.shape[2], axis=2)
+        for k in range(0, b.shape[1], NEAR_AT_ONCE):
+            to = out[i : i + OWN_AT_ONCE, k : k + NEAR_AT_ONCE]
+            d, o = differ[:, : to.shape[0], : to.shape[1]], ones[:, : to.shape[0], : to.shape[1]]
+            np.bitwise_xor(same[:, :, : to.shape[1]], b[:, None, k : k + NEAR_AT_ONCE], out=d)
+            np.bitwise_count(d, out=o)
+            np.add(o[0], o[1], out=to)
+            np.add(to, o[2], out=to)
+            np.add(to, o[3], out=to)
+    return out
+
+
+def sorted_in(words: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of `words` [4, n] the nearest of the centres [4, m], and the bits between them."""
+    near, apart = np.empty(words.shape[1], np.int32), np.empty(words.shape[1], np.uint8)
+    for k in range(0, words.shape[1], 256):
+        far = _apart(np.ascontiguousarray(words[:, k : k + 256]), centres)
+        near[k : k + 256] = far.argmin(axis=1)
+        apart[k : k + 256] = np.take_along_axis(far, near[k : k + 256, None].astype(np.int64), 1)[:, 0]
+    return near, apart
+
+
+class Images:
+    """Points of several images, ordered by image: words [4, n], which image each is of, and its place there."""
+
+    def __init__(self, img: np.ndarray, words: list[bytes], place: list[bytes], near: list[bytes], apart: list[bytes]):
+        self.img = img
+        self.words = np.ascontiguousarray(np.frombuffer(b"".join(words), "<u8").reshape(-1, 4).T)
+        self.place, self.near = np.frombuffer(b"".join(place), "<u2").astype(np.int64), np.frombuffer(b"".join(near), "<i4")
+        self.apart = np.frombuffer(b"".join(apart), np.uint8)
+        self.counts = np.array([len(w) // 32 for w in words], np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.of = np.repeat(np.arange(len(img)), self.counts)
+
+    def padded(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """[rows, width]: numbers of the points of these images, -1 beyond them."""
+        k = np.arange(width)
+        return np.where(k < self.counts[rows, None], self.starts[rows, None] + k, -1)
+
+
+def _asked(x: Images, y: Images, centres: np.ndarray) -> np.ndarray:
+    """The points of x to look for: without SPARED places of each image, those that are the dearest, and without images of too few places."""
+    some = np.arange(0, centres.shape[1], -(-centres.shape[1] // SOME_CENTRES))
+    held = np.zeros((len(some), 256 + RADIUS + 1), np.int64)  # points of each centre as far from it or farther
+    at = np.searchsorted(some, y.near)
+    mine = some[np.minimum(at, len(some) - 1)] == y.near
+    np.add.at(held, (at[mine], y.apart[mine].astype(np.int64) + RADIUS), 1)
+    held = np.ascontiguousarray(held[:, ::-1].cumsum(axis=1)[:, ::-1]).ravel()
+    cost = np.zeros(x.words.shape[1])
+    base = (np.arange(len(some)) * (256 + RADIUS + 1))[:, None]
+    for k in range(0, len(cost), 4 * NEAR_AT_ONCE):
+        far = _apart(np.ascontiguousarray(centres[:, some]), np.ascontiguousarray(x.words[:, k : k + 4 * NEAR_AT_ONCE]))
+        cost[k : k + 4 * NEAR_AT_ONCE] = held[base + far].sum(axis=0)
+    keys, whose = np.unique(x.of << 16 | x.place, return_inverse=True)
+    price, image = np.bincount(whose, cost), keys >> 16
+    order = np.lexsort((-price, image))
+    first = np.searchsorted(image, image)
+    many = np.searchsorted(image, image, "right") - first
+    fine = np.zeros(len(keys), bool)
+    fine[order] = (np.arange(len(keys)) - first >= SPARED) & (many >= AGREE)
+    return np.flatnonzero(fine[whose])
+
+
+def _share(x: Images, y: Images, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether AGREE places of the images a of x have points within RADIUS bits of points of the images b of y."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), IMAGES_AT_ONCE):
+        p, q = (t.padded(r[k : k + IMAGES_AT_ONCE], int(t.counts[r[k : k + IMAGES_AT_ONCE]].max())) for t, r in ((x, a), (y, b)))
+        far = np.zeros((*p.shape, q.shape[1]), np.uint8)
+        for w in range(4):
+            far += np.bitwise_count(x.words[w][p][:, :, None] ^ y.words[w][q][:, None, :])
+        row, point = np.nonzero(((far <= RADIUS) & (q >= 0)[:, None]).any(axis=2) & (p >= 0))
+        found = np.unique(row << 16 | x.place[p[row, point]])
+        out[k : k + IMAGES_AT_ONCE] = np.bincount(found >> 16, minlength=len(p)) >= AGREE
     return out
 
 
-def sharing(x: np.ndarray, y: np.ndarray, ix: np.ndarray, iy: np.ndarray, same: bool) -> np.ndarray:
-    """[2, n]: images a < b of which AGREE points of a are within RADIUS bits of points of b, from all pairs of x and y.
+def sharing(x: Images, y: Images, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of images a of x and b of y, a < b, of which AGREE places of a have points within RADIUS bits of points of b.
 
-    Two images that share fewer can't agree. `same` tells that x and y are one block. Distances are bytes, so that one of
-    256 bits counts as none: that may add a pair and leaves none out.
+    Two images that share fewer can't agree. The points of y lie at their nearest centres, and by the triangle inequality
+    a point is compared only with those of a centre that isn't farther from it than RADIUS bits and they are. Of each image
+    of x SPARED places aren't looked for, the dearest; what has enough of the others is compared in full. Distances are
+    bytes, so that one of 256 bits counts as none: that may add a pair and leaves none out.
     """
-    width = x.shape[1]
-    parts = [(k, np.ascontiguousarray(y[k : k + IMAGES_AT_ONCE].transpose(2, 1, 0))) for k in range(0, len(y), IMAGES_AT_ONCE)]
-    differ = np.empty((ROWS_AT_ONCE, width, IMAGES_AT_ONCE), np.uint64)
-    ones, far = np.empty(differ.shape, np.uint8), np.empty((width, width, IMAGES_AT_ONCE), np.uint8)
-    out = [np.zeros((2, 0), np.int64)]
-    for i in range(len(x)):
-        for k, part in parts:
-            n = part.shape[2]
-            if same and k + n <= i + 1:
+    asked = _asked(x, y, centres)
+    own, of, place = np.ascontiguousarray(x.words[:, asked]), x.of[asked], x.place[asked]
+    order = np.lexsort((y.apart, y.near))
+    words, apart, image = np.ascontiguousarray(y.words[:, order]), y.apart[order].astype(np.int64), y.of[order]
+    edges = np.searchsorted(y.near[order], np.arange(centres.shape[1] + 1))
+    found: list[np.ndarray] = [np.zeros(0, np.int64)]
+    held = 0
+    for c in range(0, centres.shape[1], CENTRES_AT_ONCE):
+        far = _apart(np.ascontiguousarray(centres[:, c : c + CENTRES_AT_ONCE]), own)
+        for k in range(len(far)):
+            begin, end = edges[c + k], edges[c + k + 1]
+            at = np.flatnonzero(far[k] <= min(RADIUS + apart[end - 1], 255)) if end > begin else far[k, :0]
+            if not len(at):
                 continue
-            for r in range(0, width, ROWS_AT_ONCE):
-                own = x[i, r : r + ROWS_AT_ONCE]
-                d, o, f = differ[: len(own), :, :n], ones[: len(own), :, :n], far[r : r + len(own), :, :n]
-                for w in range(4):
-                    np.bitwise_xor(own[:, w, None, None], part[w], out=d)
-                    np.bitwise_count(d, out=o if w else f)
-                    if w:
-                        np.add(f, o, out=f)
-            # the points of the smaller image that have one of the larger nearby
-            mine, theirs = ((far[:, :, :n].min(axis=s) <= RADIUS).sum(axis=0) for s in (1, 0))
-            other = iy[k : k + n]
-            fine = np.where(ix[i] < other, mine, theirs) >= AGREE
-            if same:
-                fine &= np.arange(k, k + n) > i
-            if fine.any():
-                out.append(np.stack([np.minimum(other[fine], ix[i]), np.maximum(other[fine], ix[i])]))
-    return np.concatenate(out, axis=1)
+            at = at[far[k, at].argsort(kind="stable")]
+            around, bits = own.take(at, axis=1), far[k, at]
+            for g in range(begin, end, OWN_AT_ONCE):
+                to = min(g + OWN_AT_ONCE, end)
+                n = int(bits.searchsorted(min(RADIUS + apart[to - 1], 255), "right"))
+                if not n:
+                    continue
+                i, j = np.divmod(np.flatnonzero(_apart(words[:, g:to], around[:, :n]) <= RADIUS), n)
+                i, j = image[g + i], at[j]
+                later = x.img[of[j]] < y.img[i]
+                i, j = i[later], j[later]
+                found.append((of[j] * len(y.img) + i) << 16 | place[j])
+                held += len(i)
+        if held > MATCHES:
+            found = [np.unique(np.concatenate(found))]
+            held = len(found[0]) // 2
+    pairs, places = np.unique(np.unique(np.concatenate(found)) >> 16, return_counts=True)
+    a, b = np.divmod(pairs[places >= AGREE - SPARED], max(len(y.img), 1))
+    fine = _share(x, y, a, b)
+    return x.img[a[fine]], y.img[b[fine]]
 
 
 def _sharing(points: DataFrame) -> DataFrame:
-    """(a, b): all pairs of images that share enough points to agree, by comparing each two blocks of images in one place."""
-    packed = F.unhex(F.array_join(F.transform(F.flatten("words"), lambda w: F.lpad(F.hex(w), 16, "0")), ""))
-    held = points.where(F.size("words") > 0).select("img", packed.alias("words"))
+    """(a, b): all pairs of images that share enough places to agree. Each block of images is compared with the later ones,
+    by id, up to WIDE blocks in one place."""
+    held = points.where(F.size("words") > 0).select("img", "x", "y", "words")
     n = held.count()
+    one = F.element_at("words", (F.pmod(F.xxhash64("img", F.lit(3)), F.size("words")) + 1).cast("int"))
+    chosen = held.where(F.pmod(F.xxhash64("img", F.lit(4)), F.lit(max(-(-n // CENTRES), IMAGES_A_CENTRE))) == 0).select(one).collect()
+    centres = np.array([r[0] for r in chosen] or [[0] * 4], np.int64).view(np.uint64).T.copy()
     blocks = max(-(-n // BLOCK), min(BLOCKS, -(-n // LEAST_BLOCK)), 1)
-    dealt = held.withColumn("block", F.pmod(F.xxhash64("img", F.lit(2)), F.lit(blocks)).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(j, "block").alias("i"), F.greatest(j, "block").alias("j")))
-    placed = dealt.withColumn("at", F.explode(meets)).select("at.i", "at.j", "block", "img", "words")
+    wides = -(-blocks // WIDE)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(_points_of(batch.column(1)))
+            words = np.concatenate([f["words"] for f in found]).view(np.uint64)
+            cuts = np.cumsum([0, *(len(f["words"]) for f in found)]).tolist()
+            centre, apart = sorted_in(np.ascontiguousarray(words.T), centres)
+            # as `agreement` counts them
+            places = [np.unique(np.stack([np.rint(f["x"] / 4), np.rint(f["y"] / 4)]), axis=1, return_inverse=True)[1].ravel() for f in found]
+            columns = [[t[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for t in (words.astype("<u8"), centre.astype("<i4"), apart)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.binary()), pa.array([t.astype("<u2").tobytes() for t in places], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["img", "words", "place", "near", "apart"])
+        give_back()
+
+    packed = stage(held.select("img", F.struct("x", "y", "words").alias("p")).mapInArrow(near, "img bigint, words binary, place binary, near binary, apart binary"))
+    marks = packed.select(F.percentile_approx("img", [k / blocks for k in range(1, blocks)], 10 * blocks + 1000).alias("m")).first()["m"] if blocks > 1 else []
+    block = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < F.col("img"))) if marks else F.lit(0)
+    dealt = packed.withColumn("block", block.cast("int")).withColumn("wide", F.floor(F.col("block") / WIDE).cast("int"))
+    as_later = F.transform(F.sequence(F.lit(0), F.col("block")), lambda i: F.struct(i.alias("i"), F.col("wide").alias("j")))
+    as_own = F.transform(F.filter(F.sequence(F.lit(0), F.lit(wides - 1)), lambda j: j > F.col("wide")), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
+    placed = dealt.withColumn("at", F.explode(F.concat(as_later, as_own))).select("at.i", "at.j", "block", "wide", "img", "words", "place", "near", "apart")
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        sides = [rows.filter(pc.equal(rows[c], at)) for c, at in (("block", i), ("wide", j))]
+        x, y = (Images(t["img"].to_numpy(), *(t[c].to_pylist() for c in ("words", "place", "near", "apart"))) for t in sides)
+        a, b = sharing(x, y, centres) if len(x.img) and len(y.img) else (x.img[:0], x.img[:0])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def run(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        block, img, words = table["block"].to_numpy(), table["img"].to_numpy(), table["words"].to_pylist()
-        width = max(map(len, words)) // 32
-        # what fills up one side is far from what fills up the other
-        sides = [(np.flatnonzero(block == at), rest) for at, rest in ((i, (0, 0, 0, 0)), (j, (2**64 - 1, 2**64 - 1, 2**64 - 1, 0)))]
-        x, y = (_filled([words[k] for k in own], width, rest) for own, rest in sides)
-        a, b = sharing(x, y, img[sides[0][0]], img[sides[1][0]], i == j)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.RecordBatch] = []
+        for batch in batches:
+            while batch.num_rows:
+                same = np.flatnonzero((batch["i"].to_numpy() != batch["i"][0].as_py()) | (batch["j"].to_numpy() != batch["j"][0].as_py()))
+                to = int(same[0]) if len(same) else batch.num_rows
+                if rows and (rows[0]["i"][0], rows[0]["j"][0]) != (batch["i"][0], batch["j"][0]):
+                    yield compared(pa.Table.from_batches(rows))
+                    rows = []
+                rows.append(batch.slice(0, to))
+                batch = batch.slice(to)
+        if rows:
+            yield compared(pa.Table.from_batches(rows))
+        give_back()
 
-    return placed.repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j").applyInArrow(run, "a bigint, b bigint")
+    # the first blocks meet the most images and begin first
+    apart = placed.repartitionById(blocks * wides, F.col("i") * wides + F.col("j"))
+    return apart.sortWithinPartitions("i", "j").mapInArrow(run, "a bigint, b bigint")
 
 
 def links(points: DataFrame) -> DataFrame:
@@ -484,8 +610,8 @@ def links(points: DataFrame) -> DataFrame:
     buckets of any size they have descriptors within RADIUS bits, unless others have joined them
     already: first each image is compared with the one that it most often meets as the smallest
     of a bucket, then all pairs that this leaves in different classes are counted and compared.
-    No table holds all that differ in RADIUS bits; so the points of every two images follow, block by block, and those that
-    share AGREE of them are compared if the tables haven't led to it. This takes time with the square of the images.
+    No table holds all that differ in RADIUS bits; so every two images follow, block by block, and those that share AGREE
+    places are compared if the tables haven't led to it. This takes time with the square of the images.
     """
     alone = points.select("img", F.col("img").alias("root"), "words")
     stars = _counted(_meetings(alone, FIRST_TABLES, True), 1)

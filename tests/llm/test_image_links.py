@@ -140,3 +140,53 @@ def test_all_links_of_edited_copies(spark):
     described = media.described(images + [_edited(a, k, rnd) for a in images[:30] for k in (0, 2, 6)])
     got = [(r["a"], r["b"]) for r in media.links(_points(spark, described)).collect()]
     assert len(got) == len(set(got)) and set(got) == _all_links(described)
+
+
+def _grouped(rnd, n, groups):
+    """Images of 0 to 20 points, some at one place, that lie about a few words and so are often within RADIUS bits of each other."""
+    hubs = rnd.randint(0, 256, (groups, 32)).astype(np.uint8)
+    out = []
+    for k in range(n):
+        m = int(rnd.randint(0, 21))
+        flips = np.packbits(rnd.rand(m, 256) < rnd.choice([0.02, 0.08, 0.15], (m, 1)), axis=1)
+        words = (hubs[rnd.randint(0, groups, m)] ^ flips).reshape(m, 32).view("<i8").reshape(m, 4)
+        out.append({"x": rnd.randint(0, 90, m).astype(float).tolist(), "y": rnd.randint(0, 9, m).astype(float).tolist(), "words": words.tolist()})
+    return out
+
+
+def _all_sharing(images):
+    """The pairs of which AGREE places of the first have points within RADIUS bits of the second."""
+    found = set()
+    for a, p in enumerate(images):
+        for b in range(a + 1, len(images)):
+            if p["x"] and images[b]["x"]:
+                far = np.bitwise_count(np.array(p["words"]).view(np.uint64)[:, None] ^ np.array(images[b]["words"]).view(np.uint64)[None]).sum(axis=2)
+                near = (far <= media.RADIUS).any(axis=1)
+                if len({(round(x / 4), round(y / 4)) for x, y, n in zip(p["x"], p["y"], near) if n}) >= media.AGREE:
+                    found.add((a, b))
+    return found
+
+
+def test_sharing_loses_no_pair_over_many_places(spark, monkeypatch):
+    for name, value in (("BLOCK", 7), ("LEAST_BLOCK", 7), ("WIDE", 3), ("MATCHES", 50), ("OWN_AT_ONCE", 3), ("NEAR_AT_ONCE", 5), ("CENTRES_AT_ONCE", 2), ("IMAGES_AT_ONCE", 4)):
+        monkeypatch.setattr(media, name, value)
+    images = _grouped(np.random.RandomState(3), 60, 12)
+    got = [(r["a"], r["b"]) for r in media._sharing(_points(spark, images)).collect()]
+    want = _all_sharing(images)
+    assert len(want) > 20 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_sharing_leaves_out_points_that_are_far(monkeypatch):
+    """Points of far groups aren't compared with each other."""
+    images = _grouped(np.random.RandomState(4), 200, 40)
+    images = [i for i in images if i["x"]]
+    words = [np.array(i["words"]).view(np.uint64) for i in images]
+    centres = np.concatenate(words)[::10].T.copy()
+    near, apart = zip(*(media.sorted_in(w.T.copy(), centres) for w in words))
+    places = [np.unique(np.stack([np.rint(np.array(i[c]) / 4) for c in "xy"]), axis=1, return_inverse=True)[1].ravel().astype("<u2").tobytes() for i in images]
+    made = media.Images(np.arange(len(images)), [w.tobytes() for w in words], places, [n.astype("<i4").tobytes() for n in near], [a.tobytes() for a in apart])
+    compared, plain = [], media._apart
+    monkeypatch.setattr(media, "_apart", lambda a, b: compared.append(a.shape[1] * b.shape[1]) or plain(a, b))
+    a, b = media.sharing(made, made, centres)
+    assert set(zip(a.tolist(), b.tolist())) == _all_sharing(images)
+    assert sum(compared) < 0.4 * sum(map(len, words)) ** 2
