@@ -1,11 +1,11 @@
-"""Copies among images: multiscale corners, rotated binary tests, Hamming tables and geometric consensus."""
+"""Copies among images: multiscale corners, rotated binary tests, an exact Hamming index and geometric consensus."""
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import give_back, release, slabs, small, stage
+from sedimenta.llm.common import give_back, stage
 from sedimenta.operators.components import components
 
 #: Scales, and the corners that are described at each.
@@ -24,29 +24,21 @@ REACH, TESTS = 9, 256
 RADIUS, SLACK, AGREE = 40, 3.0, 8
 #: Descriptors with fewer zeros or ones show a flat patch and are no evidence.
 LEAST_BITS = 24
-#: Hash tables over the eight 32-bit parts of a descriptor, those that share a shuffle, and those that find the first links.
-TABLES, TABLES_AT_ONCE, FIRST_TABLES = tuple(range(8)), 2, (0, 4)
-#: Points of a table's bucket that are compared in one place; a larger bucket is dealt out as pairs of parts. The
-#: size of a bucket is estimated from one image of so many: it says only where points are compared, not which.
-ALL_PAIRS_UP_TO, SIZES_FROM = 1024, 8
-#: Buckets in which the points of two images have to match before the images are compared, and pairs of points looked at together.
-VOTES, PAIRS_AT_ONCE = 2, 1 << 17
 #: Images, and pixels of them, that are worked on together.
 AT_ONCE, PIXELS_AT_ONCE = 64, 1 << 20
 #: Pixels of the shorter and the longer side between which images are described as they are; others are resized for it.
 LEAST_SIDE, MOST_SIDE = 4 * REACH + 1, 1024
-#: Pairs of images that share one of them and are compared in one place.
-PAIRS_OF_ONE = 512
 #: Images of a block that are compared with later ones in one place; those of the smallest, and the blocks that there are at least
-#: if there are as many images; and the blocks whose images they are compared with in that place.
-BLOCK, LEAST_BLOCK, BLOCKS, WIDE = 4096, 256, 12, 16
+#: if there are as many images; and the full blocks whose images they are compared with in that place.
+BLOCK, LEAST_BLOCK, BLOCKS, WIDE = 4096, 256, 12, 4
 #: Descriptors that others are sorted by, images for each of them at least, and those by which costs are estimated.
-CENTRES, IMAGES_A_CENTRE, SOME_CENTRES = 16384, 4, 256
+CENTRES, IMAGES_A_CENTRE, SOME_CENTRES = 4096, 4, 256
+#: Points of a centre that are one group; more are several groups of about as many points, up to so many groups.
+ALL_PAIRS_UP_TO, GROUPS = 12, 512
 #: Places of an image that need not be looked at, as two images share AGREE of them or are no copies.
 SPARED = 6
-#: Centres, points of one centre and points near it that are compared at once, pairs of images, and matches that are held.
-CENTRES_AT_ONCE, OWN_AT_ONCE, NEAR_AT_ONCE, IMAGES_AT_ONCE, MATCHES = 64, 16, 1024, 128, 1 << 22
-
+#: Centres, groups of one centre, points of a group and points near it that are compared at once, pairs of images, and matches that are held.
+CENTRES_AT_ONCE, OWN_AT_ONCE, TOGETHER, NEAR_AT_ONCE, IMAGES_AT_ONCE, MATCHES = 64, 8, 4, 8192, 256, 1 << 20
 
 
 # --- decoding --------------------------------------------------------------------------
@@ -296,163 +288,46 @@ def _points_of(column: pa.StructArray) -> Iterator[dict]:
         yield {"x": x.values[a:b].to_numpy(), "y": y.values[c : c + b - a].to_numpy(), "words": flat[d : d + b - a]}
 
 
-def _met(pairs: DataFrame, points: DataFrame, side: str, other: str, name: str) -> DataFrame:
-    """Adds the points of one side of each pair. An image of many pairs is dealt out over as many places as they need."""
-    many = stage(pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_OF_ONE).cast("int").alias("places")).where("places > 1"))
-    place = F.pmod(F.xxhash64(other), F.coalesce("places", F.lit(1))).cast("int")
-    dealt = pairs.join(small(many), side, "left").withColumn("place", place).drop("places")
-    mine = points.select(F.col("img").alias(side), F.struct("x", "y", "words").alias(name)).join(small(many), side, "left")
-    copied = mine.withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1))).drop("places")
-    return dealt.join(copied, [side, "place"]).drop("place")
-
-
-def _confirmed(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose points agree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = (batch.column(0).to_pylist(), batch.column(1).to_pylist(), _points_of(batch.column(2)), _points_of(batch.column(3)))
-            rows = [(a, b) for a, b, p, q in zip(*sides) if agreement(p, q) >= AGREE]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
-
-    pairs = stage(pairs.select("a", "b"))
-    met = _met(_met(pairs, points, "b", "a", "q"), points, "a", "b", "p")
-    return met.select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint")
-
-
-def matched(bucket: np.ndarray, part: np.ndarray, cross: np.ndarray, img: np.ndarray, root: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """[3, n]: a bucket and two images a < b of different classes, once for all points of theirs that match in it.
-
-    Points come bucket after bucket. Where `cross` is set only points of different parts are compared.
-    """
-    ends = np.searchsorted(bucket, bucket, "right")
-    counts = ends - np.arange(len(bucket)) - 1
-    before = np.cumsum(counts) - counts
-    out, at = [np.zeros((3, 0), np.int64)], 0
-    while at < len(bucket):
-        to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS_AT_ONCE)))
-        x = np.repeat(np.arange(at, to), counts[at:to])
-        y = np.arange(len(x)) - (before[at:to] - before[at]).repeat(counts[at:to]) + x + 1
-        asked = (root[x] != root[y]) & (~cross[x] | (part[x] != part[y]))
-        x, y = x[asked], y[asked]
-        near = np.bitwise_count(words[x] ^ words[y]).sum(axis=1) <= RADIUS
-        x, y = x[near], y[near]
-        out.append(_once(np.stack([bucket[x], np.minimum(img[x], img[y]), np.maximum(img[x], img[y])])))
-        at = to
-    return _once(np.concatenate(out, axis=1))
-
-
-def _once(rows: np.ndarray) -> np.ndarray:
-    """The columns of `rows` in order and without repeats."""
-    rows = rows[:, np.lexsort(rows[::-1])]
-    return rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)][: rows.shape[1]]]
-
-
-def _lists(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """(a, bs): the values of each key."""
-    order = np.argsort(keys, kind="stable")
-    a, first = np.unique(keys[order], return_index=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.ListArray.from_arrays(pa.array(np.r_[first, len(keys)], pa.int32()), pa.array(values[order], pa.int64()))], names=["a", "bs"])
-
-
-def _meetings(points: DataFrame, tables: tuple[int, ...], stars: bool) -> DataFrame:
-    """(a, bs): for each image those of other classes with a matching point in the same bucket of one of the
-    `tables`, once for each such bucket. With `stars`, each image (a) has only the smallest other one of each bucket.
-
-    An image's list may be spread over several rows. `points` are img, root and words.
-    """
-    word = lambda w, k: F.shiftrightunsigned(F.element_at(w, k // 2 + 1), 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-    keys = lambda w: F.array(*(word(w, k) + F.lit(k << 32) for k in tables))
-    each = points.select("img", "root", F.explode("words").alias("w"))
-    some = each.where(F.pmod(F.xxhash64("img"), F.lit(SIZES_FROM)) == 0).select(F.explode(keys(F.col("w"))).alias("key"))
-    size = F.count("*") * SIZES_FROM
-    hot = stage(some.groupBy("key").agg(F.ceil(size / ALL_PAIRS_UP_TO).cast("int").alias("parts")).where("parts > 1"))
-    held = each.withColumn("key", F.explode(keys(F.col("w")))).join(small(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = held.withColumn("part", F.pmod(F.xxhash64("img", F.lit(1)), F.col("parts")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, "part").alias("i"), F.greatest(j, "part").alias("j")))
-    places = dealt.select("key", "img", "root", "part", "w", F.explode(meets).alias("at")).select("key", "at.i", "at.j", "part", "img", "root", *(F.element_at("w", k + 1).alias(f"w{k}") for k in range(4)))
-
-    def found(rows: np.ndarray) -> pa.RecordBatch:
-        fresh = np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)]
-        bucket, a, b = matched(np.cumsum(fresh), rows[3], rows[1] != rows[2], rows[4], rows[5], np.ascontiguousarray(rows[6:].T).view(np.uint64))
-        if not stars:
-            return _lists(a, b)
-        order = np.lexsort((a, b, bucket))
-        bucket, a, b = bucket[order], a[order], b[order]
-        first = np.r_[True, (bucket[1:] != bucket[:-1]) | (b[1:] != b[:-1])][: len(a)]
-        return _lists(b[first], a[first])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = np.zeros((10, 0), np.int64)
-        for batch in batches:
-            rows = np.concatenate([left, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
-            # the last bucket may go on in the next batch
-            same = (rows[:3] == rows[:3, -1:]).all(axis=0) if rows.shape[1] else np.zeros(0, bool)
-            ready, left = rows[:, ~same], rows[:, same]
-            if ready.shape[1]:
-                yield found(ready)
-        if left.shape[1]:
-            yield found(left)
-
-    return places.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, bs array<bigint>")
-
-
-def _counted(lists: DataFrame, at_least: int) -> DataFrame:
-    """(a, b, n): what the lists of an image hold at least so many times."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, to in slabs(batch.column(1).value_lengths().to_pylist(), 8 * PAIRS_AT_ONCE):
-                bs = batch.column(1).slice(at, to - at)
-                a = np.repeat(batch.column(0).slice(at, to - at).to_numpy(), bs.value_lengths().to_numpy())
-                b = bs.flatten().to_numpy()
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
-                n = np.diff(np.r_[first, len(a)])
-                kept = first[n >= at_least]
-                yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept]), pa.array(n[n >= at_least], pa.int64())], names=["a", "b", "n"])
-
-    return lists.groupBy("a").agg(F.flatten(F.collect_list("bs")).alias("bs")).mapInArrow(run, "a bigint, b bigint, n bigint")
-
-
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """[m, n]: the bits in which the words a [4, m] and b [4, n] differ, as bytes, so that 256 counts as none."""
     out = np.empty((a.shape[1], b.shape[1]), np.uint8)
-    differ = np.empty((4, min(a.shape[1], OWN_AT_ONCE), min(b.shape[1], NEAR_AT_ONCE)), np.uint64)
-    ones = np.empty(differ.shape, np.uint8)
-    for i in range(0, a.shape[1], OWN_AT_ONCE):
-        # rows of one value each: an operand of one value is slower
-        same = np.repeat(a[:, i : i + OWN_AT_ONCE, None], differ.shape[2], axis=2)
-        for k in range(0, b.shape[1], NEAR_AT_ONCE):
-            to = out[i : i + OWN_AT_ONCE, k : k + NEAR_AT_ONCE]
-            d, o = differ[:, : to.shape[0], : to.shape[1]], ones[:, : to.shape[0], : to.shape[1]]
-            np.bitwise_xor(same[:, :, : to.shape[1]], b[:, None, k : k + NEAR_AT_ONCE], out=d)
-            np.bitwise_count(d, out=o)
-            np.add(o[0], o[1], out=to)
-            np.add(to, o[2], out=to)
-            np.add(to, o[3], out=to)
+    for k in range(0, b.shape[1], NEAR_AT_ONCE):
+        some = b[:, k : k + NEAR_AT_ONCE]
+        differ = np.empty((min(a.shape[1], OWN_AT_ONCE), some.shape[1]), np.uint64)
+        ones, total = np.empty(differ.shape, np.uint8), np.empty(differ.shape, np.uint8)
+        for i in range(0, a.shape[1], OWN_AT_ONCE):
+            mine = a[:, i : i + OWN_AT_ONCE, None]
+            d, o, t = (x[: mine.shape[1]] for x in (differ, ones, total))
+            np.bitwise_count(np.bitwise_xor(mine[0], some[0], out=d), out=t)
+            for w in (1, 2, 3):
+                np.bitwise_count(np.bitwise_xor(mine[w], some[w], out=d), out=o)
+                np.add(t, o, out=t)
+            out[i : i + OWN_AT_ONCE, k : k + NEAR_AT_ONCE] = t
     return out
 
 
 def sorted_in(words: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of `words` [4, n] the nearest of the centres [4, m], and the bits between them."""
+    """For each of `words` [4, n] the nearest of the centres [4, m], and the bits between them, 255 for 256 also."""
     near, apart = np.empty(words.shape[1], np.int32), np.empty(words.shape[1], np.uint8)
     for k in range(0, words.shape[1], 256):
-        far = _apart(np.ascontiguousarray(words[:, k : k + 256]), centres)
+        some = np.ascontiguousarray(words[:, k : k + 256])
+        far = _apart(some, centres)
         near[k : k + 256] = far.argmin(axis=1)
         apart[k : k + 256] = np.take_along_axis(far, near[k : k + 256, None].astype(np.int64), 1)[:, 0]
+        # 256 bits are counted as none
+        apart[k : k + 256][(apart[k : k + 256] == 0) & (some != centres[:, near[k : k + 256]]).any(axis=0)] = 255
     return near, apart
 
 
 class Images:
-    """Points of several images, ordered by image: words [4, n], which image each is of, and its place there."""
+    """Points of several images, ordered by image: words [4, n], which image each is of, and its place there; and x and y, if given."""
 
-    def __init__(self, img: np.ndarray, words: list[bytes], place: list[bytes], near: list[bytes], apart: list[bytes]):
+    def __init__(self, img: np.ndarray, words: list[bytes], place: list[bytes], near: list[bytes], apart: list[bytes], xy: list[bytes] | None = None):
         self.img = img
         self.words = np.ascontiguousarray(np.frombuffer(b"".join(words), "<u8").reshape(-1, 4).T)
         self.place, self.near = np.frombuffer(b"".join(place), "<u2").astype(np.int64), np.frombuffer(b"".join(near), "<i4")
         self.apart = np.frombuffer(b"".join(apart), np.uint8)
+        self.xy = np.frombuffer(b"".join(xy or []), "<f4").reshape(-1, 2)
         self.counts = np.array([len(w) // 32 for w in words], np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
         self.of = np.repeat(np.arange(len(img)), self.counts)
@@ -462,9 +337,15 @@ class Images:
         k = np.arange(width)
         return np.where(k < self.counts[rows, None], self.starts[rows, None] + k, -1)
 
+    def points(self, row: int) -> dict:
+        """The points of an image, as `agreement` takes them."""
+        at = slice(self.starts[row], self.starts[row] + self.counts[row])
+        return {"x": self.xy[at, 0], "y": self.xy[at, 1], "words": np.ascontiguousarray(self.words[:, at].T)}
+
 
-def _asked(x: Images, y: Images, centres: np.ndarray) -> np.ndarray:
-    """The points of x to look for: without SPARED places of each image, those that are the dearest, and without images of too few places."""
+def _asked(x: Images, y: Images, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The points of x to look for, without SPARED places of each image, those that are the dearest, and without images
+    of too few places; and, of the images that are looked for, the points of the spared places."""
     some = np.arange(0, centres.shape[1], -(-centres.shape[1] // SOME_CENTRES))
     held = np.zeros((len(some), 256 + RADIUS + 1), np.int64)  # points of each centre as far from it or farther
     at = np.searchsorted(some, y.near)
@@ -473,114 +354,217 @@ def _asked(x: Images, y: Images, centres: np.ndarray) -> np.ndarray:
     held = np.ascontiguousarray(held[:, ::-1].cumsum(axis=1)[:, ::-1]).ravel()
     cost = np.zeros(x.words.shape[1])
     base = (np.arange(len(some)) * (256 + RADIUS + 1))[:, None]
-    for k in range(0, len(cost), 4 * NEAR_AT_ONCE):
-        far = _apart(np.ascontiguousarray(centres[:, some]), np.ascontiguousarray(x.words[:, k : k + 4 * NEAR_AT_ONCE]))
-        cost[k : k + 4 * NEAR_AT_ONCE] = held[base + far].sum(axis=0)
+    for k in range(0, len(cost), NEAR_AT_ONCE):
+        far = _apart(np.ascontiguousarray(centres[:, some]), np.ascontiguousarray(x.words[:, k : k + NEAR_AT_ONCE]))
+        cost[k : k + NEAR_AT_ONCE] = held[base + far].sum(axis=0)
     keys, whose = np.unique(x.of << 16 | x.place, return_inverse=True)
     price, image = np.bincount(whose, cost), keys >> 16
     order = np.lexsort((-price, image))
     first = np.searchsorted(image, image)
     many = np.searchsorted(image, image, "right") - first
     fine = np.zeros(len(keys), bool)
-    fine[order] = (np.arange(len(keys)) - first >= SPARED) & (many >= AGREE)
-    return np.flatnonzero(fine[whose])
+    fine[order] = np.arange(len(keys)) - first >= SPARED
+    return np.flatnonzero((fine & (many >= AGREE))[whose]), np.flatnonzero((~fine & (many >= AGREE))[whose])
 
 
-def _share(x: Images, y: Images, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether AGREE places of the images a of x have points within RADIUS bits of points of the images b of y."""
-    out = np.zeros(len(a), bool)
+def _shared(x: Images, y: Images, a: np.ndarray, b: np.ndarray, points: np.ndarray | None = None) -> np.ndarray:
+    """How many places of the images a of x have points within RADIUS bits of points of the images b of y; only those of
+    `points`, if given."""
+    out = np.zeros(len(a), np.int64)
+    if points is not None:
+        counts = np.bincount(x.of[points], minlength=len(x.img))
+        starts = np.cumsum(counts) - counts
     for k in range(0, len(a), IMAGES_AT_ONCE):
-        p, q = (t.padded(r[k : k + IMAGES_AT_ONCE], int(t.counts[r[k : k + IMAGES_AT_ONCE]].max())) for t, r in ((x, a), (y, b)))
+        r, s = a[k : k + IMAGES_AT_ONCE], b[k : k + IMAGES_AT_ONCE]
+        if points is None:
+            p = x.padded(r, int(x.counts[r].max()))
+        else:
+            width = np.arange(int(counts[r].max()))
+            there = width < counts[r, None]
+            p = np.where(there, points[np.where(there, starts[r, None] + width, 0)], -1)
+        q = y.padded(s, int(y.counts[s].max()))
         far = np.zeros((*p.shape, q.shape[1]), np.uint8)
         for w in range(4):
             far += np.bitwise_count(x.words[w][p][:, :, None] ^ y.words[w][q][:, None, :])
         row, point = np.nonzero(((far <= RADIUS) & (q >= 0)[:, None]).any(axis=2) & (p >= 0))
         found = np.unique(row << 16 | x.place[p[row, point]])
-        out[k : k + IMAGES_AT_ONCE] = np.bincount(found >> 16, minlength=len(p)) >= AGREE
+        out[k : k + IMAGES_AT_ONCE] = np.bincount(found >> 16, minlength=len(p))
     return out
 
 
-def sharing(x: Images, y: Images, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of images a of x and b of y, a < b, of which AGREE places of a have points within RADIUS bits of points of b.
-
-    Two images that share fewer can't agree. The points of y lie at their nearest centres, and by the triangle inequality
-    a point is compared only with those of a centre that isn't farther from it than RADIUS bits and they are. Of each image
-    of x SPARED places aren't looked for, the dearest; what has enough of the others is compared in full. Distances are
-    bytes, so that one of 256 bits counts as none: that may add a pair and leaves none out.
+def _about(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of `words` [4, n]: the middle of each, which has the bits that most of it have; the order by group and by the
+    bits from its middle, 255 for 256 also; the edges of groups in it; and these bits."""
+    some = np.ascontiguousarray(words[:, :: max(ALL_PAIRS_UP_TO, -(-words.shape[1] // GROUPS))])
+    near, _ = sorted_in(words, some)
+    order = np.argsort(near, kind="stable")
+    first = np.flatnonzero(np.r_[True, near[order][1:] != near[order][:-1]])
+    sizes = np.diff(np.r_[first, len(order)])
+    ones = np.add.reduceat(np.unpackbits(np.ascontiguousarray(words[:, order].T).view(np.uint8), axis=1), first, axis=0, dtype=np.int32)
+    hubs = np.ascontiguousarray(np.packbits(2 * ones > sizes[:, None], axis=1).view(np.uint64).T)
+    group = np.repeat(np.arange(len(first)), sizes)
+    apart = np.minimum(np.bitwise_count(words[:, order] ^ hubs[:, group]).sum(axis=0, dtype=np.int64), 255).astype(np.uint8)
+    by_bits = np.lexsort((apart, group))
+    return hubs, order[by_bits], np.r_[first, len(order)], apart[by_bits]
+
+
+def _pairs(x: Images, y: Images, centres: np.ndarray, joined: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of images a of x and b of y, by their places there and a < b by id, of which AGREE places of a have points within RADIUS bits of points of b.
+
+    Two images that share fewer can't agree; with `joined`, only those whose points agree are returned. The points of y lie at their nearest centres and there in groups about some of
+    them. By the triangle inequality a point is compared only with those of a group of which neither the centre nor the
+    middle is farther from it than RADIUS bits and they are. Of each image of x SPARED places aren't looked for, the dearest;
+    matches of the others are counted for each two images, in a table of two bytes each, and what has enough of them is compared
+    at the spared places and then in full. Distances are bytes, so that one of 256 bits counts as none: that may add a
+    pair and leaves none out.
     """
-    asked = _asked(x, y, centres)
-    own, of, place = np.ascontiguousarray(x.words[:, asked]), x.of[asked], x.place[asked]
+    asked, spared = _asked(x, y, centres)
+    own, of = np.ascontiguousarray(x.words[:, asked]), x.of[asked] * len(y.img)
+    own_rows = np.ascontiguousarray(own.T)  # a point's words are taken together
     order = np.lexsort((y.apart, y.near))
-    words, apart, image = np.ascontiguousarray(y.words[:, order]), y.apart[order].astype(np.int64), y.of[order]
+    words, apart, image = np.ascontiguousarray(y.words[:, order]), y.apart[order], y.of[order]
     edges = np.searchsorted(y.near[order], np.arange(centres.shape[1] + 1))
-    found: list[np.ndarray] = [np.zeros(0, np.int64)]
-    held = 0
-    for c in range(0, centres.shape[1], CENTRES_AT_ONCE):
+    counts = np.zeros(len(x.img) * len(y.img), np.uint16)  # of points, so that no place is left out
+    held: list[np.ndarray] = []
+    n_held = 0
+
+    def matched_in(at: np.ndarray, around: np.ndarray, away: np.ndarray, members: np.ndarray, apart: np.ndarray) -> None:
+        """Counts the matches of points `around`, those `at` of own, with the members of a group, a few of these at a time,
+        given the bits from the middle to each; both come nearest first."""
+        nonlocal n_held
+        g, few = 0, max(1, min(TOGETHER, MATCHES // len(at)))
+        while g < len(members):
+            to = min(g + few, len(members))
+            n = int(away.searchsorted(min(RADIUS + int(apart[to - 1]), 255), "right"))
+            hits = np.flatnonzero(_apart(words[:, members[g:to]], around[:, :n]) <= RADIUS) if n else at[:0]
+            if len(hits):
+                i, j = np.divmod(hits, n)
+                held.append(of[at[j]] + image[members[g + i]])
+                n_held += len(hits)
+                if n_held > MATCHES:
+                    count()
+            g = to
+
+    def count() -> None:
+        nonlocal n_held
+        if held:
+            np.add.at(counts, np.concatenate(held), np.uint16(1))
+        held.clear()
+        n_held = 0
+
+    for c in range(0, centres.shape[1] if len(asked) else 0, CENTRES_AT_ONCE):
         far = _apart(np.ascontiguousarray(centres[:, c : c + CENTRES_AT_ONCE]), own)
         for k in range(len(far)):
             begin, end = edges[c + k], edges[c + k + 1]
-            at = np.flatnonzero(far[k] <= min(RADIUS + apart[end - 1], 255)) if end > begin else far[k, :0]
+            at = np.flatnonzero(far[k] <= min(RADIUS + int(apart[end - 1]), 255)) if end > begin else far[k, :0]
             if not len(at):
                 continue
             at = at[far[k, at].argsort(kind="stable")]
-            around, bits = own.take(at, axis=1), far[k, at]
-            for g in range(begin, end, OWN_AT_ONCE):
-                to = min(g + OWN_AT_ONCE, end)
-                n = int(bits.searchsorted(min(RADIUS + apart[to - 1], 255), "right"))
+            around, bits = own_rows.take(at, axis=0), far[k, at]
+            columns = np.ascontiguousarray(around.T)
+            hubs, by_group, ends, reach = _about(words[:, begin:end])
+            by_group += begin
+            # groups whose members are near the centre need fewer points
+            most = np.maximum.reduceat(apart[by_group], ends[:-1])
+            in_order = np.argsort(most, kind="stable")
+            for g in range(0, len(in_order), OWN_AT_ONCE):
+                groups = in_order[g : g + OWN_AT_ONCE]
+                n = int(bits.searchsorted(min(RADIUS + int(most[groups[-1]]), 255), "right"))
                 if not n:
                     continue
-                i, j = np.divmod(np.flatnonzero(_apart(words[:, g:to], around[:, :n]) <= RADIUS), n)
-                i, j = image[g + i], at[j]
-                later = x.img[of[j]] < y.img[i]
-                i, j = i[later], j[later]
-                found.append((of[j] * len(y.img) + i) << 16 | place[j])
-                held += len(i)
-        if held > MATCHES:
-            found = [np.unique(np.concatenate(found))]
-            held = len(found[0]) // 2
-    pairs, places = np.unique(np.unique(np.concatenate(found)) >> 16, return_counts=True)
-    a, b = np.divmod(pairs[places >= AGREE - SPARED], max(len(y.img), 1))
-    fine = _share(x, y, a, b)
-    return x.img[a[fine]], y.img[b[fine]]
-
-
-def _sharing(points: DataFrame) -> DataFrame:
-    """(a, b): all pairs of images that share enough places to agree. Each block of images is compared with the later ones,
-    by id, up to WIDE blocks in one place."""
+                for group, away in zip(groups.tolist(), _apart(hubs[:, groups], columns[:, :n])):
+                    first, last = ends[group], ends[group + 1]
+                    close = np.flatnonzero(away <= min(RADIUS + int(reach[last - 1]), 255))
+                    if len(close):
+                        away = away[close]
+                        by_bits = away.argsort(kind="stable")
+                        close = close[by_bits]
+                        matched_in(at[close], np.ascontiguousarray(around.take(close, axis=0).T), away[by_bits], by_group[first:last], reach[first:last])
+    count()
+    for k in range(0, len(counts), 8 * MATCHES):
+        pairs = k + np.flatnonzero(counts[k : k + 8 * MATCHES] >= max(AGREE - SPARED, 1))
+        a, b = np.divmod(pairs, max(len(y.img), 1))
+        fine = x.img[a] < y.img[b]
+        a, b, some = a[fine], b[fine], counts[pairs[fine]].astype(np.int64)
+        short = some < AGREE
+        short[short] = some[short] + _shared(x, y, a[short], b[short], spared) < AGREE
+        a, b = a[~short], b[~short]
+        fine = _shared(x, y, a, b) >= AGREE
+        if joined:
+            fine[fine] = [agreement(x.points(i), y.points(j)) >= AGREE for i, j in zip(a[fine].tolist(), b[fine].tolist())]
+        yield a[fine], b[fine]
+
+
+def sharing(x: Images, y: Images, centres: np.ndarray, joined: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of images a of x and b of y, a < b, of which AGREE places of a have points within RADIUS bits of points of b;
+    with `joined`, those whose points agree."""
+    found = [np.zeros((2, 0), np.int64), *(np.stack([x.img[a], y.img[b]]) for a, b in _pairs(x, y, centres, joined))]
+    a, b = np.concatenate(found, axis=1)
+    return a, b
+
+
+def spanned(x: Images, y: Images, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n): for each image that has links here the smallest that it reaches by them, and their number."""
+    img = np.unique(np.concatenate([x.img, y.img]))
+    of_x, of_y = np.searchsorted(img, x.img), np.searchsorted(img, y.img)
+    root, n = np.arange(len(img)), np.zeros(len(img), np.int64)
+    for a, b in _pairs(x, y, centres, True):
+        a, b = of_x[a], of_y[b]
+        n += np.bincount(a, minlength=len(img)) + np.bincount(b, minlength=len(img))
+        while len(a):
+            least = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], least)
+            np.minimum.at(root, root[b], least)
+            while (root[root] != root).any():
+                root = root[root]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+    linked = n > 0
+    return img[linked], img[root[linked]], n[linked]
+
+
+def _sharing(points: DataFrame, found: Callable[[Images, Images, np.ndarray], tuple] = sharing, names: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """(a, b): all pairs of images that share enough places to agree, or what else is `found` of two sets of images. Each block
+    of images is compared with the later ones, by id, up to WIDE full blocks in one place."""
     held = points.where(F.size("words") > 0).select("img", "x", "y", "words")
     n = held.count()
     one = F.element_at("words", (F.pmod(F.xxhash64("img", F.lit(3)), F.size("words")) + 1).cast("int"))
     chosen = held.where(F.pmod(F.xxhash64("img", F.lit(4)), F.lit(max(-(-n // CENTRES), IMAGES_A_CENTRE))) == 0).select(one).collect()
     centres = np.array([r[0] for r in chosen] or [[0] * 4], np.int64).view(np.uint64).T.copy()
     blocks = max(-(-n // BLOCK), min(BLOCKS, -(-n // LEAST_BLOCK)), 1)
-    wides = -(-blocks // WIDE)
+    wide = max(WIDE * BLOCK * blocks // max(n, 1), 1)
+    wides = -(-blocks // wide)
+
+    held_as = ("words", "place", "near", "apart", "xy")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_points_of(batch.column(1)))
-            words = np.concatenate([f["words"] for f in found]).view(np.uint64)
-            cuts = np.cumsum([0, *(len(f["words"]) for f in found)]).tolist()
+            each = list(_points_of(batch.column(1)))
+            words = np.concatenate([f["words"] for f in each]).view(np.uint64)
+            cuts = np.cumsum([0, *(len(f["words"]) for f in each)]).tolist()
             centre, apart = sorted_in(np.ascontiguousarray(words.T), centres)
             # as `agreement` counts them
-            places = [np.unique(np.stack([np.rint(f["x"] / 4), np.rint(f["y"] / 4)]), axis=1, return_inverse=True)[1].ravel() for f in found]
-            columns = [[t[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for t in (words.astype("<u8"), centre.astype("<i4"), apart)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.binary()), pa.array([t.astype("<u2").tobytes() for t in places], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["img", "words", "place", "near", "apart"])
+            places = [np.unique(np.stack([np.rint(f["x"] / 4), np.rint(f["y"] / 4)]), axis=1, return_inverse=True)[1].ravel() for f in each]
+            xy = np.concatenate([np.stack([f["x"], f["y"]], axis=1) for f in each]).astype("<f4")
+            columns = [[t[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for t in (words.astype("<u8"), centre.astype("<i4"), apart, xy)]
+            columns.insert(1, [t.astype("<u2").tobytes() for t in places])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(t, pa.binary()) for t in columns)], names=["img", *held_as])
         give_back()
 
-    packed = stage(held.select("img", F.struct("x", "y", "words").alias("p")).mapInArrow(near, "img bigint, words binary, place binary, near binary, apart binary"))
+    packed = stage(held.select("img", F.struct("x", "y", "words").alias("p")).mapInArrow(near, "img bigint, " + ", ".join(f"{c} binary" for c in held_as)))
     marks = packed.select(F.percentile_approx("img", [k / blocks for k in range(1, blocks)], 10 * blocks + 1000).alias("m")).first()["m"] if blocks > 1 else []
     block = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < F.col("img"))) if marks else F.lit(0)
-    dealt = packed.withColumn("block", block.cast("int")).withColumn("wide", F.floor(F.col("block") / WIDE).cast("int"))
+    dealt = packed.withColumn("block", block.cast("int")).withColumn("wide", F.floor(F.col("block") / wide).cast("int"))
     as_later = F.transform(F.sequence(F.lit(0), F.col("block")), lambda i: F.struct(i.alias("i"), F.col("wide").alias("j")))
     as_own = F.transform(F.filter(F.sequence(F.lit(0), F.lit(wides - 1)), lambda j: j > F.col("wide")), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
-    placed = dealt.withColumn("at", F.explode(F.concat(as_later, as_own))).select("at.i", "at.j", "block", "wide", "img", "words", "place", "near", "apart")
+    placed = dealt.withColumn("at", F.explode(F.concat(as_later, as_own))).select("at.i", "at.j", "block", "wide", "img", *held_as)
 
     def compared(rows: pa.Table) -> pa.RecordBatch:
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
         sides = [rows.filter(pc.equal(rows[c], at)) for c, at in (("block", i), ("wide", j))]
-        x, y = (Images(t["img"].to_numpy(), *(t[c].to_pylist() for c in ("words", "place", "near", "apart"))) for t in sides)
-        a, b = sharing(x, y, centres) if len(x.img) and len(y.img) else (x.img[:0], x.img[:0])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        x, y = (Images(t["img"].to_numpy(), *(t[c].to_pylist() for c in held_as)) for t in sides)
+        made = found(x, y, centres) if len(x.img) and len(y.img) else [x.img[:0]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()) for t in made], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[pa.RecordBatch] = []
@@ -599,32 +583,22 @@ def _sharing(points: DataFrame) -> DataFrame:
 
     # the first blocks meet the most images and begin first
     apart = placed.repartitionById(blocks * wides, F.col("i") * wides + F.col("j"))
-    return apart.sortWithinPartitions("i", "j").mapInArrow(run, "a bigint, b bigint")
+    return apart.sortWithinPartitions("i", "j").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def links(points: DataFrame) -> DataFrame:
     """(a, b): all pairs of images that geometric consensus joins, a < b.
 
-    Descriptors meet in eight tables by 32 of their bits, so any two that differ in fewer than
-    eight bits meet, and most that differ in a few more. Two images are compared if in at least VOTES
-    buckets of any size they have descriptors within RADIUS bits, unless others have joined them
-    already: first each image is compared with the one that it most often meets as the smallest
-    of a bucket, then all pairs that this leaves in different classes are counted and compared.
-    No table holds all that differ in RADIUS bits; so every two images follow, block by block, and those that share AGREE
-    places are compared if the tables haven't led to it. This takes time with the square of the images.
+    Every two images are looked at, block by block: descriptors lie in an index by their nearest centres, and images that
+    share AGREE places are compared where the index finds that they do. This takes time with the square of the images.
     """
-    alone = points.select("img", F.col("img").alias("root"), "words")
-    stars = _counted(_meetings(alone, FIRST_TABLES, True), 1)
-    best = stage(stars.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select((-F.col("m.b")).alias("a"), F.col("a").alias("b")))
-    near = stage(_confirmed(best, points))
-    roots = stage(components(near))
-    classed = points.join(small(roots.withColumnRenamed("node", "img")), "img", "left").select("img", F.coalesce("root", "img").alias("root"), "words")
-    lists = [stage(_meetings(classed, TABLES[k : k + TABLES_AT_ONCE], False)) for k in range(0, len(TABLES), TABLES_AT_ONCE)]
-    votes = stage(_counted(reduce(DataFrame.unionByName, lists), VOTES).select("a", "b"))
-    for x in lists:
-        release(x)
-    more = stage(_sharing(points)).join(best.unionByName(votes).distinct(), ["a", "b"], "left_anti")
-    return near.unionByName(stage(_confirmed(votes, points))).unionByName(stage(_confirmed(more, points))).distinct()
+    return _sharing(points, partial(sharing, joined=True))
+
+
+def spans(points: DataFrame) -> DataFrame:
+    """(a, b, n): the same links by the places where they are found, without listing them: an image, the smallest that it reaches
+    there, and the number of its links there."""
+    return _sharing(points, spanned, ("a", "b", "n"))
 
 
 def copies(images: DataFrame, img: str = "img", data: str = "data") -> DataFrame:
@@ -643,9 +617,9 @@ def copies(images: DataFrame, img: str = "img", data: str = "data") -> DataFrame
     reps = names.groupBy("h").agg(F.min("img").alias("rep"))
     chosen = each.join(reps.select(F.col("h").alias("__h"), F.col("rep").alias("__rep")), (F.col("h") == F.col("__h")) & (F.col("img") == F.col("__rep")))
     points = stage(chosen.drop("h", "decoded", "__h", "__rep").dropDuplicates(["img"]))
-    joined = stage(links(points))
+    joined = stage(spans(points))
     roots = components(joined).select(F.col("node").alias("rep"), "root")
-    degree = joined.select(F.col("a").alias("rep")).unionByName(joined.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    degree = joined.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     told = points.select(F.col("img").alias("rep"), F.size("x").alias("n_corners")).join(roots, "rep", "left").join(degree, "rep", "left")
     classes = reps.join(told, "rep", "left")
     return names.join(classes, "h").select("img", "decoded", F.coalesce("n_corners", F.lit(0)).alias("n_corners"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

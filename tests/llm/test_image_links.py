@@ -190,3 +190,58 @@ def test_sharing_leaves_out_points_that_are_far(monkeypatch):
     a, b = media.sharing(made, made, centres)
     assert set(zip(a.tolist(), b.tolist())) == _all_sharing(images)
     assert sum(compared) < 0.4 * sum(map(len, words)) ** 2
+
+
+def _made(images, centres):
+    """Images sorted in by the centres, as a place has them."""
+    words = [np.array(i["words"]).view(np.uint64) for i in images]
+    near, apart = zip(*(media.sorted_in(w.T.copy(), centres) for w in words))
+    places = [np.unique(np.stack([np.rint(np.array(i[c]) / 4) for c in "xy"]), axis=1, return_inverse=True)[1].ravel().astype("<u2").tobytes() for i in images]
+    return media.Images(np.arange(len(images)), [w.tobytes() for w in words], places, [n.astype("<i4").tobytes() for n in near], [a.tobytes() for a in apart])
+
+
+def test_matches_take_bounded_memory(monkeypatch):
+    """Each two of 1,400 images share seven points, too few to agree: what is held of each two is two bytes and not each match."""
+    import tracemalloc
+
+    monkeypatch.setattr(media, "MATCHES", 1 << 14)
+    common, n = _pool(7, 50), 1400
+    images = [{k: [*c, *o] for k, c, o in zip(("x", "y", "words"), common, _pool(3, 100 + i))} for i in range(n)]
+    made = _made(images, np.array(common[2]).view(np.uint64).T.copy())
+    tracemalloc.start()
+    a, _ = media.sharing(made, made, np.array(common[2]).view(np.uint64).T.copy())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not len(a) and peak < 5 * n * n
+
+
+def test_links_of_a_large_class_are_counted_without_listing_them(spark):
+    pool, other = _pool(10, 60), _pool(12, 61)
+    images = [_holding(pool, range(10)) for _ in range(40)] + [_holding(other, range(12)), _holding(other, range(10)), _pool(9, 62)]
+    images[-1] = dict(zip(("x", "y", "words"), images[-1]))
+    rows = media.spans(_points(spark, images)).collect()
+    assert len(rows) == 42 and {r["a"]: r["n"] for r in rows} == {**dict.fromkeys(range(40), 39), 40: 1, 41: 1}
+    assert {r["a"]: r["b"] for r in rows} == {**dict.fromkeys(range(40), 0), 40: 40, 41: 40}
+
+
+def test_spans_agree_with_links_over_many_places(spark, monkeypatch):
+    for name, value in (("BLOCK", 7), ("LEAST_BLOCK", 7), ("WIDE", 3), ("MATCHES", 50)):
+        monkeypatch.setattr(media, name, value)
+    rnd = np.random.RandomState(8)
+    images = _textures(spark, 12, 27)
+    points = _points(spark, media.described(images + [_edited(a, k, rnd) for a in images for k in (0, 3, 4)]))
+    pairs, rows = media.links(points).collect(), media.spans(points).collect()
+    degree, told = {}, {}
+    for r in pairs:
+        for i in r:
+            degree[i] = degree.get(i, 0) + 1
+    for r in rows:
+        told[r["a"]] = told.get(r["a"], 0) + r["n"]
+    classes = lambda edges: {r["node"]: r["root"] for r in components(edges).collect()}
+    assert len(pairs) >= 30 and told == degree and classes(media.spans(points)) == classes(media.links(points))
+
+
+def test_a_point_of_256_bits_from_a_centre_is_far_from_it():
+    words = np.array(_pool(3, 70)[2]).view(np.uint64).T.copy()
+    near, apart = media.sorted_in(np.concatenate([~words[:, :1], words], axis=1), words[:, :1])
+    assert near.tolist() == [0] * 4 and apart[0] == 255 and apart[1] == 0 and (apart[2:] > 0).all()
