@@ -34,11 +34,11 @@ BLOCK, LEAST_BLOCK, BLOCKS, WIDE = 4096, 256, 12, 4
 #: Descriptors that others are sorted by, images for each of them at least, and those by which costs are estimated.
 CENTRES, IMAGES_A_CENTRE, SOME_CENTRES = 4096, 4, 256
 #: Points of a centre that are one group; more are several groups of about as many points, up to so many groups.
-ALL_PAIRS_UP_TO, GROUPS = 12, 512
+ALL_PAIRS_UP_TO, GROUPS = 16, 512
 #: Places of an image that need not be looked at, as two images share AGREE of them or are no copies.
 SPARED = 6
 #: Centres, groups of one centre, points of a group and points near it that are compared at once, pairs of images, and matches that are held.
-CENTRES_AT_ONCE, OWN_AT_ONCE, TOGETHER, NEAR_AT_ONCE, IMAGES_AT_ONCE, MATCHES = 64, 8, 4, 8192, 256, 1 << 20
+CENTRES_AT_ONCE, OWN_AT_ONCE, TOGETHER, NEAR_AT_ONCE, IMAGES_AT_ONCE, MATCHES = 64, 8, 5, 8192, 256, 1 << 20
 
 
 # --- decoding --------------------------------------------------------------------------
@@ -294,15 +294,14 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     for k in range(0, b.shape[1], NEAR_AT_ONCE):
         some = b[:, k : k + NEAR_AT_ONCE]
         differ = np.empty((min(a.shape[1], OWN_AT_ONCE), some.shape[1]), np.uint64)
-        ones, total = np.empty(differ.shape, np.uint8), np.empty(differ.shape, np.uint8)
+        ones = np.empty(differ.shape, np.uint8)
         for i in range(0, a.shape[1], OWN_AT_ONCE):
             mine = a[:, i : i + OWN_AT_ONCE, None]
-            d, o, t = (x[: mine.shape[1]] for x in (differ, ones, total))
-            np.bitwise_count(np.bitwise_xor(mine[0], some[0], out=d), out=t)
+            d, o, to = differ[: mine.shape[1]], ones[: mine.shape[1]], out[i : i + OWN_AT_ONCE, k : k + NEAR_AT_ONCE]
+            np.bitwise_count(np.bitwise_xor(mine[0], some[0], out=d), out=to)
             for w in (1, 2, 3):
                 np.bitwise_count(np.bitwise_xor(mine[w], some[w], out=d), out=o)
-                np.add(t, o, out=t)
-            out[i : i + OWN_AT_ONCE, k : k + NEAR_AT_ONCE] = t
+                np.add(to, o, out=to)
     return out
 
 
@@ -343,6 +342,11 @@ class Images:
         return {"x": self.xy[at, 0], "y": self.xy[at, 1], "words": np.ascontiguousarray(self.words[:, at].T)}
 
 
+def _within(bits: np.uint8) -> np.uint8:
+    """The bits from a centre at which a point may be within RADIUS of one that is so far from it."""
+    return np.uint8(min(RADIUS + int(bits), 255))
+
+
 def _asked(x: Images, y: Images, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The points of x to look for, without SPARED places of each image, those that are the dearest, and without images
     of too few places; and, of the images that are looked for, the points of the spared places."""
@@ -435,7 +439,7 @@ def _pairs(x: Images, y: Images, centres: np.ndarray, joined: bool) -> Iterator[
         g, few = 0, max(1, min(TOGETHER, MATCHES // len(at)))
         while g < len(members):
             to = min(g + few, len(members))
-            n = int(away.searchsorted(min(RADIUS + int(apart[to - 1]), 255), "right"))
+            n = int(away.searchsorted(_within(apart[to - 1]), "right"))
             hits = np.flatnonzero(_apart(words[:, members[g:to]], around[:, :n]) <= RADIUS) if n else at[:0]
             if len(hits):
                 i, j = np.divmod(hits, n)
@@ -456,7 +460,7 @@ def _pairs(x: Images, y: Images, centres: np.ndarray, joined: bool) -> Iterator[
         far = _apart(np.ascontiguousarray(centres[:, c : c + CENTRES_AT_ONCE]), own)
         for k in range(len(far)):
             begin, end = edges[c + k], edges[c + k + 1]
-            at = np.flatnonzero(far[k] <= min(RADIUS + int(apart[end - 1]), 255)) if end > begin else far[k, :0]
+            at = np.flatnonzero(far[k] <= _within(apart[end - 1])) if end > begin else far[k, :0]
             if not len(at):
                 continue
             at = at[far[k, at].argsort(kind="stable")]
@@ -469,12 +473,12 @@ def _pairs(x: Images, y: Images, centres: np.ndarray, joined: bool) -> Iterator[
             in_order = np.argsort(most, kind="stable")
             for g in range(0, len(in_order), OWN_AT_ONCE):
                 groups = in_order[g : g + OWN_AT_ONCE]
-                n = int(bits.searchsorted(min(RADIUS + int(most[groups[-1]]), 255), "right"))
+                n = int(bits.searchsorted(_within(most[groups[-1]]), "right"))
                 if not n:
                     continue
                 for group, away in zip(groups.tolist(), _apart(hubs[:, groups], columns[:, :n])):
                     first, last = ends[group], ends[group + 1]
-                    close = np.flatnonzero(away <= min(RADIUS + int(reach[last - 1]), 255))
+                    close = np.flatnonzero(away <= _within(reach[last - 1]))
                     if len(close):
                         away = away[close]
                         by_bits = away.argsort(kind="stable")
