@@ -98,6 +98,34 @@ def test_top_k_tiles_agree(spark, monkeypatch):
     assert sorted(map(tuple, topk.exact_top_k(table).collect())) == want
 
 
+def test_top_k_tiles_meet_across_tasks(spark, monkeypatch):
+    import duckdb
+
+    from sedimenta.llm.oracles import ORACLE_SQL
+
+    monkeypatch.setattr(topk, "TILE_ROWS", 100)
+    monkeypatch.setattr(topk, "TILE_QUERIES", 1)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS FROM '{SF}/embeddings.parquet'")
+    want = con.sql(f"SELECT query_id, rank, vec_id, score FROM ({ORACLE_SQL['op6_exact_top_k']})").fetchall()
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(merge)
+    spark.conf.set(merge, "false")  # small tables would end up in one task
+    try:
+        got = sorted(map(tuple, topk.exact_top_k(spark.read.parquet(f"{SF}/embeddings.parquet")).collect()))
+    finally:
+        spark.conf.set(merge, was)
+    assert got == sorted(want)
+
+
+def test_top_k_beyond_a_long(spark):
+    table = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [3e30, 0.0]), (3, [2e30, 0.0]), (4, [-3e30, 0.0]), (5, [-1e30, 0.0]), (6, [0.0, 1.0]), (50, [-1e300, 0.0]), (51, [1e308, 0.0])]
+    got = topk.exact_top_k(spark.createDataFrame(table, "vec_id long, embedding array<double>"), k=8).collect()
+    ids = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 50)}
+    assert ids == {0: [51, 2, 3, 1, 6, 5, 4, 50], 50: [4, 5, 6, 0, 1, 3, 2, 51]}  # 0 and 1 tie for 50
+    assert [r["score"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 0] == [2**63 - 1] * 4 + [2**16] + [-(2**63)] * 3
+
+
 def test_urls_follow_links(spark):
     canonical = '<head><link href="https://www.good.net/home" rel="canonical"></head>'
     refresh = '<meta http-equiv="refresh" content="0; url=http://www.example.org/es/9">'
